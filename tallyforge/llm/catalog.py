@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import near_dup, packing, sharding
+from tallyforge.llm import near_dup, packing, pii, sharding
 from tallyforge.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(packing.pack(read_table(spark, sf_dir, "documents"), word_tokenizer_path()))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_values")
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -31,7 +35,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op6_near_dup": op6_near_dup, "op9_sharding": op9_sharding}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op6_near_dup": op6_near_dup, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
