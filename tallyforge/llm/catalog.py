@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import near_dup, packing, pii, sharding
-from tallyforge.llm.common import read_table
+from tallyforge.llm import near_dup, packing, pii, quality_model, quality_rules, sharding
+from tallyforge.llm.common import doc_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,17 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_values")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality_rules.verdicts(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_fold("doc_id", 4) == 2
+    scored = quality_model.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -35,8 +47,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op6_near_dup": op6_near_dup, "op9_sharding": op9_sharding}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op4_quality_rules": op4_quality_rules, "op5_quality_model": op5_quality_model, "op6_near_dup": op6_near_dup, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": quality_rules.ORACLE_SQL}
