@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import near_dup, packing, pii, quality_model, quality_rules, sharding
+from tallyforge.llm import near_dup, packing, pii, quality_model, quality_rules, sharding, toxicity
 from tallyforge.llm.common import doc_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +46,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_fold("doc_id", 5) == 0
+    scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "passages")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op4_quality_rules": op4_quality_rules, "op5_quality_model": op5_quality_model, "op6_near_dup": op6_near_dup, "op9_sharding": op9_sharding}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op4_quality_rules": op4_quality_rules, "op5_quality_model": op5_quality_model, "op6_near_dup": op6_near_dup, "op9_sharding": op9_sharding, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
