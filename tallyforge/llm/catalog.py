@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import near_dup, packing, pii, quality_model, quality_rules, sharding, toxicity
+from tallyforge.llm import language_id, near_dup, packing, pii, quality_model, quality_rules, sharding, toxicity
 from tallyforge.llm.common import doc_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_values")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_fold("doc_id", 3) == 1
+    docs = read_table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.verdicts(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op4_quality_rules": op4_quality_rules, "op5_quality_model": op5_quality_model, "op6_near_dup": op6_near_dup, "op9_sharding": op9_sharding, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_language_id": op3_language_id, "op4_quality_rules": op4_quality_rules, "op5_quality_model": op5_quality_model, "op6_near_dup": op6_near_dup, "op9_sharding": op9_sharding, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
