@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import language_id, near_dup, packing, pii, quality_model, quality_rules, sharding, toxicity, warc
+from tallyforge.llm import decontaminate, language_id, near_dup, packing, pii, quality_model, quality_rules, sharding, toxicity, warc
 from tallyforge.llm.common import doc_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("payload")
 
@@ -64,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_language_id": op3_language_id, "op4_quality_rules": op4_quality_rules, "op5_quality_model": op5_quality_model, "op6_near_dup": op6_near_dup, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_language_id": op3_language_id, "op4_quality_rules": op4_quality_rules, "op5_quality_model": op5_quality_model, "op6_near_dup": op6_near_dup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
