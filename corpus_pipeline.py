@@ -1,24 +1,70 @@
-"""Corpus preparation as five stages over ``documents``: each applies one operator to all that the one before it kept."""
+"""Corpus preparation as five stages over ``documents``: each applies one operator to all that the one before it kept.
+
+Filters work by id: rows whose doc_id is rejected go, rows without doc_id stay, other columns pass through. Texts are
+not shuffled by a filter while the rejected ids fit a broadcast of stated size.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import packing
+from tallyforge.llm import decontaminate, near_dup, packing, pii, toxicity
 from tallyforge.llm.catalog import word_tokenizer_path
-from tallyforge.llm.common import materialize, read_table
+from tallyforge.llm.common import doc_fold, materialize, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Up to so many rejected ids (8 bytes each) reach the documents by broadcast, beyond it by a shuffle join.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    """``docs`` but the rows whose doc_id is in ``rejected``."""
+    ids = materialize(rejected.select(F.col("doc_id").cast("long").alias("rejected_id")).where("rejected_id is not null").distinct(), name)
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].cast("long") == ids["rejected_id"], "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents whose score is 0.5 or more go; learnt from the labels outside the held-out fold."""
+    scored = toxicity.score_toxicity(docs, read_table(spark, sf_dir, "labels"), doc_fold("doc_id", 5) != 0)
+    return without(docs, scored.where("predicted = 1"), "toxic_ids")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-duplicates: of documents linked by five-word shingles at 0.8, that with the smallest id stays."""
+    return without(docs, near_dup.near_duplicates(docs, width=5, percent=80).where("not kept"), "duplicate_ids")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Decontamination: documents that hold a benchmark item, within a quarter of its words, go."""
+    return without(docs, decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")), "contaminated_ids")
+
+
+def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: personal values become pseudonyms of their format; ``n_chars`` follows the text where it changed."""
+    out = pii.pseudonymize(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_values") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: training sequences of at most 2048 tokens, a row a piece."""
     return packing.pack(docs, word_tokenizer_path())
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack_sequences)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", pseudonymize),
+    ("packing", pack_sequences),
+]
 
 #: Trained models and hash families have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
