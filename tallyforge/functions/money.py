@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import values as V
-from tallyforge.functions.text import NO_CORRECTIONS, floating, latin_digits, note, notes, number, outcome, strip
+from tallyforge.functions.text import floating, latin_digits, no_corrections, note, notes, number, outcome, strip
 from tallyforge.schemas import ITEM
 
 DEFAULT_CURRENCY = "YER"
@@ -104,7 +104,7 @@ def order_total(df: DataFrame) -> DataFrame:
     )
     value = F.when((absent & (want > 0)) | off, want).when(checked & ~absent, stated["value"])
     error = F.coalesce(F.col("__items_error"), F.when(ambiguous, V.NEGATIVE_VALUE), F.when(absent & ~(want > 0), stated["error"]))
-    return df.withColumn("__total", outcome(value, F.when(checked, F.concat(stated["corrections"], own)).otherwise(NO_CORRECTIONS), error)).drop("__expected")
+    return df.withColumn("__total", outcome(value, F.when(checked, F.concat(stated["corrections"], own)).otherwise(no_corrections()), error)).drop("__expected")
 
 
 def payment(df: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def payment(df: DataFrame) -> DataFrame:
         "__payment",
         F.struct(
             F.when(matched, F.abs(signed)).when(~none, paid["value"]).alias("value"),
-            F.when(none, NO_CORRECTIONS).otherwise(F.concat(paid["corrections"], fixed)).alias("corrections"),
+            F.when(none, no_corrections()).otherwise(F.concat(paid["corrections"], fixed)).alias("corrections"),
             F.when(~none & ~matched, paid["error"]).alias("error"),
             F.when(none, DEFAULT_CURRENCY).otherwise(paid["currency"]).alias("currency"),
         ),

@@ -13,7 +13,8 @@ from tallyforge.functions import values as V
 from tallyforge.schemas import CORRECTION
 
 Rule = Column
-NO_CORRECTIONS = F.expr(f"cast(array() as array<{CORRECTION}>)")
+def no_corrections() -> Column:
+    return F.expr(f"cast(array() as array<{CORRECTION}>)")
 
 
 def strip(c: Column) -> Column:
@@ -33,7 +34,7 @@ def note(rule: str, field: str, before: Column, after: Column, reason: Column |
 def notes(*pairs: tuple[Column, Column]) -> Column:
     """The corrections whose condition holds, in order."""
     if not pairs:
-        return NO_CORRECTIONS
+        return no_corrections()
     return F.array_compact(F.array(*[F.when(cond, correction) for cond, correction in pairs]))
 
 

@@ -119,4 +119,4 @@ def orders_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dirty order file's rows: RAW_COLUMNS and lineage. The row number is the file's order, so it is global here."""
-    return _spark(spark, sf_dir, DIRTY_SQL).select(*RAW_COLUMNS, "id_run", "source_file", "source_row_number")
+    return _spark(spark, sf_dir, DIRTY_SQL).selectExpr(*RAW_COLUMNS, "id_run", "source_file", "cast(source_row_number as bigint) as source_row_number")
