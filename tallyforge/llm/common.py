@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +46,33 @@ def doc_fold(doc_id: str | F.Column, n: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """The UTF-8 bytes of a string column; null counts as empty."""
-    return [b or b"" for b in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with little memory: the session's limits on what a task hands to Python at a time are
+    set low, as texts may be long and a batch is held on both sides, and a worker, which outlives its task, gives back
+    what the task no longer needs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+    def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # only the GNU C library has it
+                trim(0)
+
+    return df.mapInArrow(thrifty, schema)
+
+
+def text_parts(batch: pa.RecordBatch, most: int = 2 << 20, name: str = "text") -> Iterator[tuple[slice, list[bytes]]]:
+    """Runs of a batch's texts, of about ``most`` bytes each, as UTF-8; null counts as empty. Only one run is in Python at
+    a time, however large the batch is."""
+    column = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(column)] if len(column) else [0]
+    for start, stop in zip(edges[:-1], edges[1:], strict=True):
+        yield slice(start, stop), [b or b"" for b in column.slice(start, stop - start).to_pylist()]
 
 
 def spread(df: DataFrame, size: F.Column, bytes_per_part: int, *keys: F.Column) -> DataFrame:

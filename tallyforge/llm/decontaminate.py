@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import text_bytes
-from tallyforge.llm.packing import slices
+from tallyforge.llm.common import map_batches, text_parts
 from tallyforge.llm.shingles import WordHashes
 
 WIDTHS = (2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
@@ -207,20 +206,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, blo
 
             class Words(dict):
                 def __missing__(self, word: bytes) -> int:
-                    if len(self) >= 400_000:
+                    if len(self) >= 200_000:
                         self.clear()
                     self[word] = h = hashes[word.strip(_MARKS) or word] >> 32 | 1
                     return h
 
             words = Words()
             for batch in batches:
-                doc_ids, texts, rows = batch.column(0).to_pylist(), text_bytes(batch), []
-                for part in slices(texts):
-                    rows += [(doc_ids[part.start + d], items.ids[i], a, b, e, len(items.words[i])) for d, i, a, b, e in _search(texts[part], items, share, words)]
+                doc_ids, rows = batch.column(0).to_pylist(), []
+                for part, texts in text_parts(batch):
+                    rows += [(doc_ids[part.start + d], items.ids[i], a, b, e, len(items.words[i])) for d, i, a, b, e in _search(texts, items, share, words)]
                 cols = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "distance", "item_words"])
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HITS)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_batches, run, HITS)
 
     out, ids, words = docs.sparkSession.createDataFrame([], HITS), [], []
     for row in benchmark.select(F.col("item_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import text_bytes
-from tallyforge.llm.packing import slices
+from tallyforge.llm.common import map_batches, text_parts
 
 WINDOW, WIDTHS, FILTERS, CLASSES = 128, (2, 3, 4), 16, 64
 UNKNOWN = "und"
@@ -125,7 +124,7 @@ def cut(text: bytes, classes: np.ndarray) -> np.ndarray:
 
 def sample(docs: DataFrame, may_learn: F.Column, per_language: int, per_text: int) -> list[tuple[str, str]]:
     """(lang, passage) pairs: about ``per_language`` documents a language by a hash of the id, ``per_text`` passages of a window's length each."""
-    usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
     u = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     starts = [F.greatest(F.lit(1), (F.length("text") * (i + 0.5) / per_text).cast("int") - WINDOW // 2) for i in range(per_text)]
@@ -158,9 +157,9 @@ def predict(docs: DataFrame, network: Network | None, at_once: int = 64) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, tables = byte_classes(), network.pair_tables()
         for batch in batches:
-            texts, langs, scores = text_bytes(batch), [], []
-            for part in slices(texts, 1 << 20):
-                windows = [cut(t, classes) for t in texts[part]]
+            langs, scores = [], []
+            for _, texts in text_parts(batch, 1 << 20):
+                windows = [cut(t, classes) for t in texts]
                 edges = np.concatenate([[0], np.cumsum([len(w) for w in windows])])
                 flat = np.concatenate(windows)
                 logp = np.concatenate([network.log_probabilities(flat[i : i + at_once], tables) for i in range(0, len(flat), at_once)])
@@ -173,5 +172,5 @@ def predict(docs: DataFrame, network: Network | None, at_once: int = 64) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), batch.column(2)], ["doc_id", "lang_pred", "score", "lettered"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered).mapInArrow(run, "doc_id long, lang_pred string, score double, lettered boolean")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered).transform(map_batches, run, "doc_id long, lang_pred string, score double, lettered boolean")
     return out.select("doc_id", F.when(F.col("lettered"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("lettered"), F.col("score")).otherwise(0.0).alias("score"))

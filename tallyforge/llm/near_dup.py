@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialize, text_bytes
-from tallyforge.llm.packing import slices
+from tallyforge.llm.common import materialize, map_batches, text_parts
 from tallyforge.llm.shingles import WordHashes, fingerprints, hashed_sets, minhash_keys, shingle_set
 
 PER_COLLECTION, ROWS, ORDERS, BLOCK = 12, 3, 4, 256
@@ -42,9 +41,8 @@ def signatures(docs: DataFrame, width: int, per_collection: int = PER_COLLECTION
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            texts = text_bytes(batch)
-            for part in slices(texts):
-                sets = hashed_sets(texts[part], width, table)
+            for part, texts in text_parts(batch):
+                sets = hashed_sets(texts, width, table)
                 f1, f2 = fingerprints(sets)
                 full = [s for s in sets if len(s)]
                 keys = minhash_keys(full, 2, per_collection, rows, seed) if full else np.empty((0, 2 * per_collection), np.uint64)
@@ -53,7 +51,7 @@ def signatures(docs: DataFrame, width: int, per_collection: int = PER_COLLECTION
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], ["doc_id", "n", "f1", "f2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_batches, run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
 
 
 def tables(reps: DataFrame, per_collection: int = PER_COLLECTION) -> DataFrame:
@@ -92,19 +90,19 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = batch.column(0), batch.column(2)
-            left, right = text_bytes(batch, "tx"), text_bytes(batch, "ty")
-            linked, held, held_id = [], set(), None
-            for a, b, y in zip(left, right, ys.to_pylist(), strict=True):
-                if y != held_id:
-                    held, held_id = shingle_set(b, width), y
-                s = shingle_set(a, width)
-                both = len(s & held)
-                linked.append(100 * both >= percent * (len(s) + len(held) - both))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([xs.filter(mask), ys.filter(mask)], ["x", "y"])
+            for part, right in text_parts(batch, 2 << 20, "ty"):
+                rows = batch.slice(part.start, part.stop - part.start)
+                linked, held, held_id = [], set(), None
+                for a, b, y in zip(rows.column(1).cast(pa.binary()).to_pylist(), right, rows.column(2).to_pylist(), strict=True):
+                    if y != held_id:
+                        held, held_id = shingle_set(b, width), y
+                    s = shingle_set(a or b"", width)
+                    both = len(s & held)
+                    linked.append(100 * both >= percent * (len(s) + len(held) - both))
+                mask = pa.array(linked, pa.bool_())
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(mask), rows.column(2).filter(mask)], ["x", "y"])
 
-    return sided.select("x", "tx", "y", "ty").mapInArrow(run, "x long, y long")
+    return sided.select("x", "tx", "y", "ty").transform(map_batches, run, "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,8 +186,9 @@ def remaining_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, docs:
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            sets = hashed_sets(text_bytes(batch), width, table)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
+            for part, some in text_parts(batch, 2 << 20):
+                sets = pa.array([s.tobytes() for s in hashed_sets(some, width, table)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), sets], ["rep", "shingles"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,8 +196,8 @@ def remaining_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, docs:
             yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["rep", "packed"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-    sets = texts.mapInArrow(shingled, "rep long, shingles binary").dropDuplicates(["rep"])
-    keys = reps.select("rep", "keys").join(ids.withColumnRenamed("doc_id", "rep"), "rep").mapInArrow(packed, "rep long, packed binary")
+    sets = texts.transform(map_batches, shingled, "rep long, shingles binary").dropDuplicates(["rep"])
+    keys = reps.select("rep", "keys").join(ids.withColumnRenamed("doc_id", "rep"), "rep").transform(map_batches, packed, "rep long, packed binary")
     facts = materialize(sets.join(keys, "rep"), "facts")
     # a block of a bucket: hashed, so that blocks are even; the number of blocks follows the bucket's size
     sizes = members.groupBy("i", "a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import spread, text_bytes
+from tallyforge.llm.common import map_batches, spread, text_parts
 
 CAPACITY = 2048
 END_ID = 1
@@ -48,7 +48,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 _TAIL = b".,;:!?*$%&#()\"[]{}/-_+=~@^"
 
 
-def word_encoder(path: str, limit: int = 500_000) -> Callable[[list[bytes]], list[bytes]]:
+def word_encoder(path: str, limit: int = 250_000) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to little-endian 32-bit ids. The vocabulary drops white space and case and never merges over white space or
     from letters into marks, so a word's ids are those of its letters and of the marks at its end. Words are looked up;
     the tokenizer sees each new one once, many at a time. The table starts anew at ``limit`` words."""
@@ -114,18 +114,6 @@ def word_encoder(path: str, limit: int = 500_000) -> Callable[[list[bytes]], lis
     return encode
 
 
-def slices(texts: list[bytes], most: int = 4 << 20) -> Iterator[slice]:
-    """Runs of texts of about ``most`` bytes."""
-    at = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= most:
-            yield slice(at, i + 1)
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def _pack_group(group: list[tuple[int | None, bytes]], first: int, capacity: int) -> tuple[pa.RecordBatch, int]:
     step, rows = 4 * capacity, []
     for doc_id, ids in group:
@@ -148,9 +136,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_t
         encode = word_encoder(tokenizer_path)
         part, made, group, held = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), text_bytes(batch)
-            for run_of in slices(texts):
-                for doc_id, ids in zip(doc_ids[run_of], encode(texts[run_of]), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for part_of, texts in text_parts(batch):
+                for doc_id, ids in zip(doc_ids[part_of], encode(texts), strict=True):
                     group.append((doc_id, ids + end))
                     held += len(ids) // 4 + 1
                     if held >= group_tokens:
@@ -163,7 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_t
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
     rank = F.xxhash64(F.lit(seed), F.col("doc_id"))
     dealt = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, part_bytes, rank)
-    return dealt.sortWithinPartitions(rank, "doc_id").mapInArrow(run, PIECES)
+    return dealt.sortWithinPartitions(rank, "doc_id").transform(map_batches, run, PIECES)
 
 
 def pack_digest(pieces: DataFrame) -> DataFrame:

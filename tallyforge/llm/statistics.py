@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import text_bytes
-from tallyforge.llm.packing import slices
+from tallyforge.llm.common import map_batches, text_parts
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -33,7 +32,7 @@ class WordNumbers(dict):
         self[word] = n = len(self)
         return n
 
-    def restart(self, limit: int = 400_000) -> None:
+    def restart(self, limit: int = 200_000) -> None:
         if len(self) > limit:
             self.clear()
 
@@ -77,16 +76,16 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordNumbers()
         for batch in batches:
-            texts, rows = text_bytes(batch), []
-            for part in slices(texts):
-                words = [t.split() for t in texts[part]]
+            rows: list[tuple[int, ...]] = []
+            for _, texts in text_parts(batch):
+                words = [t.split() for t in texts]
                 counts = [len(w) for w in words]
                 table.restart()
                 flat = np.fromiter(map(table.__getitem__, chain.from_iterable(words)), np.int64, sum(counts))
-                rows += [measure(t, n) for t, n in zip(texts[part], np.split(flat, np.cumsum(counts)[:-1]), strict=True)]
+                rows += [measure(t, n) for t, n in zip(texts, np.split(flat, np.cumsum(counts)[:-1]), strict=True)]
             cols = zip(*rows, strict=True) if rows else [[] for _ in MEASURES]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.int64()) for c in cols)], ["doc_id", *MEASURES])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    return narrow.transform(map_batches, run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
 

@@ -19,13 +19,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialize, text_bytes
+from tallyforge.llm.common import materialize, map_batches, text_parts
 
 #: Up to so many labels (12 bytes each) they go to the documents by broadcast, beyond it by shuffle.
 BROADCAST_LABELS = 2_000_000
@@ -56,11 +57,13 @@ def token_counts(docs: DataFrame, labels: DataFrame, label: str, flush: int = 20
             return pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), *(pa.array([c.get(t, 0) for t in tokens], pa.int64()) for c in counts)], ["token", "n0", "n1"])
 
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
-                mine = counts[y]
-                for w in text.lower().split():
-                    t = w.strip(_MARKS)
-                    mine[t] = mine.get(t, 0) + 1
+            kinds = batch.column(0).to_pylist()
+            for part, texts in text_parts(batch):
+                for y, text in zip(kinds[part], texts, strict=True):
+                    mine = counts[y]
+                    for w in text.lower().split():
+                        t = w.strip(_MARKS)
+                        mine[t] = mine.get(t, 0) + 1
                 if len(counts[0]) + len(counts[1]) > flush:
                     yield rows()
                     counts[0].clear()
@@ -68,7 +71,7 @@ def token_counts(docs: DataFrame, labels: DataFrame, label: str, flush: int = 20
         yield rows()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("y", "text")
-    return texts.mapInArrow(run, "token binary, n0 long, n1 long").where("length(token) > 0").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return texts.transform(map_batches, run, "token binary, n0 long, n1 long").where("length(token) > 0").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def learn(counts: DataFrame, max_tokens: int = 50_000, prior: float = 0.05, z_least: float = 3.0, drift: float = 0.5) -> Model | None:
@@ -127,7 +130,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Scores(dict):
             def __missing__(self, word: bytes) -> float:
-                if len(self) > 400_000:
+                if len(self) > 200_000:
                     self.clear()
                 self[word] = s = model.score_of(word)
                 return s
@@ -135,14 +138,14 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
         table = Scores()
         for batch in batches:
             counts, found = [], []
-            for text in text_bytes(batch):
+            for text in chain.from_iterable(texts for _, texts in text_parts(batch)):
                 words = text.lower().split()
                 counts.append(len(words))
                 found.append([{"start": a, "end": b, "score": s} for a, b, s in maximal_runs(np.fromiter(map(table.__getitem__, words), np.float64, len(words)))])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], ["doc_id", "n_words", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, passages array<struct<start: long, end: long, score: double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_batches, run, "doc_id long, n_words long, passages array<struct<start: long, end: long, score: double>>")
 
 
 def _logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:

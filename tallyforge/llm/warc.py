@@ -33,7 +33,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialize, scratch_dir
+from tallyforge.llm.common import materialize, scratch_dir, map_batches
 
 CAPTURES = "key string, page_id long, url string, payload_digest string, record_type string, file string, offset long, length long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -134,7 +134,7 @@ def write_archives(pages: DataFrame, root: str, date: str = "2000-01-01T00:00:00
         if out is not None:
             out.close()
 
-    return materialize(rows.select("page_id", "url", "html", "key", "refers_to").mapInArrow(run, CAPTURES), "captures")
+    return materialize(rows.select("page_id", "url", "html", "key", "refers_to").transform(map_batches, run, CAPTURES), "captures")
 
 
 def build_index(captures: DataFrame, root: str, lines: int = 512, per_file: int = 20_000, most_files: int = 10_000) -> list[tuple[str, str]]:
@@ -171,7 +171,7 @@ def build_index(captures: DataFrame, root: str, lines: int = 512, per_file: int
             yield pa.RecordBatch.from_arrays([pa.array([places[0][0]]), pa.array([name])], ["first", "file"])
 
     ordered = captures.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
-    heads = materialize(ordered.mapInArrow(run, "first string, file string"), "index_heads").collect()
+    heads = materialize(ordered.transform(map_batches, run, "first string, file string"), "index_heads").collect()
     return sorted((r["first"], r["file"]) for r in heads)
 
 
@@ -239,7 +239,7 @@ def locate(queries: DataFrame, root: str, heads: list[tuple[str, str]]) -> DataF
 
     n = wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")
     spread = wanted.repartitionByRange(int(n), "key", "page_id").sortWithinPartitions("key", "page_id")
-    return spread.mapInArrow(run, "url string, payload_digest string, record_type string, file string, offset long, length long")
+    return spread.transform(map_batches, run, "url string, payload_digest string, record_type string, file string, offset long, length long")
 
 
 def fetch(places: DataFrame, root: str, most: int = 4 << 20, gap: int = 64 << 10) -> DataFrame:
@@ -268,7 +268,7 @@ def fetch(places: DataFrame, root: str, most: int = 4 << 20, gap: int = 64 << 10
 
     n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = places.select("file", "offset", "length").distinct().repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
-    return near.mapInArrow(run, RECORDS)
+    return near.transform(map_batches, run, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
