@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tallyforge.schemas import RAW_COLUMNS, RAW_RECORD
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
+def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The 17 text columns; quoted fields may hold quotes (doubled) and commas, not line ends. Blank fields are null."""
     return spark.read.schema(RAW_RECORD).option("header", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
 
