@@ -54,8 +54,9 @@ def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: training sequences of at most 2048 tokens, a row a piece."""
-    return packing.pack(docs, word_tokenizer_path())
+    """Packing: training sequences of at most 2048 tokens, a row a piece. The executors still hold what earlier stages
+    needed, so the word table is small."""
+    return packing.pack(docs, word_tokenizer_path(), group_tokens=1_000_000, part_bytes=16 << 20, table_words=50_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -48,7 +48,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 _TAIL = b".,;:!?*$%&#()\"[]{}/-_+=~@^"
 
 
-def word_encoder(path: str, limit: int = 250_000) -> Callable[[list[bytes]], list[bytes]]:
+def word_encoder(path: str, limit: int) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to little-endian 32-bit ids. The vocabulary drops white space and case and never merges over white space or
     from letters into marks, so a word's ids are those of its letters and of the marks at its end. Words are looked up;
     the tokenizer sees each new one once, many at a time. The table starts anew at ``limit`` words."""
@@ -126,14 +126,17 @@ def _pack_group(group: list[tuple[int | None, bytes]], first: int, capacity: int
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]), int(bins.max()) + 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_tokens: int = 2_000_000, seed: int = 17, part_bytes: int = 32 << 20) -> DataFrame:
-    """One row a piece with its token ids as little-endian 32-bit integers (``ids``); sequences are (partition, number)."""
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_tokens: int = 2_000_000, seed: int = 17, part_bytes: int = 32 << 20, table_words: int = 500_000) -> DataFrame:
+    """One row a piece with its token ids as little-endian 32-bit integers (``ids``); sequences are (partition, number).
+
+    ``table_words`` trades a worker's memory (about 0.3 kB a word) for time: words beyond it are tokenized anew.
+    """
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = word_encoder(tokenizer_path)
+        encode = word_encoder(tokenizer_path, table_words)
         part, made, group, held = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
