@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ WIDTHS = (2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 LEAST_WORDS = 5
 HITS = "doc_id long, item_id long, start long, end long, distance long, item_words long"
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_FILTER_BITS = 18
+_FILTER_BITS = 16
 _FACTOR, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint32(31)
 
 
@@ -202,13 +203,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, blo
 
     def hits(items: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-
             class Words(dict):
                 def __missing__(self, word: bytes) -> int:
-                    if len(self) >= 200_000:
+                    if len(self) >= 60_000:
                         self.clear()
-                    self[word] = h = hashes[word.strip(_MARKS) or word] >> 32 | 1
+                    self[word] = h = xxhash.xxh64_intdigest(word.strip(_MARKS) or word) >> 32 | 1
                     return h
 
             words = Words()

@@ -19,7 +19,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word to 64-bit hash; starts anew at ``limit`` words."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 80_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:

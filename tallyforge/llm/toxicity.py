@@ -43,7 +43,7 @@ class Model:
         return self.scores.get(word.strip(_MARKS), -self.drift)
 
 
-def token_counts(docs: DataFrame, labels: DataFrame, label: str, flush: int = 200_000) -> DataFrame:
+def token_counts(docs: DataFrame, labels: DataFrame, label: str, flush: int = 100_000) -> DataFrame:
     """token, n0, n1: occurrences in clean and in toxic labelled documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     if known.count() <= BROADCAST_LABELS:
@@ -130,7 +130,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Scores(dict):
             def __missing__(self, word: bytes) -> float:
-                if len(self) > 200_000:
+                if len(self) > 80_000:
                     self.clear()
                 self[word] = s = model.score_of(word)
                 return s
