@@ -1,21 +1,20 @@
-"""Operator 7, benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
+"""Operator 7, benchmark decontamination: exact search by pieces within an edit distance, exact alignment.
 
-The unit of an edit is a word (ASCII case and marks at its ends ignored). An item of n words belongs to the widest window
-class W with 3 W / 2 <= n + 1. Documents are cut into windows of each class in use at every W / 2 words, items into
-windows at every word: a whole copy of an item thus holds at least one document window that equals an item window, and
-about 2 n / W of them in all.
+The unit of an edit is a word (ASCII case and marks at its ends ignored). An item of n words may differ by k = share * n
+edits. Cut into k + 1 pieces, at least one piece stands unchanged in every run of words within k edits of the item, as an
+edit spoils one piece at most. So each run of a document that equals a piece is a candidate, and no pair within k edits is
+missed. At a share of a quarter, pieces have two to four words.
 
-A CGK walk embeds a window: at step j it emits the word under the cursor and moves on or stays by a random bit of (j, word),
-so that edit distance k becomes Hamming distance of order k * k at most, with constant probability. Tables sample
-``sampled`` steps each; ``walks * per_walk`` tables, and the windows of an item, repeat the trial until copies within the
-allowed edits are found with the wanted probability (see ``tests/llm``). Candidates are then aligned exactly: the least
-edit distance of the item to any run of words around the candidate decides.
+Pieces are looked up by hash at every word of a document; longer pieces than ``MOST_PIECE`` words by their first words.
+Candidates of a document and an item that lie near each other are looked at together: those whose surroundings lack more
+distinct words of the item than edits are allowed can't be near enough, the others are aligned exactly: the least edit
+distance of the item to any run of words around the candidates decides.
 
 Items are read in blocks of ``block_items``, which bounds what tasks are sent; each block is met with all documents.
 
 Edge cases: null and empty documents and items match nothing; items of fewer than five words can't be told from common
-phrases and are not searched; texts of any length are read whole, in overlapping windows; repeated documents are reported
-each, repeated items too; empty tables give an empty result; other columns are ignored.
+phrases and are not searched; texts of any length are read whole; repeated documents are reported each, repeated items
+too; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import map_batches, text_parts
-from tallyforge.llm.shingles import WordHashes
 
-WIDTHS = (2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 LEAST_WORDS = 5
+MOST_PIECE = 6
 HITS = "doc_id long, item_id long, start long, end long, distance long, item_words long"
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_FILTER_BITS = 16
-_FACTOR, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint32(31)
+_FILTER_BITS = 18
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -46,93 +44,57 @@ def tokens(text: bytes) -> list[bytes]:
     return [w.strip(_MARKS) or w for w in text.lower().split()]
 
 
-def class_of(n: int) -> int:
-    return max(w for w in WIDTHS if 3 * w <= 2 * (n + 1))
-
-
-@dataclass(frozen=True)
-class Family:
-    """The random choices: the same for items and documents."""
-
-    walks: int = 2
-    per_walk: int = 10
-    sampled: int = 5
-    seed: int = 3
-
-    def steps(self, width: int, walk: int) -> list[list[int]]:
-        """The sampled steps of each table, among the first 2 W, in which a walk passes a window of W on average."""
-        rng = np.random.default_rng((self.seed, width, walk))
-        return [sorted(rng.choice(2 * width, min(self.sampled, 2 * width), replace=False).tolist()) for _ in range(self.per_walk)]
-
-    def keys(self, flat: np.ndarray, starts: np.ndarray, width: int, at_once: int = 8192) -> Iterator[np.ndarray]:
-        """(tables, windows) keys, some windows at a time; ``flat`` has 32-bit word hashes. A window is followed by a word 0,
-        at which a walk stays."""
-        odds = np.random.default_rng(self.seed).integers(0, 2**32, (self.walks, 2 * width), dtype=np.uint32) | np.uint32(1)
-        plans = []
-        for walk in range(self.walks):
-            chosen = self.steps(width, walk)
-            plans.append([[t for t, steps in enumerate(chosen) if j in steps] for j in range(max(s[-1] for s in chosen) + 1)])
-        windows = np.zeros((min(at_once, len(starts)), width + 1), np.uint32)
-        spots = np.arange(width)
-        for low in range(0, len(starts), at_once):
-            part = starts[low : low + at_once]
-            n = len(part)
-            windows[:n, :width] = flat[part[:, None] + spots]
-            line, out = windows.ravel(), np.zeros((self.walks * self.per_walk, n), np.uint64)
-            bits = np.empty(n, np.uint32)
-            for walk, plan in enumerate(plans):
-                at = np.arange(n) * (width + 1)
-                for j, due in enumerate(plan):
-                    word = line.take(at, mode="clip")
-                    for t in due:
-                        row = out[walk * self.per_walk + t]
-                        row *= _FACTOR
-                        row += word
-                    np.multiply(word, odds[walk, j], out=bits)
-                    bits >>= _TOP
-                    at += bits
-            out *= _FACTOR
-            out ^= out >> np.uint64(32)
-            out *= _FACTOR
-            yield out
+def pieces(n: int, allowed: int) -> list[tuple[int, int]]:
+    """(start, end) of ``allowed + 1`` pieces of n words, as even as can be."""
+    cuts = [n * j // (allowed + 1) for j in range(allowed + 2)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def run_keys(flat: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """Keys of all runs of 1, 2, ... ``longest`` words; ``flat`` has 32-bit word hashes."""
+    acc = np.zeros(len(flat), np.uint64)
+    for length in range(1, min(longest, len(flat)) + 1):
+        acc = acc[: len(flat) - length + 1] * _FACTOR + flat[length - 1 :]
+        key = acc * _FACTOR
+        key ^= key >> np.uint64(32)
+        key *= _FACTOR
+        yield key
 
 
 @dataclass
 class Items:
-    """A block of items, indexed: for each class and table sorted keys, the items they come from and the words before them."""
+    """A block of items, indexed: for each length of pieces their sorted keys, the items they come from and their places."""
 
     ids: list[int | None]
     words: list[list[bytes]]
-    family: Family
-    tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = field(default_factory=dict)
-
+    share: float
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     distinct: list[frozenset[bytes]] = field(default_factory=list)
 
+    def allowed(self, i: int) -> int:
+        return int(self.share * len(self.words[i]))
+
     def index(self) -> Items:
-        hashes, of_class = WordHashes(), {}
         self.distinct = [frozenset(w) for w in self.words]
+        found: dict[int, list[tuple[int, int, int]]] = {}
         for i, w in enumerate(self.words):
             if len(w) >= LEAST_WORDS:
-                of_class.setdefault(class_of(len(w)), []).append(i)
-        for width, members in of_class.items():
-            flat = hashed(list(chain.from_iterable(self.words[i] for i in members)), hashes)
-            first = np.concatenate([[0], np.cumsum([len(self.words[i]) for i in members])])
-            starts = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(first[:-1], first[1:], strict=True)])
-            owner = np.searchsorted(first, starts, "right") - 1
-            self.tables[width] = []
-            for keys in np.concatenate(list(self.family.keys(flat, starts, width)), 1):
-                order = np.argsort(keys, kind="stable")
-                seen = np.zeros(1 << _FILTER_BITS, bool)
-                seen[keys >> np.uint64(64 - _FILTER_BITS)] = True
-                self.tables[width].append((seen, keys[order], np.array(members)[owner[order]], (starts - first[owner])[order]))
+                hashes = np.array([word_hash(x) for x in w], np.uint64)
+                for a, b in pieces(len(w), self.allowed(i)):
+                    length = min(b - a, MOST_PIECE)
+                    *_, key = run_keys(hashes[a : a + length], length)
+                    found.setdefault(length, []).append((int(key[0]), i, a))
+        for length, rows in found.items():
+            keys = np.array([r[0] for r in rows], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            seen = np.zeros(1 << _FILTER_BITS, bool)
+            seen[keys >> np.uint64(64 - _FILTER_BITS)] = True
+            self.tables[length] = (seen, keys[order], *(np.array([r[c] for r in rows])[order] for c in (1, 2)))
         return self
 
 
-def hashed(words: list[bytes], table: WordHashes) -> np.ndarray:
-    """32-bit hashes, none of them 0, and a 0 at the end."""
-    out = np.zeros(len(words) + 1, np.uint32)
-    out[:-1] = np.fromiter(map(table.__getitem__, words), np.uint64, len(words)) >> np.uint64(32) | np.uint64(1)
-    return out
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) >> 32
 
 
 def align(item: list[bytes], text: list[bytes]) -> tuple[int, int, int]:
@@ -153,53 +115,61 @@ def align(item: list[bytes], text: list[bytes]) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
-def _search(texts: list[bytes], items: Items, share: float, words_of: dict[bytes, int]) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, distance) of every text and item within ``share`` of its words."""
+def _candidates(flat: np.ndarray, edges: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, word of the text at which the item would begin) of every run that equals a piece, sorted."""
+    found = []
+    for length, keys in enumerate(run_keys(flat, max(items.tables, default=0)), 1):
+        if length not in items.tables:
+            continue
+        seen, known, owners, before = items.tables[length]
+        near = np.flatnonzero(seen.take(keys >> np.uint64(64 - _FILTER_BITS)))
+        low, high = np.searchsorted(known, keys[near], "left"), np.searchsorted(known, keys[near], "right")
+        text = np.searchsorted(edges, near, "right") - 1
+        hit = (low < high) & (near + length <= edges[text + 1])
+        near, low, text, counts = near[hit], low[hit], text[hit], (high - low)[hit]
+        entry = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        text = np.repeat(text, counts)
+        found.append((text, owners[entry], np.repeat(near, counts) - edges[text] - before[entry]))
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    text, item, at = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((at, item, text))
+    return text[order], item[order], at[order]
+
+
+def _search(texts: list[bytes], items: Items, words_of: dict[bytes, int]) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, distance) of every text and item within the allowed edits."""
     split = [t.lower().split() for t in texts]
     edges = np.concatenate([[0], np.cumsum([len(w) for w in split])])
-    flat = np.zeros(edges[-1] + 1, np.uint32)
-    flat[:-1] = np.fromiter(map(words_of.__getitem__, chain.from_iterable(split)), np.uint32, int(edges[-1]))
-    found: set[tuple[int, int, int]] = set()
-    for width, tables in items.tables.items():
-        step = width // 2
-        counts = np.maximum(0, (np.diff(edges) - width) // step + 1)
-        which = np.repeat(np.arange(len(split)), counts)
-        starts = edges[which] + step * (np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts))
-        done = 0
-        for block in items.family.keys(flat, starts, width):
-            for keys, (seen, known, owners, before) in zip(block, tables, strict=True):
-                near = np.flatnonzero(seen.take(keys >> np.uint64(64 - _FILTER_BITS)))
-                low, high = np.searchsorted(known, keys[near], "left"), np.searchsorted(known, keys[near], "right")
-                hit = low < high
-                for k, a, b in zip((near[hit] + done).tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-                    d = int(which[k])
-                    found.update((d, int(owners[x]), int(starts[k] - edges[d] - before[x])) for x in range(a, b))
-            done += block.shape[1]
+    flat = np.fromiter(map(words_of.__getitem__, chain.from_iterable(split)), np.uint64, int(edges[-1]))
+    text, item, at = _candidates(flat, edges, items)
+    if not len(text):
+        return []
+    sizes = np.array([len(w) for w in items.words])
+    # candidates nearer than half an item are looked at together
+    new = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(at) > sizes[item[1:]] // 2)
+    firsts = np.concatenate([[0], np.flatnonzero(new) + 1])
+    lasts = np.append(firsts[1:], len(at)) - 1
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    cache: dict[int, list[bytes]] = {}
-    checked: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for d, i, at in sorted(found):
-        item = items.words[i]
+    for d, i, a, b in zip(*(c.tolist() for c in (text[firsts], item[firsts], at[firsts], at[lasts])), strict=True):
         if best.get((d, i), (1,))[0] == 0:
             continue
-        allowed = int(share * len(item))
-        low, high = max(0, at - allowed), at + len(item) + allowed
-        if any(a <= low and high <= b for a, b in checked.get((d, i), ())):
-            continue
-        low, high = max(0, low - allowed), high + allowed  # a little more, so that shifted candidates need no second look
-        checked.setdefault((d, i), []).append((low, high))
-        if d not in cache:
-            cache = {d: [w.strip(_MARKS) or w for w in split[d]]}
-        if len(items.distinct[i].difference(cache[d][low:high])) > allowed:  # each edit accounts for one word at most
+        allowed = items.allowed(i)
+        low, high = max(0, a - allowed), b + len(items.words[i]) + allowed
+        around = [w.strip(_MARKS) or w for w in split[d][low:high]]
+        if len(items.distinct[i].difference(around)) > allowed:  # each edit accounts for one word at most
             continue
-        distance, a, b = align(item, cache[d][low:high])
+        distance, start, end = align(items.words[i], around)
         if distance <= allowed:
-            best[d, i] = min(best.get((d, i), (distance, low + a, low + b)), (distance, low + a, low + b))
+            one = (distance, low + start, low + end)
+            best[d, i] = min(best.get((d, i), one), one)
     return [(d, i, a, b, e) for (d, i), (e, a, b) in best.items()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, block_items: int = 4000, family: Family = Family()) -> DataFrame:  # noqa: B008
-    """HITS: the best alignment of every document and item that are within ``share`` of the item's words."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, block_items: int = 4000) -> DataFrame:
+    """HITS: the best alignment of every document and item that are within ``share`` (0 to under 1) of the item's words."""
+    if not 0 <= share < 1:
+        raise ValueError("share must be 0 or more and under 1")
 
     def hits(items: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,14 +177,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, blo
                 def __missing__(self, word: bytes) -> int:
                     if len(self) >= 60_000:
                         self.clear()
-                    self[word] = h = xxhash.xxh64_intdigest(word.strip(_MARKS) or word) >> 32 | 1
+                    self[word] = h = word_hash(word.strip(_MARKS) or word)
                     return h
 
             words = Words()
             for batch in batches:
                 doc_ids, rows = batch.column(0).to_pylist(), []
                 for part, texts in text_parts(batch):
-                    rows += [(doc_ids[part.start + d], items.ids[i], a, b, e, len(items.words[i])) for d, i, a, b, e in _search(texts, items, share, words)]
+                    rows += [(doc_ids[part.start + d], items.ids[i], a, b, e, len(items.words[i])) for d, i, a, b, e in _search(texts, items, words)]
                 cols = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "distance", "item_words"])
 
@@ -225,5 +195,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, blo
         ids.append(row["i"])
         words.append(tokens(row["t"].encode()))
         if len(ids) == block_items:
-            out, ids, words = out.union(hits(Items(ids, words, family).index())), [], []
-    return out.union(hits(Items(ids, words, family).index())) if ids else out
+            out, ids, words = out.union(hits(Items(ids, words, share).index())), [], []
+    return out.union(hits(Items(ids, words, share).index())) if ids else out

@@ -64,6 +64,26 @@ def test_planted_items(spark):
         assert len(got - want) <= 2
 
 
+def test_all_allowed_edits_are_found(spark):
+    rng = random.Random(9)
+    long = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    short = [(1000 + i, " ".join(f"s{rng.randrange(300)}" for _ in range(5 + i % 4))) for i in range(80)]
+    bench = spark.createDataFrame(long + short, "item_id long, text string")
+    text_of = dict(long + short)
+    for items in (long, short):
+        for share in (0.1, 0.15, 0.2, 0.25):
+            rows, want = [], set()
+            for d in range(200):
+                one = rng.choice(items)
+                (row,), pair = planted([one], int(share * len(one[1].split())), 1, rng.random())
+                rows.append((d, row[1]))
+                want |= {(d, i) for _, i in pair}
+            got = {(r.doc_id, r.item_id): r.distance for r in dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+            assert want <= set(got)
+            for (d, i), e in got.items():
+                assert e == distance(dc.tokens(text_of[i].encode()), dc.tokens(rows[d][1].encode()))
+
+
 def test_documents_by_brute_force(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     items = {r.item_id: dc.tokens(r.text.encode()) for r in bench.collect()}
