@@ -2,8 +2,8 @@
 
 * ``write_archives``: each task writes its pages, in the order it reads them, as gzip members of WARC files; payloads do not
   move. Of records with equal payloads the one with the largest page_id is a response, the others revisit it.
-* ``build_index``: captures, range-partitioned and sorted by (reversed-host URL key, page_id), are packed into compressed
-  blocks of lines; each index file ends with nothing but blocks and has a sparse directory (first key and place of each
+* ``build_index``: captures, range-partitioned and sorted by the head of their line (the reversed-host URL key, encoded as
+  in the line, and the padded page_id), are packed into compressed blocks of lines; each index file ends with nothing but blocks and has a sparse directory (first key and place of each
   block) beside it. Both levels are files; only one first key for each index file is held in memory.
 * ``locate``: sorted queries binary-search the index files, then the directory of a file, then the lines of a block, and
   give each capture's archive, offset and length. ``fetch`` sorts those by place, joins neighbours into larger range
@@ -27,6 +27,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.fs
@@ -157,9 +158,9 @@ def build_index(captures: DataFrame, root: str, lines: int = 512, per_file: int
 
         for batch in batches:
             out = out or fs.open_output_stream(f"{base}/{name}.cdx", compression=None)
-            for key, page_id, url, digest, kind, file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for head, url, digest, kind, file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 rest = json.dumps([url, digest, kind, file, offset, length], separators=(",", ":"), ensure_ascii=True).replace(" ", "\\u0020")
-                block.append(f"{line_key(key, page_id)} {rest}")
+                block.append(f"{head} {rest}")
                 if len(block) == lines:
                     flush()
         if block:
@@ -170,15 +171,20 @@ def build_index(captures: DataFrame, root: str, lines: int = 512, per_file: int
                 d.write(zlib.compress(json.dumps(places).encode(), 6))
             yield pa.RecordBatch.from_arrays([pa.array([places[0][0]]), pa.array([name])], ["first", "file"])
 
-    ordered = captures.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
+    # the order of the files is that of the lines: by their bytes, which Spark and Python's bisect agree on
+    headed = captures.select(line_head(F.col("key"), F.col("page_id")).alias("head"), "url", "payload_digest", "record_type", "file", "offset", "length")
+    ordered = headed.repartitionByRange(parts, "head").sortWithinPartitions("head")
     heads = materialize(ordered.transform(map_batches, run, "first string, file string"), "index_heads").collect()
     return sorted((r["first"], r["file"]) for r in heads)
 
 
-def line_key(key: str, page_id: int | None) -> str:
-    """A sortable line head: white space and control characters are encoded, numbers padded, null first."""
-    clean = "".join(c if c > " " else f"%{ord(c):02X}" for c in key)
-    return f"{clean} {'-' if page_id is None else f'{page_id + (1 << 63):020d}'}"
+def line_head(key: F.Column, page_id: F.Column) -> F.Column:
+    """The sortable head of an index line: white space and control characters are encoded, numbers padded, null first."""
+    clean = key = F.coalesce(key, F.lit(""))
+    for c in range(33):
+        clean = F.replace(clean, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    number = F.lpad((page_id.cast("decimal(20,0)") + F.lit(Decimal(1 << 63))).cast("decimal(20,0)").cast("string"), 20, "0")
+    return F.concat(F.when(key.rlike(r"[\x00-\x20]"), clean).otherwise(key), F.lit(" "), F.coalesce(number, F.lit("-")))
 
 
 class Reader:
@@ -204,11 +210,12 @@ class Reader:
         return self.block[2]
 
     def find(self, head: str) -> Iterator[list]:
-        """Captures whose line begins with ``head``, over as many blocks and files as they fill."""
-        file = max(0, bisect.bisect_left(self.firsts, head) - 1)
+        """Captures whose line begins with ``head`` (it ends in a space), over as many blocks and files as they fill."""
+        begin = head[:-1]  # blocks and files that begin with the wanted head itself come after the one to start in
+        file = max(0, bisect.bisect_left(self.firsts, begin) - 1)
         while file < len(self.files):
             places = self._places(file)
-            at = max(0, bisect.bisect_left(places, head, key=lambda p: p[0]) - 1)
+            at = max(0, bisect.bisect_left(places, begin, key=lambda p: p[0]) - 1)
             while at < len(places):
                 lines = self._lines(file, at)
                 i = bisect.bisect_left(lines, head)
@@ -224,21 +231,24 @@ class Reader:
 def locate(queries: DataFrame, root: str, heads: list[tuple[str, str]]) -> DataFrame:
     """url, file, offset, length, record_type of every capture of each (key, page_id) query; a null page_id asks for all
     of its URL key."""
-    wanted = queries.select("key", F.col("page_id").cast("long").alias("page_id")).distinct()
+    number = F.col("page_id").cast("long")
+    head = line_head(F.col("key"), number)
+    # without a number the wanted head ends after the key
+    whole = F.when(number.isNull(), F.substring(head, F.lit(1), F.length(head) - 1)).otherwise(F.concat(head, F.lit(" ")))
+    wanted = queries.select(whole.alias("head")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(root, heads)
         for batch in batches:
             found = []
-            for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                head = line_key(key, page_id) + " " if page_id is not None else line_key(key, None)[:-1]
+            for head in batch.column(0).to_pylist():
                 found += reader.find(head)
             kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             cols = zip(*found, strict=True) if found else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["url", "payload_digest", "record_type", "file", "offset", "length"])
 
     n = wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    spread = wanted.repartitionByRange(int(n), "key", "page_id").sortWithinPartitions("key", "page_id")
+    spread = wanted.repartitionByRange(int(n), "head").sortWithinPartitions("head")
     return spread.transform(map_batches, run, "url string, payload_digest string, record_type string, file string, offset long, length long")
 
 
@@ -276,5 +286,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     root = scratch_dir(pages.sparkSession)
     captures = write_archives(pages, root)
     heads = build_index(captures, root)
-    places = materialize(locate(captures.select("key", "page_id"), root, heads), "places")
+    places = materialize(locate(captures.select("key", "page_id"), root, heads).select("file", "offset", "length").distinct(), "places")
+    if (found := places.count()) != (archived := captures.count()):
+        raise RuntimeError(f"the index leads to {found} of {archived} captures")
     return fetch(places, root)

@@ -71,6 +71,27 @@ def test_many_copies_over_many_blocks(spark):
     assert got(warc.round_trip(df)) == expected(rows)
 
 
+def test_keys_with_characters_that_lines_encode(spark):
+    names = ["a b", "a!b", 'a"b', "a#b", "a$b", "a%b", "a\tb", "a\nb", "a%0Ab", "a%20b", "a", "a b!", "é b", "\x00"]
+    rows = [(i, f"{head}{name}", f"body {i}") for i, (head, name) in enumerate((h, n) for h in ("http://x/", "") for n in names)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert got(warc.round_trip(df)) == expected(rows)
+    root = scratch_dir(spark)
+    captures = warc.write_archives(df, root)
+    heads = warc.build_index(captures, root, lines=2, per_file=5)
+    for q in (captures, captures.selectExpr("key", "cast(null as bigint) as page_id")):
+        assert got(warc.fetch(warc.locate(q, root, heads), root)) == expected(rows)
+
+
+def test_repeated_rows_over_many_blocks(spark):
+    rows = [(7, "http://x/a", "one")] * 9 + [(8, "http://x/a", "two"), (-(1 << 63), "http://x/a", "low"), ((1 << 63) - 1, "http://x/a", "high")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    root = scratch_dir(spark)
+    captures = warc.write_archives(df, root)
+    heads = warc.build_index(captures, root, lines=2)
+    assert got(warc.fetch(warc.locate(captures, root, heads), root)) == expected(rows)
+
+
 def test_records_are_checked():
     raw, _, _ = warc.record(3, "http://x/", b"payload", None, "2000-01-01T00:00:00Z")
     assert warc.parse(raw)[:2] == (3, 7) and gzip.decompress(gzip.compress(raw)) == raw
