@@ -1,6 +1,7 @@
 """Operator 7, benchmark decontamination: exact search by pieces within an edit distance, exact alignment.
 
-The unit of an edit is a word (ASCII case and marks at its ends ignored). An item of n words may differ by k = share * n
+The unit of an edit is a word (ASCII case and marks at its ends ignored); in scripts that put no spaces between words (Han,
+kana, Thai, Lao, Tibetan, Burmese, Khmer) it is a character, and their marks part words. An item of n words may differ by k = share * n
 edits. Cut into k + 1 pieces, at least one piece stands unchanged in every run of words within k edits of the item, as an
 edit spoils one piece at most. So each run of a document that equals a piece is a candidate, and no pair within k edits is
 missed. At a share of a quarter, pieces have two to four words.
@@ -12,13 +13,14 @@ distance of the item to any run of words around the candidates decides.
 
 Items are read in blocks of ``block_items``, which bounds what tasks are sent; each block is met with all documents.
 
-Edge cases: null and empty documents and items match nothing; items of fewer than five words can't be told from common
-phrases and are not searched; texts of any length are read whole; repeated documents are reported each, repeated items
-too; empty tables give an empty result; other columns are ignored.
+Edge cases: null and empty documents and items match nothing; an item of one word is met by each document that has the
+word; texts of any length are read whole; repeated documents are reported each, repeated items too; empty tables give an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -31,17 +33,28 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import map_batches, text_parts
 
-LEAST_WORDS = 5
 MOST_PIECE = 6
 HITS = "doc_id long, item_id long, start long, end long, distance long, item_words long"
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: UTF-8 of characters of scripts without spaces, their leading bytes, and the marks among them and in full width.
+_DENSE = re.compile(rb"(?:\xe0[\xb8-\xbf]|\xe1[\x80-\x82\x9e\x9f]|\xe2[\xba-\xbf]|[\xe3-\xe9][\x80-\xbf]|\xef[\xa4-\xab]|\xf0[\xa0-\xb2][\x80-\xbf])[\x80-\xbf]")
+_DENSE_LEAD = re.compile(rb"[\xe0-\xf0]")
+_WIDE_MARKS = re.compile(rb"\xe3\x80[\x80-\x84\x88-\xa0]|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
 _FILTER_BITS = 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def split_words(text: bytes) -> list[bytes]:
+    """Lower-case words as they stand; characters where the script has no spaces."""
+    text = text.lower()
+    if not text.isascii() and _DENSE_LEAD.search(text):
+        text = _DENSE.sub(rb" \g<0> ", _WIDE_MARKS.sub(b" ", text))
+    return text.split()
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Lower-case words without the marks around them; a word of marks only stays."""
-    return [w.strip(_MARKS) or w for w in text.lower().split()]
+    return [w.strip(_MARKS) or w for w in split_words(text)]
 
 
 def pieces(n: int, allowed: int) -> list[tuple[int, int]]:
@@ -78,7 +91,7 @@ class Items:
         self.distinct = [frozenset(w) for w in self.words]
         found: dict[int, list[tuple[int, int, int]]] = {}
         for i, w in enumerate(self.words):
-            if len(w) >= LEAST_WORDS:
+            if w:
                 hashes = np.array([word_hash(x) for x in w], np.uint64)
                 for a, b in pieces(len(w), self.allowed(i)):
                     length = min(b - a, MOST_PIECE)
@@ -139,7 +152,7 @@ def _candidates(flat: np.ndarray, edges: np.ndarray, items: Items) -> tuple[np.n
 
 def _search(texts: list[bytes], items: Items, words_of: dict[bytes, int]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, distance) of every text and item within the allowed edits."""
-    split = [t.lower().split() for t in texts]
+    split = [split_words(t) for t in texts]
     edges = np.concatenate([[0], np.cumsum([len(w) for w in split])])
     flat = np.fromiter(map(words_of.__getitem__, chain.from_iterable(split)), np.uint64, int(edges[-1]))
     text, item, at = _candidates(flat, edges, items)

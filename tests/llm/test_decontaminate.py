@@ -97,6 +97,23 @@ def test_documents_by_brute_force(spark):
     assert got == want and want
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Ofira"), (2, "blue Ofira"), (3, "why blue Ofira?"), (4, "who saw blue Ofira"), (5, "光合作用发生在叶绿体中。"), (6, "แมวอยู่บนเสื่อ"), (7, "ひかりはどこから"), (8, "什么")]
+    docs = [
+        (1, "see ofira."), (2, "a blue, OFIRA b"), (3, "x why blue ofira y"), (4, "who has blue Ofira"), (5, "Ofira blue"),
+        (6, "我们知道光合作用发生在叶绿体中，是吗"), (7, "我们知道光合反应发生于叶绿体里，是吗"), (8, "ฉันเห็นแมวอยู่บนเสื่อนั้น"), (9, "さてひかりはどこへ"), (10, "说什么呢"), (11, "caf\u00e9 \u2019 na\u00efve"), (12, "光合反应不发生叶"),
+    ]
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = dc.tokens(item.encode()), dc.tokens(text.encode())
+            if (e := distance(a, b)) <= len(a) // 4:
+                want[d, i] = e
+    assert {(1, 1), (2, 2), (3, 3), (4, 4), (6, 5), (8, 6), (9, 7), (10, 8)} <= set(want) and not any(d in (11, 12) for d, _ in want)
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.distance for r in got.collect()} == want
+
+
 def test_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, None), (3, "one two"), (None, "w1x1 w2x2 w3x3 w4x4 w5x5 w6x6"), (1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
     got = [(r.doc_id, r.item_id, r.distance) for r in dc.contaminated(odd, bench).collect()]
