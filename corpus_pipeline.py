@@ -1,7 +1,7 @@
 """Corpus preparation as five stages over ``documents``: each applies one operator to all that the one before it kept.
 
-Filters work by id: rows whose doc_id is rejected go, rows without doc_id stay, other columns pass through. Texts are
-not shuffled by a filter while the rejected ids fit a broadcast of stated size.
+Filters decide on each row by itself, by a key of the stage that tells rows apart where doc_id is repeated or null; other
+columns pass through. Texts are not shuffled by a filter while the rejected keys fit a broadcast of stated size.
 """
 
 from __future__ import annotations
@@ -17,32 +17,58 @@ from tallyforge.llm.common import doc_fold, materialize, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Up to so many rejected ids (8 bytes each) reach the documents by broadcast, beyond it by a shuffle join.
+#: Up to so many rejected keys (8 bytes each) reach the documents by broadcast, beyond it by a shuffle join.
 BROADCAST_IDS = 2_000_000
+#: The column of a stage's row keys.
+ROW = "stage_row_key"
 
 
-def without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """``docs`` but the rows whose doc_id is in ``rejected``."""
-    ids = materialize(rejected.select(F.col("doc_id").cast("long").alias("rejected_id")).where("rejected_id is not null").distinct(), name)
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key for each row: doc_id where that tells all rows apart, else a number, written once."""
+    number = F.col("doc_id").cast("long")
+    unclear = docs.select(number.alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("c")).where("doc_id is null or c > 1")
+    if unclear.isEmpty():
+        return docs.withColumn(ROW, number)
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """What operators read, with the row key for an id."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    """``rows`` but those whose key is among the doc_id of ``rejected``; the keys go."""
+    ids = materialize(rejected.select(F.col("doc_id").alias(ROW)).distinct(), name)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].cast("long") == ids["rejected_id"], "left_anti")
+    return rows.join(ids, ROW, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents whose score is 0.5 or more go; learnt from the labels outside the held-out fold."""
-    scored = toxicity.score_toxicity(docs, read_table(spark, sf_dir, "labels"), doc_fold("doc_id", 5) != 0)
-    return without(docs, scored.where("predicted = 1"), "toxic_ids")
+    rows = keyed(docs, "toxicity_rows")
+    known = read_table(spark, sf_dir, "labels").where(doc_fold("doc_id", 5) != 0).select(F.col("doc_id").cast("long").alias("id"), "toxic")
+    # a label holds for each row of its document
+    known = rows.select(F.col("doc_id").cast("long").alias("id"), F.col(ROW).alias("doc_id")).join(known, "id", "right").drop("id")
+    scored = toxicity.score_toxicity(by_row(rows), materialize(known, "row_labels"), F.lit(True))
+    return without(rows, scored.where("predicted = 1"), "toxic_rows")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates: of documents linked by five-word shingles at 0.8, that with the smallest id stays."""
-    return without(docs, near_dup.near_duplicates(docs, width=5, percent=80).where("not kept"), "duplicate_ids")
+    """Near-duplicates: of documents linked by five-word shingles at 0.8, one row with the smallest id stays. A row without
+    doc_id does not go for one that has it: of such rows, too, one of those linked stays."""
+    rows = keyed(docs, "duplicate_rows")
+    found = near_dup.near_duplicates(by_row(rows), width=5, percent=80).select(F.col("doc_id").alias(ROW), "component_id")
+    found = materialize(found.join(rows.select(ROW, F.col("doc_id").cast("long").alias("id")), ROW), "row_components")
+    least = found.groupBy("component_id", F.isnull("id").alias("nameless")).agg(F.min(F.struct("id", ROW)).alias("least"))
+    return without(rows, found.join(least.select(f"least.{ROW}"), ROW, "left_anti").select(F.col(ROW).alias("doc_id")), "duplicates")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: documents that hold a benchmark item, within a quarter of its words, go."""
-    return without(docs, decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")), "contaminated_ids")
+    rows = keyed(docs, "contamination_rows")
+    return without(rows, decontaminate.contaminated(by_row(rows), read_table(spark, sf_dir, "benchmark")), "contaminated_rows")
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,27 @@ def test_odd_rows_pass_through(spark, odd, none):
         assert stage(spark, none, SF).count() == 0, name
 
 
+def test_rows_are_decided_one_by_one(spark):
+    docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    stages = dict(corpus_pipeline.STAGES)
+    scored = toxicity.score_toxicity(docs, labels, doc_fold("doc_id", 5) != 0)
+    bad = scored.join(labels, "doc_id", "left_anti").where("predicted = 1").first().doc_id
+    good = scored.join(labels, "doc_id", "left_anti").where("predicted = 0").first().doc_id
+    item = bench.first().text
+    mixed = lambda texts: spark.createDataFrame([(-1, texts[0]), (-1, texts[1]), (None, texts[0]), (None, texts[1])], "doc_id long, text string")
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.where("doc_id is null or doc_id < 0").collect()), key=str)
+    text = {r.doc_id: r.text for r in docs.where(docs.doc_id.isin(bad, good)).collect()}
+    more = docs.select("doc_id", "text").union(mixed([text[bad], text[good]]))
+    assert left(stages["toxicity"](spark, more, SF)) == sorted([(-1, text[good]), (None, text[good])], key=str)
+    texts = [f"so it says {item} and more", "nothing of that kind is in here at all"]
+    assert left(stages["decontamination"](spark, mixed(texts), SF)) == sorted([(-1, texts[1]), (None, texts[1])], key=str)
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, words), (2, words + " end"), (2, words), (2, words), (2, "quite another text under the same number"), (None, words), (None, words)]
+    unique = stages["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    linked = [r.doc_id for r in unique if r.text.startswith(words)]
+    assert sorted(linked, key=str) == [2, None] and (2, rows[4][1]) in [(r.doc_id, r.text) for r in unique] and len(unique) == 3
+
+
 def test_catalog_has_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 11))
 
