@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, language_id, near_dup, packing, pii, quality_model, quality_rules, sharding, toxicity, warc
-from tallyforge.llm.common import doc_fold, read_table
+from tallyforge.llm.common import doc_fold, read_table, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,8 +67,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "passages")
 
 
+def lean(query: Query) -> Query:
+    """The query in a session of small batches."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_language_id": op3_language_id, "op4_quality_rules": op4_quality_rules, "op5_quality_model": op5_quality_model, "op6_near_dup": op6_near_dup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_toxicity": op10_toxicity}
+    every = (op1_packing, op2_pii, op3_language_id, op4_quality_rules, op5_quality_model, op6_near_dup, op7_decontaminate, op8_warc, op9_sharding, op10_toxicity)
+    return {q.__name__: lean(q) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:

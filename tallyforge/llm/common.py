@@ -26,9 +26,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared one that the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a single-machine session, as in tests) a temporary folder takes its place.
+    Without the setting, a temporary folder takes its place where all runs in one process, as in tests; on a cluster that
+    is an error, as no folder of one machine would do.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/tf-{uuid.uuid4().hex}"
 
 
@@ -46,12 +52,15 @@ def doc_fold(doc_id: str | F.Column, n: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let tasks hand little to Python at a time, as texts may be long and a batch is held on both sides. A setting of the
+    whole session, so operators leave it alone; the registered queries and the pipeline make it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with little memory: the session's limits on what a task hands to Python at a time are
-    set low, as texts may be long and a batch is held on both sides, and a worker, which outlives its task, gives back
-    what the task no longer needs."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """``df.mapInArrow(run, schema)`` whose workers, which outlive their tasks, give back what a task no longer needs."""
 
     def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
@@ -65,7 +74,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(thrifty, schema)
 
 
-def text_parts(batch: pa.RecordBatch, most: int = 2 << 20, name: str = "text") -> Iterator[tuple[slice, list[bytes]]]:
+def text_parts(batch: pa.RecordBatch, most: int = 1 << 20, name: str = "text") -> Iterator[tuple[slice, list[bytes]]]:
     """Runs of a batch's texts, of about ``most`` bytes each, as UTF-8; null counts as empty. Only one run is in Python at
     a time, however large the batch is."""
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())

@@ -123,10 +123,12 @@ def cut(text: bytes, classes: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, may_learn: F.Column, per_language: int, per_text: int) -> list[tuple[str, str]]:
-    """(lang, passage) pairs: about ``per_language`` documents a language by a hash of the id, ``per_text`` passages of a window's length each."""
-    usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    """(lang, passage) pairs: about ``per_language`` documents a language by a hash of id, text and place, so that rows alike in
+    id or text are drawn apart; ``per_text`` passages of a window's length each."""
+    drawn = docs.select("doc_id", "lang", "text", F.xxhash64(F.lit(11), "doc_id", "text", F.monotonically_increasing_id()).alias("draw"))
+    usable = drawn.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    u = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
     starts = [F.greatest(F.lit(1), (F.length("text") * (i + 0.5) / per_text).cast("int") - WINDOW // 2) for i in range(per_text)]
     passages = F.array(*[F.substring("text", s, F.lit(WINDOW)) for s in starts])
     chosen = usable.join(F.broadcast(counts), "lang").where(u * F.col("n") < 1.25 * per_language).select("lang", u.alias("u"), passages.alias("p")).collect()

@@ -1,7 +1,7 @@
 """Operator 1, packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
-Documents are dealt to partitions by a hash of their id; a partition is read in hash order and cut into groups of
-``group_tokens``. Within a group, runs of ``capacity`` tokens of a long document fill sequences of their own, and the
+Rows are dealt to partitions by a hash of their id and place, so that no id, null or repeated, falls to one task; a
+partition is read in hash order and cut into groups of ``group_tokens``. Within a group, runs of ``capacity`` tokens of a long document fill sequences of their own, and the
 remaining pieces are placed by first-fit decreasing: a winner tree over the open sequences' free space finds the first
 that fits in O(log bins). Only a group is in memory at a time, whatever the partition holds.
 
@@ -75,7 +75,8 @@ def word_encoder(path: str, limit: int) -> Callable[[list[bytes]], list[bytes]]:
 
     def parts(word: bytes) -> tuple[bytes, bytes]:
         core = word.rstrip(_TAIL)
-        if core and len(core) < len(word) and (core[-1:].isalnum() or core.decode("utf-8", "replace")[-1].isalpha()):
+        # some letters in lower case end in a combining mark, which is one run with the marks that follow
+        if core and len(core) < len(word) and (core[-1:].isalnum() or core.decode("utf-8", "replace").lower()[-1].isalpha()):
             return core.lower(), word[len(core) :]
         return word, b""
 
@@ -83,7 +84,7 @@ def word_encoder(path: str, limit: int) -> Callable[[list[bytes]], list[bytes]]:
         nonlocal flat, start
         split = [parts(w) for w in fresh]
         unknown = {p for s in split for p in s if p and p not in cores}
-        alone = [(w, t) for w in unknown if (t := w.decode("utf-8", "replace")).isalpha()]
+        alone = [(w, t) for w in unknown if (t := w.decode("utf-8", "replace")).lower().isalpha()]
         got = ids_of(" ".join(t for _, t in alone)) if alone else np.zeros(0, "<u4")
         ends = (np.flatnonzero(last[got]) + 1).tolist()
         if len(ends) == len(alone):  # each is one run of letters, so one token run
@@ -152,9 +153,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_t
             yield _pack_group(group, part + made, capacity)[0]
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
-    rank = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, part_bytes, rank)
-    return dealt.sortWithinPartitions(rank, "doc_id").transform(map_batches, run, PIECES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()).alias("rank"))
+    return spread(rows, size, part_bytes, F.col("rank")).sortWithinPartitions("rank").transform(map_batches, run, PIECES)
 
 
 def pack_digest(pieces: DataFrame) -> DataFrame:

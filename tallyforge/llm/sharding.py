@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.llm.common import materialize
+
 #: (region, rack, shard, weight)
 Leaf = tuple[int, int, int, float]
 
@@ -75,22 +77,24 @@ def assign(df: DataFrame, key: str, topo: Topology, out: str = "shard") -> DataF
     return df.withColumn(out, pick.cast("int")).drop(region, rack)
 
 
-def number_slots(df: DataFrame, shard: str, order: list[str], slices: int = 256, out: str = "slot") -> DataFrame:
+def number_slots(df: DataFrame, shard: str, order: list[str], per_slice: int = 20_000, out: str = "slot") -> DataFrame:
     """Gapless numbers from 0 within each shard without sorting a shard in one task.
 
-    A shard is cut into ``slices`` by the hash of the order columns; rows are numbered inside their slice and the slices'
-    counts, ``slices`` rows a shard, give the offsets. Raise ``slices`` with the input: a slice is one task's sort.
+    The rows are written once with a draw from the order columns and their place, so that equal rows are drawn apart.
+    Slices of a shard by that draw hold about ``per_slice`` rows; rows are numbered inside their slice and the slices'
+    counts, one row each, give the offsets.
     """
-    cut = F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int")
-    rows = df.withColumn("__cut", cut)
-    inner = rows.withColumn("__n", F.row_number().over(Window.partitionBy(shard, "__cut").orderBy(*order)))
+    drawn = materialize(df.withColumn("__draw", F.xxhash64(*order, F.monotonically_increasing_id())), "drawn")
+    most = drawn.groupBy(shard).count().agg(F.max("count")).first()[0] or 0
+    rows = drawn.withColumn("__cut", F.pmod("__draw", F.lit(max(1, -(-most // per_slice)))).cast("int"))
+    inner = rows.withColumn("__n", F.row_number().over(Window.partitionBy(shard, "__cut").orderBy("__draw")))
     counts = rows.groupBy(shard, "__cut").agg(F.count("*").alias("__c"))
     before = Window.partitionBy(shard).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "__cut", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
-    return inner.join(offsets, [shard, "__cut"]).withColumn(out, (F.col("__before") + F.col("__n") - 1).cast("long")).drop("__cut", "__n", "__before", "__c")
+    return inner.join(offsets, [shard, "__cut"]).withColumn(out, (F.col("__before") + F.col("__n") - 1).cast("long")).drop("__draw", "__cut", "__n", "__before", "__c")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, slices: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """Shard, size, checksum and slot of every row, and its shard after one more is opened; texts are not shuffled."""
     narrow = docs.select(
         "doc_id",
@@ -99,4 +103,4 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, slices: int = 256) -> D
         F.lit("key").alias("law"),
     )
     both = assign(assign(narrow, "doc_id", Topology.of(n_shards)), "doc_id", Topology.of(n_shards + 1), "grown_shard")
-    return number_slots(both, "shard", ["doc_id", "text_crc32", "size"], slices).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return number_slots(both, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

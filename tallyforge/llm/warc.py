@@ -3,8 +3,9 @@
 * ``write_archives``: each task writes its pages, in the order it reads them, as gzip members of WARC files; payloads do not
   move. Of records with equal payloads the one with the largest page_id is a response, the others revisit it.
 * ``build_index``: captures, range-partitioned and sorted by the head of their line (the reversed-host URL key, encoded as
-  in the line, and the padded page_id), are packed into compressed blocks of lines; each index file ends with nothing but blocks and has a sparse directory (first key and place of each
-  block) beside it. Both levels are files; only one first key for each index file is held in memory.
+  in the line, and the padded page_id), are packed into compressed blocks of lines. An index file is a run of blocks; a
+  sparse directory (first key and place of each block) lies beside it. Both levels are files; only one first key for each
+  index file is held in memory.
 * ``locate``: sorted queries binary-search the index files, then the directory of a file, then the lines of a block, and
   give each capture's archive, offset and length. ``fetch`` sorts those by place, joins neighbours into larger range
   reads and parses the records.
@@ -34,12 +35,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialize, scratch_dir, map_batches
+from tallyforge.llm.common import map_batches, materialize, scratch_dir
 
 CAPTURES = "key string, page_id long, url string, payload_digest string, record_type string, file string, offset long, length long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-#: Up to so many revisits (about 16 bytes each) they reach the writers by broadcast, beyond it by a shuffle of the pages.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many revisits (about 36 bytes each) they reach the writers by broadcast, beyond it by a shuffle of the pages.
+BROADCAST_ROWS = 1_000_000
 
 
 def url_key(url: F.Column) -> F.Column:
@@ -93,24 +94,28 @@ def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None, bytes | No
     return number(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], number(fields.get("WARC-Refers-To")), payload if fields["WARC-Type"] == "response" else None
 
 
+def payload() -> F.Column:
+    return F.coalesce(F.col("html"), F.lit("")).cast("binary")
+
+
 def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, refers_to: pages whose payload a page with a larger id has. Only digests are shuffled; groups of any size
-    are reduced on the map side."""
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keys = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(body)).alias("d"), F.octet_length(body).alias("n"))
+    """page_id, digest, refers_to: pages whose payload a page with a larger id has; an id that is repeated with different
+    payloads is told apart by the digest. Only digests are shuffled; groups of any size are reduced on the map side."""
+    keys = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(payload())).alias("digest"), F.octet_length(payload()).alias("n"))
     keys = materialize(keys, "digests")
-    groups = keys.groupBy("d", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return keys.join(groups, ["d", "n"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    groups = keys.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return keys.join(groups, ["digest", "n"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, root: str, date: str = "2000-01-01T00:00:00Z", most: int = 1 << 30, level: int = 4) -> DataFrame:
-    """Write the archives below ``root`` and return their captures, a table in the shared folder."""
+    """Write the archives below ``root`` and return their captures, a table in the shared folder: one record a row of pages."""
     seen = materialize(revisits(pages), "revisits")
     if seen.count() <= BROADCAST_ROWS:
         seen = F.broadcast(seen)
     url = F.coalesce(F.col("url"), F.concat(F.lit("urn:x-page:"), F.col("page_id").cast("string")), F.lit("urn:x-page:"))
     url = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), "html").withColumn("key", url_key(F.col("url"))).join(seen, "page_id", "left")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), "html", F.unhex(F.sha1(payload())).alias("digest"))
+    rows = rows.withColumn("key", url_key(F.col("url"))).join(seen, ["page_id", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)
@@ -228,7 +233,7 @@ class Reader:
             file += 1
 
 
-def locate(queries: DataFrame, root: str, heads: list[tuple[str, str]]) -> DataFrame:
+def locate(queries: DataFrame, root: str, heads: list[tuple[str, str]], per_task: int = 20_000) -> DataFrame:
     """url, file, offset, length, record_type of every capture of each (key, page_id) query; a null page_id asks for all
     of its URL key."""
     number = F.col("page_id").cast("long")
@@ -247,12 +252,12 @@ def locate(queries: DataFrame, root: str, heads: list[tuple[str, str]]) -> DataF
             cols = zip(*found, strict=True) if found else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["url", "payload_digest", "record_type", "file", "offset", "length"])
 
-    n = wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    spread = wanted.repartitionByRange(int(n), "head").sortWithinPartitions("head")
+    parts = max(1, -(-queries.count() // per_task))
+    spread = wanted.repartitionByRange(parts, "head").sortWithinPartitions("head")
     return spread.transform(map_batches, run, "url string, payload_digest string, record_type string, file string, offset long, length long")
 
 
-def fetch(places: DataFrame, root: str, most: int = 4 << 20, gap: int = 64 << 10) -> DataFrame:
+def fetch(places: DataFrame, root: str, most: int = 4 << 20, gap: int = 64 << 10, per_task: int = 16 << 20) -> DataFrame:
     """RECORDS of the given archive places. Places near each other are read at once, up to ``most`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,8 +281,8 @@ def fetch(places: DataFrame, root: str, most: int = 4 << 20, gap: int = 64 << 10
         if group:
             yield read(group)
 
-    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = places.select("file", "offset", "length").distinct().repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
+    parts = max(1, -(-int(places.agg(F.sum("length")).first()[0] or 0) // per_task))
+    near = places.select("file", "offset", "length").distinct().repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return near.transform(map_batches, run, RECORDS)
 
 

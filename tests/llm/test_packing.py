@@ -1,6 +1,8 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
-import zlib
 from tokenizers import Tokenizer
 
 from tallyforge.llm import packing
@@ -31,14 +33,27 @@ def test_ids_are_the_tokenizers():
             assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def check(rows, texts):
-    """Every id in exactly one piece, pieces gapless in their sequence, none too long."""
+def test_ids_of_random_texts(rng=np.random.default_rng(4)):
+    t = Tokenizer.from_file(PATH)
+    letters = [*"aZéÉİıßẞΣςǅﬁÅÅ中あก٣7½²_'.,%!-()#", "\u0301", "\u0307", "\u0308", "\u200d", "\u00a0", "\u3000", "\ufe0f", "𝔸", "🙂", "'s", "'LL", " ", " ", "\n", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(6000)]
+    encode = packing.word_encoder(PATH, limit=20_000)
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        for text, ids in zip(some, encode([x.encode() for x in some]), strict=True):
+            assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text)
+
+
+def check(rows, docs):
+    """Every piece of every document (doc_id, text) exactly once, pieces gapless in their sequence, none too long."""
     t = Tokenizer.from_file(PATH)
-    want = sorted(np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for x in texts)
-    pieces, held = {}, {}
+    want, held = Counter(), {}
+    for doc_id, text in docs:
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        want.update((doc_id, at, len(ids), ids[at : at + packing.CAPACITY].tobytes()) for at in range(0, len(ids), packing.CAPACITY))
+    assert Counter((r.doc_id, r.start, r.doc_tokens, bytes(r.ids)) for r in rows) == want
     for r in rows:
         held.setdefault(r.sequence_id, []).append((r.offset, r.length))
-        pieces.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, bytes(r.ids)))
         assert len(r.ids) == 4 * r.length
     for spans in held.values():
         end = 0
@@ -46,13 +61,12 @@ def check(rows, texts):
             assert offset == end
             end += length
         assert end <= packing.CAPACITY
-    assert sum(len(b) for p in pieces.values() for _, b in p) == sum(map(len, want))
     return held
 
 
 def test_odd_rows(spark, odd, none):
     rows = packing.pack(odd, PATH).collect()
-    check(rows, [r.text for r in odd.select("text").collect()])
+    check(rows, [(r.doc_id, r.text) for r in odd.collect()])
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -64,9 +78,10 @@ def test_odd_rows(spark, odd, none):
 def test_documents_fill_sequences(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = packing.pack(docs, PATH).collect()
-    held = check(rows, [r.text for r in docs.collect()])
+    held = check(rows, [(r.doc_id, r.text) for r in docs.collect()])
     used = sum(n for spans in held.values() for _, n in spans)
     assert used / (len(held) * packing.CAPACITY) > 0.98
     digest = packing.pack_digest(packing.pack(docs, PATH)).collect()
+    assert len(digest) == len(rows)
     ids = {(r.doc_id, r.start): bytes(r.ids) for r in rows}
     assert all(zlib.crc32(ids[r.doc_id, r.start]) == r.ids_crc32 for r in digest)

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 
 from tallyforge.llm import sharding
@@ -6,7 +8,7 @@ from tallyforge.llm.sharding import Topology, assign
 
 def test_documents(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = sharding.shard_documents(docs, slices=8).collect()
+    rows = sharding.shard_documents(docs).collect()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert len(rows) == len(texts)
     for r in rows:
@@ -15,7 +17,7 @@ def test_documents(spark, odd, none):
     for s in range(16):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots))) and 25 < len(slots) < 110
-    odd_rows = sharding.shard_documents(odd, slices=4).collect()
+    odd_rows = sharding.shard_documents(odd).collect()
     assert len(odd_rows) == odd.count()
     assert {(r.size, r.text_crc32) for r in odd_rows if r.doc_id == 2} == {(1, 0)}
     assert len({r.shard for r in odd_rows if r.doc_id == 6}) == 1
@@ -36,5 +38,36 @@ def test_a_weight_moves_keys_only_into_or_out_of_its_subtree(spark):
     assert all(r.b != 9 for r in assign(keys, "k", gone, "b").collect())
 
 
+def test_slots_over_many_slices(spark):
+    same = spark.range(3000).selectExpr("5L as k", "cast(id % 3 as int) as s")  # equal rows, in three shards
+    rows = sharding.number_slots(same, "s", ["k"], per_slice=40).collect()
+    for s in range(3):
+        assert sorted(r.slot for r in rows if r.s == s) == list(range(1000))
+
+
+def test_draws_are_recomputed(spark):
+    """The tree's rule written out in plain Python: at each level the child with the least -ln(u) / weight."""
+    topo = Topology.of(16).reweighted(5, 3.0)
+
+    def child(key, level, above):
+        weights = {}
+        for leaf in topo.leaves:
+            if leaf[:level] == above and leaf[3] > 0:
+                weights[leaf[level]] = weights.get(leaf[level], 0) + leaf[3]
+        if len(weights) == 1:
+            return next(iter(weights))
+
+        def draw(n):
+            digest = hashlib.md5(f"{topo.seed}|{level}|{n}|{key}".encode()).hexdigest()
+            return -math.log((int(digest[:12], 16) + 0.5) / 2**48) / weights[n]
+
+        return min(weights, key=lambda n: (draw(n), n))
+
+    for r in assign(spark.range(500).withColumnRenamed("id", "k"), "k", topo, "b").collect():
+        region = child(r.k, 0, ())
+        rack = child(r.k, 1, (region,))
+        assert r.b == child(r.k, 2, (region, rack))
+
+
 def test_no_python_in_the_plan(spark, odd):
     assert "Python" not in sharding.shard_documents(odd)._jdf.queryExecution().executedPlan().toString()

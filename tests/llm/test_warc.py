@@ -92,6 +92,14 @@ def test_repeated_rows_over_many_blocks(spark):
     assert got(warc.fetch(warc.locate(captures, root, heads), root)) == expected(rows)
 
 
+def test_one_id_with_several_payloads(spark):
+    rows = [(1, "http://x/a", "A"), (1, "http://x/b", "B"), (2, "http://x/c", "A"), (3, "http://x/d", "B"), (4, "http://x/e", "Z"), (1, "http://x/a", "A"), (2, "http://x/c", "only here"), (2, None, None), (3, None, "")]
+    back = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got(back) == expected(rows)
+    payloads = {(r.page_id, bytes(r.payload)) for r in back.collect() if r.record_type == "response"}
+    assert payloads == {(2, b"A"), (3, b"B"), (4, b"Z"), (2, b"only here"), (3, b"")}
+
+
 def test_records_are_checked():
     raw, _, _ = warc.record(3, "http://x/", b"payload", None, "2000-01-01T00:00:00Z")
     assert warc.parse(raw)[:2] == (3, 7) and gzip.decompress(gzip.compress(raw)) == raw
