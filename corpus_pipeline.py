@@ -1,7 +1,13 @@
 """Corpus preparation as five stages over ``documents``: each applies one operator to all that the one before it kept.
 
 Filters decide on each row by itself, by a key of the stage that tells rows apart where doc_id is repeated or null; other
-columns pass through. Texts are not shuffled by a filter while the rejected keys fit a broadcast of stated size.
+columns, clashing names included, pass through. Texts are not shuffled by a filter while the rejected keys fit a broadcast
+of stated size.
+
+Edge cases, stage by stage: toxicity gives null and empty texts the score of no evidence; near-duplicates link them with
+nothing, so they stay, and of repeated rows one stays; decontamination finds nothing in them; PII leaves them as they are;
+packing makes each a single end token. Texts of any length are read whole by every stage, ties are broken by the smallest
+key, and an empty table goes through as such.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, near_dup, packing, pii, toxicity
 from tallyforge.llm.catalog import word_tokenizer_path
-from tallyforge.llm.common import doc_fold, materialize, read_table
+from tallyforge.llm.common import doc_fold, materialize, read_table, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -85,12 +91,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, word_tokenizer_path(), group_tokens=500_000, part_bytes=16 << 20, table_words=20_000)
 
 
+def lean(stage: Stage) -> Stage:
+    """The stage in a session of small batches."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("pii", pseudonymize),
-    ("packing", pack_sequences),
+    ("toxicity", lean(drop_toxic)),
+    ("near_duplicates", lean(drop_near_duplicates)),
+    ("decontamination", lean(drop_contaminated)),
+    ("pii", lean(pseudonymize)),
+    ("packing", lean(pack_sequences)),
 ]
 
 #: Trained models and hash families have no SQL form; tests hold the stages against brute force.
