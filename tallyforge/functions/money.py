@@ -1,7 +1,7 @@
 """The rules for amounts, item lists, order totals and payments.
 
-These feed on one another, so they are applied to a DataFrame in steps whose columns are named after the source column;
-each step is one projection and none shuffles.
+Amounts and items are layered rules (see ``text``). Totals and payments feed on those, so they are applied to a DataFrame in
+steps; each step is one projection and none shuffles.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import values as V
-from tallyforge.functions.text import floating, latin_digits, no_corrections, note, notes, number, outcome, strip
+from tallyforge.functions.text import SPACES, Rule, floating, latin_digits, no_corrections, note, notes, number, outcome, part, strip
 from tallyforge.schemas import ITEM
 
 DEFAULT_CURRENCY = "YER"
@@ -23,65 +23,85 @@ def _any(c: Column, parts: list[str]) -> Column:
     return found
 
 
-def amount(df: DataFrame, source: str) -> DataFrame:
-    """Adds ``<source>__amount``, a struct (value, corrections, error, currency)."""
-    n = f"__{source}_"
-    raw, latin, bare, plain = (F.col(n + x) for x in ("raw", "latin", "bare", "plain"))
+def amount(source: str) -> Rule:
+    """A struct (value, corrections, error, currency) of a text column."""
+    names = {x: part(source, x) for x in ("raw", "latin", "word", "rial", "bare", "currency", "plain", "parsed")}
+    raw, latin, word, is_rial, bare, code, plain, parsed = (F.col(n) for n in names.values())
     absent = raw.isNull() | raw.isin(V.NO_AMOUNT)
+    foreign = F.octet_length(latin) != F.char_length(latin)
     by_word = F.create_map(*[F.lit(x) for value, forms in V.NUMBER_WORDS.items() for w in forms for x in (w, value)])
-    word = F.try_element_at(by_word, F.coalesce(latin, F.lit("")))
     rial = _any(latin, V.RIAL_TRIGGERS)
-    without = F.when(rial, strip(F.regexp_replace(latin, V.RIAL_PATTERN, "")))
-    for parts in V.OTHER_CURRENCIES.values():
+    without = F.when(is_rial, strip(F.regexp_replace(latin, V.RIAL_PATTERN, "")))
+    currency = F.when(word.isNotNull() | is_rial, DEFAULT_CURRENCY)
+    for other, parts in V.OTHER_CURRENCIES.items():
         without = without.when(_any(latin, parts), strip(F.regexp_replace(latin, "|".join(parts), "")))
-    currency = F.when(word.isNotNull() | rial, DEFAULT_CURRENCY)
-    for code, parts in V.OTHER_CURRENCIES.items():
-        currency = currency.when(_any(latin, parts), code)
-    parsed, as_word, is_rial, code = (F.col(n + x) for x in ("parsed", "word", "rial", "currency"))
-    say_word = F.concat(F.lit("Known Arabic number word '"), latin, F.lit("' mapped to "), floating(as_word))
-    counted = ~absent & as_word.isNull()
+        currency = currency.when(_any(latin, parts), other)
+    say_word = F.concat(F.lit("Known Arabic number word '"), latin, F.lit("' mapped to "), floating(word))
+    counted = ~absent & word.isNull()
     corrections = notes(
         (~absent & (latin != raw), note(V.RULE_DIGITS, "amount", raw, latin, V.SAY_DIGITS_AMOUNT)),
-        (~absent & as_word.isNotNull(), note(V.RULE_WORDS, "amount", raw, floating(as_word), say_word)),
+        (~absent & word.isNotNull(), note(V.RULE_WORDS, "amount", raw, floating(word), say_word)),
         (counted & is_rial & (bare != latin), note(V.RULE_CURRENCY, "amount", latin, bare, V.SAY_CURRENCY)),
         (counted & bare.contains(","), note(V.RULE_COMMAS, "amount", bare, plain, V.SAY_COMMAS)),
     )
-    error = F.when(absent, V.UNKNOWN_PRICE).when(as_word.isNotNull(), None).when(parsed.isNull(), V.UNKNOWN_PRICE).when(parsed < 0, V.NEGATIVE_VALUE)
-    value = F.when(error.isNull(), F.coalesce(as_word, parsed))
-    df = df.withColumn(n + "raw", strip(F.col(source))).withColumn(n + "latin", latin_digits(F.col(n + "raw")))
-    df = df.withColumns({n + "word": word, n + "rial": F.coalesce(rial, F.lit(False)), n + "bare": without.otherwise(latin), n + "currency": F.coalesce(currency, F.lit(DEFAULT_CURRENCY))})
-    df = df.withColumn(n + "plain", F.replace(bare, F.lit(","), F.lit(""))).withColumn(n + "parsed", number(strip(F.col(n + "plain"))))
-    whole = F.struct(value.alias("value"), corrections.alias("corrections"), error.alias("error"), F.when(absent, DEFAULT_CURRENCY).otherwise(code).alias("currency"))
-    return df.withColumn(f"{source}__amount", whole).drop(*[n + x for x in ("latin", "word", "rial", "bare", "currency", "plain", "parsed", "raw")])
-
-
-def _item_number(path: str) -> str:
-    """SQL of a double: nothing and blanks are 0, truth values 1 and 0, text without commas a number; null if it is none."""
-    text = f"try_variant_get(e, '$.{path}', 'string')"
-    clean = f"replace(translate(regexp_replace({text}, '(?U)^\\\\s+|\\\\s+$', ''), '{V.EASTERN}', '{V.WESTERN}'), ',', '')"
-    truth = f"schema_of_variant(try_variant_get(e, '$.{path}', 'variant')) = 'BOOLEAN'"
-    plain = f"if({clean} rlike '^[+-]?([0-9]+\\\\.?[0-9]*|\\\\.[0-9]+)([eE][+-]?[0-9]+)?$', try_cast({clean} as double), null)"
-    return f"case when {text} is null or {clean} = '' then 0D when {truth} then if({text} = 'true', 1D, 0D) else {plain} end"
-
-
-def items(df: DataFrame) -> DataFrame:
-    """Adds ``__items`` (array of items, null where the text is none), ``__items_error``, ``__items_sum``, ``__items_negative``."""
-    text = F.coalesce(strip(F.col("items_json")), F.lit(""))
+    error = F.when(absent, V.UNKNOWN_PRICE).when(word.isNotNull(), None).when(parsed.isNull(), V.UNKNOWN_PRICE).when(parsed < 0, V.NEGATIVE_VALUE)
+    usable = ~absent & (word.isNotNull() | (parsed >= 0))
+    value = F.when(usable, F.coalesce(word, parsed))
+    return [
+        {names["raw"]: strip(F.col(source))},
+        {names["latin"]: latin_digits(raw)},
+        {names["word"]: F.when(foreign, F.try_element_at(by_word, latin)), names["rial"]: F.coalesce(rial, F.lit(False))},
+        {names["bare"]: without.otherwise(latin), names["currency"]: F.coalesce(currency, F.lit(DEFAULT_CURRENCY))},
+        {names["plain"]: F.replace(bare, F.lit(","), F.lit(""))},
+        {names["parsed"]: number(strip(plain))},
+        {"": F.struct(value.alias("value"), corrections.alias("corrections"), error.alias("error"), F.when(absent, DEFAULT_CURRENCY).otherwise(code).alias("currency"))},
+    ]
+
+
+_PLAIN = "rlike '^[+-]?([0-9]+\\\\.?[0-9]*|\\\\.[0-9]+)([eE][+-]?[0-9]+)?$'"
+_PATHS = ("qty", "unit_price", "total")
+
+
+def _item_number(name: str, truth: str) -> str:
+    """SQL of a double: nothing and blanks are 0, text without commas a plain decimal number; null if it is none. ``truth`` is
+    the SQL condition under which the text stands for a truth value, which is 1 or 0."""
+    x = f"r.{name}"
+    clean = f"replace(translate(btrim({x}, '{SPACES}'), '{V.EASTERN}', '{V.WESTERN}'), ',', '')"
+    return f"case when {x} is null then 0D when {x} {_PLAIN} then try_cast({x} as double) when {truth} then if({x} = 'true', 1D, 0D) when {clean} = '' then 0D when {clean} {_PLAIN} then try_cast({clean} as double) end"
+
+
+def items() -> dict[str, Rule]:
+    """``__items`` (array of items, null where the text is none), ``__items_error``, ``__items_sum``, ``__items_negative``.
+
+    A list of objects is taken apart by one cast. Lists that the cast refuses, and those that may hold truth values, which
+    a text does not tell from the words, are taken apart one item at a time.
+    """
+    text, whole, typed, listed, read, failed = (F.col(f"__items_{n}") for n in ("text", "json", "typed", "list", "read", "failed"))
     usable = ~text.isin(V.NO_ITEMS) & text.startswith("[") & text.endswith("]")
-    df = df.withColumn("__list", F.try_variant_get(F.try_parse_json(F.when(usable, text)), "$", "array<variant>"))
-    read = (
-        f"transform(__list, e -> if(e is null or schema_of_variant(e) not like 'OBJECT%', null, named_struct("
-        f"'sku', coalesce(try_variant_get(e, '$.sku', 'string'), ''), 'name', coalesce(try_variant_get(e, '$.name', 'string'), ''), "
-        f"'q', {_item_number('qty')}, 'unit_price', {_item_number('unit_price')}, 'total', {_item_number('total')})))"
-    )
-    df = df.withColumn("__read", F.expr(read))
-    broken = F.expr("__list is null or exists(__read, r -> r is null or r.q is null or r.unit_price is null or r.total is null or try_cast(r.q as bigint) is null)")
-    error = F.when(broken, V.CORRUPTED_ITEMS).when(F.size("__list") == 0, V.EMPTY_ITEMS)
-    df = df.withColumn("__items_error", error)
-    made = F.expr(f"cast(transform(__read, r -> named_struct('sku', r.sku, 'name', r.name, 'qty', try_cast(r.q as bigint), 'unit_price', r.unit_price, 'total', r.total)) as array<{ITEM}>)")
-    df = df.withColumn("__items", F.when(F.col("__items_error").isNull(), made))
-    df = df.withColumn("__items_sum", F.expr("aggregate(__items, 0D, (s, i) -> s + if(i.qty > 0 and i.unit_price > 0, i.qty * i.unit_price, i.total))"))
-    return df.withColumn("__items_negative", F.expr("exists(__items, i -> i.qty < 0)")).drop("__list", "__read")
+    record = "array<struct<sku: string, name: string, qty: string, unit_price: string, total: string>>"
+    numbers = lambda r, truth: f"named_struct('sku', coalesce({r}.sku, ''), 'name', coalesce({r}.name, ''), " + ", ".join(f"'{n}', {_item_number(n, truth(n))}" for n in _PATHS) + ")"
+    quick = f"transform(__items_typed, r -> if(r is null, null, {numbers('r', lambda n: 'false')}))"
+    said = "transform(__items_list, e -> named_struct('e', e, " + ", ".join(f"'{n}', try_variant_get(e, '$.{n}', 'string')" for n in ("sku", "name", *_PATHS)) + "))"
+    truth = lambda n: f"r.{n} in ('true', 'false') and schema_of_variant(try_variant_get(r.e, '$.{n}', 'variant')) = 'BOOLEAN'"
+    careful = f"transform({said}, r -> if(r.e is null or schema_of_variant(r.e) not like 'OBJECT%', null, {numbers('r', truth)}))"
+    broken = F.expr("__items_read is null or exists(__items_read, r -> r is null or r.qty is null or r.unit_price is null or r.total is null or try_cast(r.qty as bigint) is null)")
+    made = F.expr(f"cast(transform(__items_read, r -> named_struct('sku', r.sku, 'name', r.name, 'qty', try_cast(r.qty as bigint), 'unit_price', r.unit_price, 'total', r.total)) as array<{ITEM}>)")
+    plain = ~text.contains("true") & ~text.contains("false")
+    return {
+        "__items_error": [
+            {"__items_text": F.coalesce(strip(F.col("items_json")), F.lit(""))},
+            {"__items_json": F.try_parse_json(F.when(usable, text))},
+            {"__items_typed": F.when(plain, F.try_variant_get(whole, "$", record))},
+            {"__items_list": F.when(typed.isNull(), F.try_variant_get(whole, "$", "array<variant>"))},
+            {"__items_read": F.when(typed.isNotNull(), F.expr(quick)).when(listed.isNotNull(), F.expr(careful))},
+            {"__items_failed": F.when(broken, V.CORRUPTED_ITEMS).when(F.size(read) == 0, V.EMPTY_ITEMS)},
+            {"__items_made": F.when(failed.isNull(), made)},
+            {"": failed},
+        ],
+        "__items": [{"": F.col("__items_made")}],
+        "__items_sum": [{"": F.expr("aggregate(__items_made, 0D, (s, i) -> s + if(i.qty > 0 and i.unit_price > 0, i.qty * i.unit_price, i.total))")}],
+        "__items_negative": [{"": F.expr("exists(__items_made, i -> i.qty < 0)")}],
+    }
 
 
 def order_total(df: DataFrame) -> DataFrame:
@@ -91,10 +111,9 @@ def order_total(df: DataFrame) -> DataFrame:
     """
     stated, total, delivery = F.col("total_amount__amount"), F.col("__items_sum"), F.col("__delivery")
     expected = total + F.when(delivery > 0, delivery).otherwise(0.0)
-    df = df.withColumn("__expected", expected)
-    want = F.col("__expected")
     listed = F.col("__items_error").isNull()
-    ambiguous = listed & F.col("__items_negative") & (total <= 0)
+    df = df.withColumns({"__expected": expected, "__ambiguous": listed & F.col("__items_negative") & (total <= 0)})
+    want, ambiguous = F.col("__expected"), F.col("__ambiguous")
     checked = listed & ~ambiguous
     absent, off = checked & stated["error"].isNotNull(), checked & stated["error"].isNull() & (F.abs(stated["value"] - want) > 0.01)
     sums = F.concat(F.lit("items ("), floating(total), F.lit(") + delivery ("), floating(delivery), F.lit(")"))
@@ -104,25 +123,25 @@ def order_total(df: DataFrame) -> DataFrame:
     )
     value = F.when((absent & (want > 0)) | off, want).when(checked & ~absent, stated["value"])
     error = F.coalesce(F.col("__items_error"), F.when(ambiguous, V.NEGATIVE_VALUE), F.when(absent & ~(want > 0), stated["error"]))
-    return df.withColumn("__total", outcome(value, F.when(checked, F.concat(stated["corrections"], own)).otherwise(no_corrections()), error)).drop("__expected")
+    return df.withColumn("__total", outcome(value, F.when(checked, F.concat(stated["corrections"], own)).otherwise(no_corrections()), error)).drop("__expected", "__ambiguous")
 
 
 def payment(df: DataFrame) -> DataFrame:
     """Adds ``__payment`` (value, corrections, error, currency): a negative payment that equals the total but for its sign is
     made positive. Needs ``amount`` of payment_amount and ``order_total``."""
     paid, total = F.col("payment_amount__amount"), F.col("__total")["value"]
-    text = strip(F.col("payment_amount"))
+    text, signed, matched = F.col("__paid_text"), F.col("__paid_signed"), F.col("__paid_matched")
     none = text.isNull() | text.isin(V.NO_PAYMENT)
-    signed = number(strip(F.replace(F.replace(latin_digits(text), F.lit("ريال"), F.lit("")), F.lit(","), F.lit(""))))
-    matched = ~none & F.coalesce((paid["error"] == V.NEGATIVE_VALUE) & (signed < 0) & (F.abs(F.abs(signed) - total) < 0.01), F.lit(False))
+    plain = F.replace(F.replace(latin_digits(text), F.lit("ريال"), F.lit("")), F.lit(","), F.lit(""))
+    same = ~none & F.coalesce((signed < 0) & (F.abs(F.abs(signed) - total) < 0.01), F.lit(False))
+    df = df.withColumn("__paid_text", strip(F.col("payment_amount")))
+    df = df.withColumn("__paid_signed", F.when(paid["error"] == V.NEGATIVE_VALUE, number(strip(plain)))).withColumn("__paid_matched", same)
     reason = F.concat(F.lit("Corrected negative payment sign to match order total ("), floating(total), F.lit(")"))
     fixed = notes((matched, note(V.RULE_SIGN, "payment_amount", text, floating(F.abs(signed)), reason)))
-    return df.withColumn(
-        "__payment",
-        F.struct(
-            F.when(matched, F.abs(signed)).when(~none, paid["value"]).alias("value"),
-            F.when(none, no_corrections()).otherwise(F.concat(paid["corrections"], fixed)).alias("corrections"),
-            F.when(~none & ~matched, paid["error"]).alias("error"),
-            F.when(none, DEFAULT_CURRENCY).otherwise(paid["currency"]).alias("currency"),
-        ),
+    made = F.struct(
+        F.when(matched, F.abs(signed)).when(~none, paid["value"]).alias("value"),
+        F.when(none, no_corrections()).otherwise(F.concat(paid["corrections"], fixed)).alias("corrections"),
+        F.when(~none & ~matched, paid["error"]).alias("error"),
+        F.when(none, DEFAULT_CURRENCY).otherwise(paid["currency"]).alias("currency"),
     )
+    return df.withColumn("__payment", made).drop("__paid_text", "__paid_signed", "__paid_matched")

@@ -1,29 +1,52 @@
 """Building blocks of the rules, and the rules for identifiers, words, phones, e-mails and dates.
 
-A rule turns a text column into a struct (value, corrections, error). Corrections are an array in audit order; error is
-null where the value is usable. Everything is a built-in expression, so the whole cleaning runs in generated code.
+A rule of a text column is a list of layers, each a dict of columns that may read those of the layers before it; its last
+layer is the rule's result, a struct (value, corrections, error). ``apply`` runs many rules at once, one projection a
+layer, so that a text is stripped, translated and matched once however often it is then used. Corrections are an array in
+audit order; error is null where the value is usable. Everything is a built-in expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from itertools import zip_longest
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import values as V
 from tallyforge.schemas import CORRECTION
 
-Rule = Column
+Rule = list[dict[str, Column]]
+#: Characters of the Unicode property White_Space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def apply(df: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """``df`` with each rule's result under its name; what the rules need on the way is dropped."""
+    inner: list[str] = []
+    for layer in zip_longest(*([*rule[:-1]] for rule in rules.values()), fillvalue={}):
+        columns = {name: c for part in layer for name, c in part.items()}
+        inner += columns
+        df = df.withColumns(columns)
+    return df.withColumns({out: next(iter(rule[-1].values())) for out, rule in rules.items()}).drop(*inner)
+
+
+def part(source: str, name: str) -> str:
+    return f"__{source}_{name}"
+
+
 def no_corrections() -> Column:
     return F.expr(f"cast(array() as array<{CORRECTION}>)")
 
 
 def strip(c: Column) -> Column:
     """Without white space at the ends, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def latin_digits(c: Column) -> Column:
-    return F.translate(c, V.EASTERN, V.WESTERN)
+    """Eastern digits and marks as Western ones; a text of ASCII has none."""
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, V.EASTERN, V.WESTERN))
 
 
 def note(rule: str, field: str, before: Column, after: Column, reason: Column | str) -> Column:
@@ -35,10 +58,14 @@ def notes(*pairs: tuple[Column, Column]) -> Column:
     """The corrections whose condition holds, in order."""
     if not pairs:
         return no_corrections()
-    return F.array_compact(F.array(*[F.when(cond, correction) for cond, correction in pairs]))
+    kept = [F.when(cond, F.array(correction)).otherwise(no_corrections()) for cond, correction in pairs]
+    any_of = pairs[0][0]
+    for cond, _ in pairs[1:]:
+        any_of = any_of | cond
+    return kept[0] if len(kept) == 1 else F.when(any_of, F.concat(*kept)).otherwise(no_corrections())
 
 
-def outcome(value: Column, corrections: Column, error: Column | None = None) -> Rule:
+def outcome(value: Column, corrections: Column, error: Column | None = None) -> Column:
     return F.struct(value.alias("value"), corrections.alias("corrections"), (F.lit(None).cast("string") if error is None else error).alias("error"))
 
 
@@ -61,34 +88,36 @@ def number(c: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
-def identifier(c: Column, field: str, missing: str) -> Rule:
+def identifier(source: str, missing: str, field: str | None = None) -> Rule:
     """A required key: absent forms are an error, Eastern digits are converted."""
-    text = strip(c)
+    field, t, latin = field or source, part(source, "text"), part(source, "latin")
+    c, text, clean = F.col(source), F.col(t), F.col(latin)
     absent = c.isNull() | text.isin(V.NO_ID)
-    clean = latin_digits(text)
-    return outcome(F.when(~absent, clean), notes((~absent & (clean != text), note(V.RULE_DIGITS, field, c, clean, f"Normalized Arabic digits in {field}"))), F.when(absent, missing))
+    fixed = note(V.RULE_DIGITS, field, c, clean, f"Normalized Arabic digits in {field}")
+    return [{t: strip(c)}, {latin: latin_digits(text)}, {"": outcome(F.when(~absent, clean), notes((~absent & (clean != text), fixed)), F.when(absent, missing))}]
 
 
-def words(c: Column, field: str) -> Rule:
+def words(source: str, field: str | None = None) -> Rule:
     """One space between words; known spellings of cities and states become their standard form."""
-    text = strip(F.coalesce(c, F.lit("")))
-    single = F.regexp_replace(text, r"(?U)\s+", " ")
+    field, t, s, k = field or source, part(source, "text"), part(source, "single"), part(source, "known")
+    text, single, known = F.col(t), F.col(s), F.col(k)
     table = {"city": V.CITIES, "status": V.STATUSES}.get(field)
-    spaced = note(V.RULE_TEXT, field, text, single, V.SAY_SPACE)
-    if table is None:
-        return outcome(single, notes((single != text, spaced)))
-    known = lookup(table, single)
+    spread = F.when(text.rlike(r"(?U)\s\s|[^\S ]"), F.regexp_replace(text, r"(?U)\s+", " ")).otherwise(text)
+    layers = [{t: strip(F.coalesce(F.col(source), F.lit("")))}, {s: spread}, {k: F.lit(None).cast("string") if table is None else lookup(table, single)}]
     renamed = F.coalesce(known != text, F.lit(False))
     reason = F.concat(F.lit(f"Standardized {field} synonym '"), text, F.lit("' -> '"), known, F.lit("'"))
-    return outcome(F.when(renamed, known).otherwise(single), notes((renamed, note(V.RULE_TEXT, field, text, known, reason)), (~renamed & (single != text), spaced)))
+    spaced = (~renamed & (single != text), note(V.RULE_TEXT, field, text, single, V.SAY_SPACE))
+    if table is None:
+        return [*layers, {"": outcome(single, notes(spaced))}]
+    return [*layers, {"": outcome(F.when(renamed, known).otherwise(single), notes((renamed, note(V.RULE_TEXT, field, text, known, reason)), spaced))}]
 
 
-def phone(c: Column) -> Rule:
+def phone(source: str, field: str = "customer_phone") -> Rule:
     """National nine-digit form; numbers of another shape keep their digits and symbols stripped, without an audit entry."""
-    text = strip(c)
-    latin = latin_digits(text)
-    bare = F.regexp_replace(latin, r"(?U)[\s+\-()]", "")
-    local = (
+    names = [part(source, n) for n in ("text", "latin", "bare", "local")]
+    c, text, latin, bare, local = (F.col(n) for n in (source, *names))
+    digits = F.when(latin.rlike("^[0-9]*$"), latin).otherwise(F.regexp_replace(latin, r"(?U)[\s+\-()]", ""))
+    national = (
         F.when(bare.startswith("00967"), bare.substr(F.lit(6), F.length(bare)))
         .when(bare.startswith("967"), bare.substr(F.lit(4), F.length(bare)))
         .when(bare.startswith("0") & (F.length(bare) == 10), bare.substr(F.lit(2), F.length(bare)))
@@ -97,44 +126,41 @@ def phone(c: Column) -> Rule:
     given = c.isNotNull() & (c != "")
     yemeni, nine = local.rlike(r"^7[01378][0-9]{7}$"), local.rlike(r"^[0-9]{9}$")
     changed = given & (local != text)
-    field = "customer_phone"
-    return outcome(
-        F.when(given, local),
-        notes(
-            (given & (latin != text), note(V.RULE_DIGITS, field, text, latin, V.SAY_DIGITS_PHONE)),
-            (changed & yemeni, note(V.RULE_PHONE, field, text, local, V.SAY_PHONE_YEMENI)),
-            (changed & ~yemeni & nine, note(V.RULE_PHONE, field, text, local, V.SAY_PHONE_PLAIN)),
-        ),
+    found = notes(
+        (given & (latin != text), note(V.RULE_DIGITS, field, text, latin, V.SAY_DIGITS_PHONE)),
+        (changed & yemeni, note(V.RULE_PHONE, field, text, local, V.SAY_PHONE_YEMENI)),
+        (changed & ~yemeni & nine, note(V.RULE_PHONE, field, text, local, V.SAY_PHONE_PLAIN)),
     )
+    return [dict([x]) for x in zip(names, (strip(c), latin_digits(text), digits, national), strict=True)] + [{"": outcome(F.when(given, local), found)}]
 
 
-def email(c: Column) -> Rule:
+def email(source: str, field: str = "customer_email") -> Rule:
     """Repeated @ and dots collapse; what is then no address is unsafe. No address at all is not an error."""
-    text = strip(c)
+    names = [part(source, n) for n in ("text", "at", "dot")]
+    c, text, one_at, one_dot = (F.col(n) for n in (source, *names))
     given = c.isNotNull() & (c != "")
     hopeless = text.isin(V.NO_EMAIL) | ~text.contains("@")
-    one_at = F.when(text.contains("@@"), F.regexp_replace(text, "@+", "@")).otherwise(text)
-    one_dot = F.when(one_at.contains(".."), F.regexp_replace(one_at, r"\.+", ".")).otherwise(one_at)
     sound = ~hopeless & one_dot.rlike(r"^[^@\s]+@[^@\s]+\.[a-zA-Z0-9]+$")
     repair = given & ~hopeless
-    field = "customer_email"
-    return outcome(
-        F.when(~given, "").when(sound, one_dot),
-        notes((repair & (one_at != text), note(V.RULE_EMAIL, field, text, one_at, V.SAY_EMAIL_AT)), (repair & (one_dot != one_at), note(V.RULE_EMAIL, field, one_at, one_dot, V.SAY_EMAIL_DOTS))),
-        F.when(given & ~sound, V.UNSAFE_EMAIL),
-    )
+    ats = F.when(text.contains("@@"), F.regexp_replace(text, "@+", "@")).otherwise(text)
+    dots = F.when(one_at.contains(".."), F.regexp_replace(one_at, r"\.+", ".")).otherwise(one_at)
+    found = notes((repair & (one_at != text), note(V.RULE_EMAIL, field, text, one_at, V.SAY_EMAIL_AT)), (repair & (one_dot != one_at), note(V.RULE_EMAIL, field, one_at, one_dot, V.SAY_EMAIL_DOTS)))
+    return [dict([x]) for x in zip(names, (strip(c), ats, dots), strict=True)] + [{"": outcome(F.when(~given, "").when(sound, one_dot), found, F.when(given & ~sound, V.UNSAFE_EMAIL))}]
 
 
-def date(c: Column) -> Rule:
+def date(source: str, field: str = "order_date") -> Rule:
     """ISO with seconds, from the first format that fits and gives a real day within the years allowed."""
-    text = strip(c)
-    latin = latin_digits(text)
+    names = [part(source, n) for n in ("text", "latin", "moment", "iso")]
+    c, text, latin, moment, iso = (F.col(n) for n in (source, *names))
     given = c.isNotNull() & (c != "")
-    moment = F.coalesce(*[F.try_to_timestamp(latin, F.lit(f)) for f in V.DATE_FORMATS])
-    iso = F.when(F.year(moment).between(V.FIRST_YEAR, V.LAST_YEAR), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"))
+    # a text of a format's own shape fits no other; anything else is tried with all in turn
+    shaped = F.lit(None).cast("timestamp")
+    shapes = [(f, "^" + f.replace("'T'", "T").replace("yyyy", "[0-9]{4}").translate({ord(x): "[0-9]{1,2}" for x in "MdHms"}) + "$") for f in V.DATE_FORMATS]
+    parsed = F.when(~given, shaped)
+    for f, shape in shapes:
+        parsed = parsed.when(latin.rlike(shape), F.try_to_timestamp(latin, F.lit(f)))
+    parsed = parsed.otherwise(F.coalesce(*[F.try_to_timestamp(latin, F.lit(f)) for f in V.DATE_FORMATS]))
+    standard = F.when(F.year(moment).between(V.FIRST_YEAR, V.LAST_YEAR), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"))
     sound = given & iso.isNotNull()
-    return outcome(
-        F.when(sound, iso),
-        notes((given & (latin != text), note(V.RULE_DIGITS, "order_date", text, latin, V.SAY_DIGITS_DATE)), (sound & (iso != text), note(V.RULE_DATE, "order_date", text, iso, V.SAY_DATE))),
-        F.when(~sound, V.INVALID_DATE),
-    )
+    found = notes((given & (latin != text), note(V.RULE_DIGITS, field, text, latin, V.SAY_DIGITS_DATE)), (sound & (iso != text), note(V.RULE_DATE, field, text, iso, V.SAY_DATE)))
+    return [dict([x]) for x in zip(names, (strip(c), latin_digits(text), parsed, standard), strict=True)] + [{"": outcome(F.when(sound, iso), found, F.when(~sound, V.INVALID_DATE))}]

@@ -1,10 +1,10 @@
 """Fixed values of the cleaning rules: codes, digit maps, dictionaries, formats and messages."""
 
-# Rule codes
+# Rule codes (fixed values)
 RULE_DIGITS, RULE_CURRENCY, RULE_COMMAS, RULE_WORDS, RULE_PHONE = "RULE_01", "RULE_02", "RULE_03", "RULE_04", "RULE_05"
 RULE_EMAIL, RULE_DATE, RULE_TEXT, RULE_TOTAL, RULE_SIGN = "RULE_06", "RULE_07", "RULE_08", "RULE_09", "RULE_10"
 
-# Error codes
+# Error codes (fixed values)
 MISSING_ORDER_ID = "MISSING_ORDER_ID"
 MISSING_CUSTOMER_ID = "MISSING_CUSTOMER_ID"
 INVALID_DATE = "INVALID_IMPOSSIBLE_DATE"
@@ -15,7 +15,7 @@ NEGATIVE_VALUE = "AMBIGUOUS_NEGATIVE_VALUE"
 SEVERAL_ERRORS = "MULTIPLE_CONFLICTING_ERRORS"
 UNSAFE_EMAIL = "UNSAFE_EMAIL"
 
-# Eastern digits with decimal and thousands marks, and what they stand for
+# Eastern digits with decimal and thousands marks, and what they stand for (fixed values)
 EASTERN, WESTERN = "٠١٢٣٤٥٦٧٨٩٫٬", "0123456789.,"
 
 # Amounts written as words (fixed values)
@@ -39,7 +39,7 @@ NUMBER_WORDS = {
 CITIES = {"صنعاء": ["صنعا"], "عدن": [], "تعز": [], "الحديدة": ["حديدة"], "إب": ["اب"], "المكلا": ["مكلا"], "ذمار": [], "حجة": [], "عمران": [], "لحج": []}
 STATUSES = {"مؤكد": ["موكد"], "قيد الانتظار": ["انتظار"], "قيد الشحن": ["شحن"], "تم التسليم": ["مسلم", "تم تسليمه"], "ملغي": ["ملغى"], "مرتجع": ["مسترجع"]}
 
-# Currency words: those that mean Yemeni rials, and what is then removed; others by currency
+# Currency words: those that mean Yemeni rials, and what is then removed; others by currency (fixed values)
 RIAL_TRIGGERS = ["ريال", "YER"]
 RIAL_PATTERN = r"(?U)(ريال\s*يمني|ريال|YER|yer)"
 OTHER_CURRENCIES = {"USD": ["USD", "دولار"], "SAR": ["SAR", "سعودي"]}
@@ -51,7 +51,7 @@ NO_ID = ["", "null", "none", "nan"]
 NO_EMAIL = ["@@", "@", "null", "none", "???"]
 NO_ITEMS = ["", "null", "none", "not-json"]
 
-# Date formats, tried in this order; single letters take one or two digits
+# Date formats, tried in this order; single letters take one or two digits (fixed values)
 DATE_FORMATS = [
     "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d",
     "d-M-yyyy H:m:s", "d-M-yyyy",

@@ -27,7 +27,9 @@ def contract_violations(orders: DataFrame) -> DataFrame:
 
 
 def enforce(orders: DataFrame, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
-    """(sound, broken); in mode ``fail`` a broken row is an error."""
+    """(sound, broken); in mode ``fail`` a broken row is an error, in mode ``quarantine`` it is kept out of ``sound``."""
+    if mode not in ("fail", "quarantine"):
+        raise ValueError("mode is fail or quarantine")
     checked = contract_violations(orders)
     broken = checked.where(F.size("violations") > 0)
     if mode == "fail":
@@ -43,6 +45,13 @@ def consistency(classified: DataFrame) -> DataFrame:
     return counts.withColumn("balanced", F.col("n_raw") == F.col("n_valid") + F.col("n_corrected") + F.col("n_quarantined"))
 
 
+def require_balance(raw: DataFrame, classified: DataFrame) -> None:
+    """An error unless each raw row was classified exactly once."""
+    n, row = raw.count(), consistency(classified).first()
+    if not row["balanced"] or row["n_raw"] != n:
+        raise ValueError(f"{n} raw rows, but {row['n_valid']} valid, {row['n_corrected']} corrected and {row['n_quarantined']} quarantined")
+
+
 def rule_distribution(classified: DataFrame) -> DataFrame:
     """Corrections by rule over corrected rows only; those of quarantined rows don't count."""
     return classified.where("classification = 'corrected'").select(F.explode("corrections").alias("c")).groupBy("c.rule_code").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import money, text
@@ -18,19 +18,18 @@ def clean(raw: DataFrame) -> DataFrame:
 
     Blank and null fields are alike to every rule.
     """
-    rules: dict[str, Column] = {
-        "order_id": text.identifier(F.col("order_id"), "order_id", V.MISSING_ORDER_ID),
-        "customer_id": text.identifier(F.col("customer_id"), "customer_id", V.MISSING_CUSTOMER_ID),
-        "order_date": text.date(F.col("order_date")),
-        "customer_phone": text.phone(F.col("customer_phone")),
-        "customer_email": text.email(F.col("customer_email")),
+    rules = {
+        "order_id__rule": text.identifier("order_id", V.MISSING_ORDER_ID),
+        "customer_id__rule": text.identifier("customer_id", V.MISSING_CUSTOMER_ID),
+        "order_date__rule": text.date("order_date"),
+        "customer_phone__rule": text.phone("customer_phone"),
+        "customer_email__rule": text.email("customer_email"),
     }
-    rules |= {c: text.words(F.col(c), c) for c in ("status", "customer_name", "city", "district", "delivery_type", "payment_method", "payment_status")}
-    df = raw.withColumns({f"{c}__rule": r for c, r in rules.items()})
-    for c in ("delivery_cost", "total_amount", "payment_amount"):
-        df = money.amount(df, c)
+    rules |= {f"{c}__rule": text.words(c) for c in ("status", "customer_name", "city", "district", "delivery_type", "payment_method", "payment_status")}
+    rules |= {f"{c}__amount": money.amount(c) for c in ("delivery_cost", "total_amount", "payment_amount")}
+    df = text.apply(raw, rules | money.items())
     df = df.withColumn("__delivery", F.coalesce(F.col("delivery_cost__amount")["value"], F.lit(0.0)))
-    return money.payment(money.order_total(money.items(df)))
+    return money.payment(money.order_total(df))
 
 
 def classify(raw: DataFrame, stamp: str = "1970-01-01T00:00:00") -> DataFrame:
@@ -41,15 +40,16 @@ def classify(raw: DataFrame, stamp: str = "1970-01-01T00:00:00") -> DataFrame:
     df = clean(raw)
     rule = lambda c: F.col(f"{c}__rule")
     codes = [rule(c)["error"] for c in ("order_id", "customer_id", "order_date", "customer_email")] + [F.col("__total")["error"]]
-    df = df.withColumn("__codes", F.array_sort(F.array_distinct(F.array_compact(F.array(*codes)))))
-    n_codes = F.size(F.array_compact(F.array(*codes)))
-    df = df.withColumn("error_codes", F.when(n_codes > 1, F.array_sort(F.array_append("__codes", F.lit(V.SEVERAL_ERRORS)))).otherwise(F.col("__codes")))
+    df = df.withColumn("__codes", F.array_compact(F.array(*codes)))
+    found = F.array_distinct("__codes")
+    df = df.withColumn("__errors", F.when(F.size("__codes") > 1, F.array_sort(F.array_append(found, F.lit(V.SEVERAL_ERRORS)))).otherwise(found))
     parts = [rule(c)["corrections"] for c in _AUDIT] + [F.col("delivery_cost__amount")["corrections"], F.col("__total")["corrections"], F.col("__payment")["corrections"]]
-    df = df.withColumn("corrections", F.concat(*parts))
-    kind = F.when(F.size("error_codes") > 0, "quarantined").when(F.size("corrections") > 0, "corrected").otherwise("valid")
-    # A row-numbering condition, always true, makes the column indeterminate to the optimizer: a filter on it then stays
-    # above this projection instead of being pushed down with a copy of every rule in it.
-    df = df.withColumn("classification", F.when(F.monotonically_increasing_id() >= 0, kind))
+    df = df.withColumn("__corrections", F.concat(*parts))
+    kind = F.when(F.size("__errors") > 0, "quarantined").when(F.size("__corrections") > 0, "corrected").otherwise("valid")
+    # Generated from an array of one struct, so that a filter on these columns is applied to them as they stand: through a
+    # projection it would be pushed down to the scan with a copy of every rule in it.
+    verdict = F.struct(kind.alias("classification"), F.col("__errors").alias("error_codes"), F.col("__corrections").alias("corrections"))
+    df = df.select("*", F.inline(F.array(verdict)))
     bad = F.col("classification") == "quarantined"
     shown = F.coalesce(rule("order_id")["value"], F.when(F.col("order_id") != "", F.col("order_id")), F.lit("UNKNOWN_ORDER"))
     value = lambda c: rule(c)["value"].alias(c)

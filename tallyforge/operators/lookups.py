@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import calendar
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,12 +80,3 @@ def payment_settlement_audit(orders: DataFrame, status: str | None = None, metho
     found = orders.where((F.col("payment_status") == status) & (F.col("payment_method") == method) & (F.col("total_amount") >= _least(min_amount, "min_amount")))
     columns = ("id_order", "order_date", "customer_id", "city", "payment_method", "payment_status", "payment_amount", "total_amount", "corrections")
     return found.select(*columns).orderBy(F.desc("total_amount"), "id_order").limit(check_limit(limit))
-
-
-LOOKUPS: dict[str, Callable[..., DataFrame]] = {
-    "orders_by_city_and_status": orders_by_city_and_status,
-    "customer_order_history": customer_order_history,
-    "high_value_orders_by_date_range": high_value_orders,
-    "orders_by_product_sku": orders_by_product_sku,
-    "payment_settlement_audit": payment_settlement_audit,
-}

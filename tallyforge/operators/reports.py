@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.money import cents, mean, money
@@ -93,17 +93,29 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def _current(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    try:
+        rows = spark.read.json(f"{root}/current", schema="n long, run string").orderBy(F.desc("n")).limit(1).collect()
+    except AnalysisException:
+        rows = []
+    return (rows[0]["n"], rows[0]["run"]) if rows else None
+
+
 def publish(orders: DataFrame, root: str, run: str, top: int = 10) -> str:
-    """Write all five reports below ``root/run`` and only then name that run as the current one; a failure leaves the last
-    good set current."""
+    """Write all five reports below a folder of their own and only then append the row that makes them the current set; rows are
+    numbered and never overwritten, so a failure at any point leaves the last good set current."""
+    spark = orders.sparkSession
+    last = _current(spark, root)
+    n = last[0] + 1 if last else 1
     for name, report in REPORTS.items():
         df = report(orders, limit=top) if name == "top_products" else report(orders)
-        df.coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/{run}/{name}")
-    spark = orders.sparkSession
-    spark.createDataFrame([(json.dumps({"run": run}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+        df.coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/{n}-{run}/{name}")
+    spark.createDataFrame([(n, run)], "n long, run string").coalesce(1).write.mode("append").json(f"{root}/current")
     return run
 
 
-def published(spark, root: str, name: str) -> DataFrame:
-    run = json.loads(spark.read.text(f"{root}/current").first()["value"])["run"]
-    return spark.read.parquet(f"{root}/runs/{run}/{name}")
+def published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    current = _current(spark, root)
+    if current is None:
+        raise ValueError("no reports are published yet")
+    return spark.read.parquet(f"{root}/runs/{current[0]}-{current[1]}/{name}")

@@ -41,64 +41,85 @@ def upsert_counts(target: DataFrame, incoming: DataFrame, keys: list[str], order
     return sums.crossJoin(total).select("inserted", (F.col("n") - F.col("inserted")).alias("updated"), "unchanged")  # one row each
 
 
+#: Rows a bucket of a table whose number of buckets is not given.
+PER_BUCKET = 500_000
+
+
 class Table:
-    """A keyed table below ``path``; ``buckets`` is fixed when the table is first written."""
+    """A keyed table below ``path``. Its number of buckets is fixed when it is first written: ``buckets``, or as many as
+    rows then call for, ``PER_BUCKET`` each."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None):
         self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
 
-    def manifest(self) -> dict[str, int] | None:
+    def _newest(self) -> tuple[int, int, dict[str, int]]:
+        """Version, number of buckets, and the version of each bucket; version 0 before the first write."""
         try:
-            rows = self.spark.read.json(f"{self.path}/manifest", schema="version long, buckets string").orderBy(F.desc("version")).limit(1).collect()
+            rows = self.spark.read.json(f"{self.path}/manifest", schema="version long, cut int, buckets string").orderBy(F.desc("version")).limit(1).collect()
         except AnalysisException:
-            return None
-        return {"version": rows[0]["version"], **json.loads(rows[0]["buckets"])} if rows else None
+            rows = []
+        return (rows[0]["version"], rows[0]["cut"], json.loads(rows[0]["buckets"])) if rows else (0, self.buckets or 0, {})
+
+    def manifest(self) -> dict[str, int] | None:
+        version, _, held = self._newest()
+        return {"version": version, **held} if version else None
+
+    def _stored(self, held: dict[str, int]) -> list[str]:
+        return [f"{self.path}/data/v={v}/bucket={b}" for b, v in held.items()]
 
     def read(self, empty: DataFrame | None = None) -> DataFrame | None:
         """The table, or no rows of ``empty``'s schema where nothing was written yet."""
-        state = self.manifest()
-        held = {b: v for b, v in (state or {}).items() if b != "version"}
-        if not held:
+        paths = self._stored(self._newest()[2])
+        if not paths:
             return None if empty is None else empty.limit(0)
-        paths = [f"{self.path}/data/v={v}/bucket={b}" for b, v in held.items()]
         return self.spark.read.parquet(*paths)
 
-    def _bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+    def _stage(self, rows: DataFrame, version: int) -> DataFrame:
+        """``rows``, written once, so that what follows does not evaluate them again."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/staged/v={version}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/staged/v={version}")
+
+    def _bucket(self, cut: int) -> F.Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(cut)).cast("int")
 
-    def _write(self, rows: DataFrame, version: int) -> set[str]:
-        cut = rows.withColumn("bucket", self._bucket())
-        cut.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
-        found = self.spark.read.parquet(f"{self.path}/data/v={version}").select("bucket").distinct().collect()  # at most ``buckets`` rows
+    def _write(self, rows: DataFrame, version: int, cut: int) -> set[str]:
+        path = f"{self.path}/data/v={version}"
+        # rebalanced by size: buckets that share a task or fill several are told apart by their folder
+        rows.withColumn("bucket", self._bucket(cut)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        found = self.spark.read.parquet(path).select("bucket").distinct().collect()  # at most ``cut`` rows
         return {str(r["bucket"]) for r in found}
 
-    def _commit(self, version: int, buckets: dict[str, int]) -> None:
-        row = self.spark.createDataFrame([(version, json.dumps(buckets))], "version long, buckets string")
+    def _commit(self, version: int, cut: int, buckets: dict[str, int]) -> None:
+        row = self.spark.createDataFrame([(version, cut, json.dumps(buckets))], "version long, cut int, buckets string")
         row.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
 
     def replace(self, rows: DataFrame) -> None:
-        """A new version with these rows only."""
-        version = ((self.manifest() or {}).get("version") or 0) + 1
-        held = self._write(rows, version) if not rows.isEmpty() else set()
-        self._commit(version, dict.fromkeys(held, version))
+        """A new version with these rows only, and the number of buckets that they call for."""
+        version = self._newest()[0] + 1
+        staged = self._stage(rows, version)
+        n = staged.count()
+        cut = self.buckets or max(1, -(-n // PER_BUCKET))
+        held = self._write(staged, version, cut) if n else set()
+        self._commit(version, cut, dict.fromkeys(held, version))
 
     def upsert(self, rows: DataFrame, order: str | None = None, delete: DataFrame | None = None) -> None:
         """Put ``rows`` in place of those with their keys; keys of ``delete`` that ``rows`` lacks go. Buckets that neither
         touches are not read."""
         rows = last_wins(rows, self.keys, order) if order else rows
-        state = self.manifest()
-        if state is None:
+        version, cut, held = self._newest()
+        if not version:
             self.replace(rows)
             return
-        version, held = state.pop("version") + 1, state
-        gone = rows.select(*self.keys) if delete is None else rows.select(*self.keys).unionByName(delete.select(*self.keys)).distinct()
-        touched = {str(r["b"]) for r in gone.select(self._bucket().alias("b")).distinct().collect()}  # at most ``buckets`` rows
+        version += 1
+        staged = self._stage(rows, version)
+        gone = staged.select(*self.keys) if delete is None else staged.select(*self.keys).unionByName(delete.select(*self.keys)).distinct()
+        touched = {str(r["b"]) for r in gone.select(self._bucket(cut).alias("b")).distinct().collect()}  # at most ``cut`` rows
         if not touched:
             return
-        old = [f"{self.path}/data/v={v}/bucket={b}" for b, v in held.items() if b in touched]
-        kept = self.spark.read.schema(rows.schema).parquet(*old).join(gone, self.keys, "left_anti") if old else rows.limit(0)
-        written = self._write(kept.unionByName(rows), version)
-        self._commit(version, {b: v for b, v in held.items() if b not in touched} | dict.fromkeys(written, version))
+        old = self._stored({b: v for b, v in held.items() if b in touched})
+        kept = self.spark.read.schema(rows.schema).parquet(*old).join(gone, self.keys, "left_anti") if old else staged.limit(0)
+        written = self._write(kept.unionByName(staged), version, cut)
+        self._commit(version, cut, {b: v for b, v in held.items() if b not in touched} | dict.fromkeys(written, version))
 
 
 def store_run(classified_valid: DataFrame, classified_bad: DataFrame, valid: Table, bad: Table) -> None:

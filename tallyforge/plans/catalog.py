@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import checks, classify, lookups, profile, reports, store, views
+from tallyforge.operators import checks, classify, lookups, profile, reports, views
 from tallyforge.operators.money import mean_sql
-from tallyforge.plans import models
+from tallyforge.plans import models, stored
 from tallyforge.plans.models import DIRTY_SQL, LINES_SQL, ORDERS_SQL, twin
 from tallyforge.plans.twins import over_clean
 from tallyforge.schemas import RAW_COLUMNS
@@ -230,20 +230,6 @@ def contract_violations(spark, sf_dir):
     return checks.contract_violations(_classified(spark, sf_dir)).select("source_row_number", F.array_join("violations", ",").alias("violations"))
 
 
-# IO6, C23: upserts ---------------------------------------------------------------------------------------------------
-@_register("upsert_last_wins", over_clean("select id_order, source_row_number, status_val as status from c where classification <> 'quarantined' qualify row_number() over (partition by id_order order by source_row_number desc) = 1"))
-def upsert_last_wins(spark, sf_dir):
-    rows = classify.validated(_classified(spark, sf_dir)).select("id_order", "source_row_number", "status")
-    target, late = rows.where("source_row_number % 3 = 0"), rows  # what is stored is overtaken by the run
-    return store.merge(store.last_wins(target, ["id_order"], "source_row_number"), store.last_wins(late, ["id_order"], "source_row_number"), ["id_order"])
-
-
-@_register("upsert_counters", over_clean(", v as (select id_order, source_row_number, status_val from c where classification <> 'quarantined'), o as (select distinct on (id_order) * from v where source_row_number % 3 = 0 order by id_order, source_row_number desc), n as (select distinct on (id_order) * from v order by id_order, source_row_number desc) select cast((select count(*) from n where id_order not in (select id_order from o)) as bigint) as inserted, cast((select count(*) from v) - (select count(*) from n where id_order not in (select id_order from o)) as bigint) as updated, cast((select count(*) from n join o using (id_order) where n.source_row_number = o.source_row_number and n.status_val = o.status_val) as bigint) as unchanged"))
-def upsert_counters(spark, sf_dir):
-    rows = classify.validated(_classified(spark, sf_dir)).select("id_order", "source_row_number", "status")
-    return store.upsert_counts(store.last_wins(rows.where("source_row_number % 3 = 0"), ["id_order"], "source_row_number"), rows, ["id_order"], "source_row_number")
-
-
 # M1-M9: views --------------------------------------------------------------------------------------------------------
 _DAILY = f"select date, n as order_count, cast(s / 100.0 as double) as total_sales, {mean_sql('s', 'n')} as average_order_value, min_order_date, max_order_date from (select substr(order_date, 1, 10) as date, cast(count(*) as bigint) as n, cast(sum({CENTS}) as bigint) as s, min(order_date) as min_order_date, max(order_date) as max_order_date from o group by 1)"
 _PRODUCT_ROWS = "select sku, product_name, total_quantity, cast(total_sales as double) as total_sales, order_count, distinct_order_count from p"
@@ -265,7 +251,7 @@ def order_digest(spark, sf_dir):
     return d.select("id_order", "order_date_day", F.array_join("skus", ",").alias("skus"))
 
 
-def _before_after(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def before_after(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders with items before and after a change set: keys k % 10 = 3 are new; of those k % 100 = 13 moved by a day and
     swapped their first SKU, having been there before."""
     after = models.orders_with_items(spark, sf_dir)
@@ -286,19 +272,23 @@ _AFTER_L = "select * replace (case when cast(id_order as bigint) % 100 = 13 and
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    before, after = _before_after(spark, sf_dir)
+    before, after = before_after(spark, sf_dir)
     changed = views.changed_orders(after, "2024-01-01T00:00:00")
     days, skus = views.affected(changed, views.order_digest(before))
     return before, after, days, skus
 
 
-@_register("mv_daily_incremental", _with(o0=O, o=_AFTER_O) + _DAILY)
+DAILY_AFTER = _with(o0=O, o=_AFTER_O) + _DAILY
+PRODUCTS_AFTER = _with(l0=L, l=_AFTER_L, p=_PRODUCTS) + _PRODUCT_ROWS
+
+
+@_register("mv_daily_incremental", DAILY_AFTER)
 def mv_daily_incremental(spark, sf_dir):
     before, after, days, _ = _groups(spark, sf_dir)
     return views.replace_groups(views.daily_view(before), "date", days, views.daily_view(after, days))
 
 
-@_register("mv_products_incremental", _with(l0=L, l=_AFTER_L, p=_PRODUCTS) + _PRODUCT_ROWS)
+@_register("mv_products_incremental", PRODUCTS_AFTER)
 def mv_products_incremental(spark, sf_dir):
     before, after, _, skus = _groups(spark, sf_dir)
     return views.replace_groups(views.product_view(before), "sku", skus, views.product_view(after, skus))
@@ -365,8 +355,8 @@ def profile_items(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | {name: query for name, (query, _) in stored.registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_TWINS)
+    return _TWINS | {name: sql for name, (_, sql) in stored.registered().items()}

@@ -6,6 +6,8 @@ Engine-specific parts are passed in; everything else is one text, so both engine
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyforge.schemas import RAW_COLUMNS
 
@@ -62,12 +64,13 @@ select
   case when k % 60 = 0 then '???' when k % 60 = 1 then over else total end as total_amount,
   case when k % 48 = 6 then 'not-json' when k % 143 = 11 then '[]' when k % 143 = 12 then '[{{"sku":"X","qty":"ABC","unit_price":1,"total":1}}]' else items end as items_json,
   'run-1' as id_run, 'orders.csv' as source_file,
-  row_number() over (order by again, k) as source_row_number
+  {place} as source_row_number
 from (select k, again, c, st, d, city, pr, items, total, over from rows)
 """
 
 _SPARK = {
     "text": "string",
+    "place": "struct(again, k)",
     "iso": "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\")",
     "moved": "o_orderdate + make_ym_interval(24, 0)",
     "items": "concat('[', array_join(transform(array_sort(collect_list(struct(ln, p, s, q, u))), x -> concat('{{\"sku\":\"SKU-', x.p, '\",\"name\":\"p', x.p, '\",\"qty\":', x.q, ',\"unit_price\":', x.u, ',\"total\":', x.q * x.u, '}}')), ','), ']')",
@@ -79,6 +82,7 @@ _SPARK = {
 }
 _TWIN = {
     "text": "varchar",
+    "place": "row_number() over (order by again, k)",
     "iso": "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')",
     "moved": "o_orderdate + interval 24 year",
     "items": "'[' || string_agg('{{\"sku\":\"SKU-' || p || '\",\"name\":\"p' || p || '\",\"qty\":' || q || ',\"unit_price\":' || u || ',\"total\":' || (q * u) || '}}', ',' order by ln, p, s, q, u) || ']'",
@@ -117,6 +121,15 @@ def orders_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).join(items, "id_order", "left").selectExpr("*", "'run-1' as id_run", "'2024-01-01T00:00:00' as processed_at")
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dirty order file's rows: RAW_COLUMNS and lineage. The row number is the file's order, so it is global here."""
-    return _spark(spark, sf_dir, DIRTY_SQL).selectExpr(*RAW_COLUMNS, "id_run", "source_file", "cast(source_row_number as bigint) as source_row_number")
+def dirty(spark: SparkSession, sf_dir: str, width: int = 4096) -> DataFrame:
+    """The dirty order file's rows: RAW_COLUMNS and lineage. The row number is the rank of (again, key), taken within ranges of
+    ``width`` keys and moved on by the ranges' counts, of which one row each is gathered; no task holds all rows."""
+    rows = _spark(spark, sf_dir, DIRTY_SQL).withColumn("__again", F.col("source_row_number.again")).withColumn("__key", F.col("source_row_number.k"))
+    cut = F.expr(f"__key div {width}")
+    inner = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__again", cut).orderBy("__key")))
+    keys = _spark(spark, sf_dir, DIRTY_SQL).select("source_row_number.again", F.col("source_row_number.k").alias("__key"))
+    counts = keys.groupBy(F.col("again").alias("__again"), cut.alias("__cut")).agg(F.count("*").alias("__c"))
+    before = Window.orderBy("__again", "__cut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__again", "__cut", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    placed = inner.withColumn("__cut", cut).join(offsets, ["__again", "__cut"])
+    return placed.select(*RAW_COLUMNS, "id_run", "source_file", (F.col("__before") + F.col("__n")).cast("bigint").alias("source_row_number"))

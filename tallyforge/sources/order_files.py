@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from tallyforge.schemas import RAW_COLUMNS, RAW_RECORD
 
 
+#: Up to so many splits (a path and four numbers each) their offsets are broadcast.
+BROADCAST_SPLITS = 100_000
+
+
 def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The 17 text columns; quoted fields may hold quotes (doubled) and commas, not line ends. Blank fields are null."""
     return spark.read.schema(RAW_RECORD).option("header", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
@@ -18,15 +22,16 @@ def numbered(rows: DataFrame, out: str = "source_row_number") -> DataFrame:
     """``rows`` of a file scan with ``out`` = 1..N in the order of file and place in the file.
 
     Rows of a split are consecutive in Spark's increasing id, so only a count and a least id for each split are gathered;
-    their prefix sums go back to the rows by a broadcast of one row a split. ``rows`` must be a plain scan: both passes
-    have to see the same splits.
+    their prefix sums go back to the rows by a join with one row a split, by broadcast while those are few. ``rows`` must
+    be a plain scan: both passes have to see the same splits.
     """
     placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
     splits = placed.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__id").alias("__least"))
     # one row a split: the single task of this window sees split counts, not rows
     before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("__file", "__block", "__least", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    joined = placed.join(F.broadcast(offsets), ["__file", "__block"])
+    few = splits.count() <= BROADCAST_SPLITS
+    joined = placed.join(F.broadcast(offsets) if few else offsets, ["__file", "__block"])
     return joined.withColumn(out, (F.col("__before") + F.col("__id") - F.col("__least") + 1).cast("long")).drop("__file", "__block", "__id", "__least", "__before")
 
 

@@ -29,7 +29,7 @@ def record(spark):
 def rule(spark):
     def run(make, *values):
         df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c string")
-        rows = df.select("i", make(F.col("c")).alias("r")).orderBy("i").collect()
+        rows = text.apply(df, {"r": make("c")}).orderBy("i").collect()
         return [(r.r["value"], [x["rule_code"] for x in r.r["corrections"]], r.r["error"]) for r in rows]
 
     return run
@@ -37,7 +37,7 @@ def rule(spark):
 
 def amounts(spark, *values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c string")
-    rows = money.amount(df, "c").orderBy("i").collect()
+    rows = text.apply(df, {"c__amount": money.amount("c")}).orderBy("i").collect()
     return [(r.c__amount["value"], [x["rule_code"] for x in r.c__amount["corrections"]], r.c__amount["error"], r.c__amount["currency"]) for r in rows]
 
 
@@ -80,7 +80,7 @@ def test_words(rule):
 
 
 def test_identifiers(rule):
-    make = lambda c: text.identifier(c, "order_id", "MISSING_ORDER_ID")
+    make = lambda c: text.identifier(c, "MISSING_ORDER_ID", "order_id")
     missing = (None, [], "MISSING_ORDER_ID")
     assert rule(make, "ORD-1", "ORD-١", "", " null ", None) == [("ORD-1", [], None), ("ORD-1", ["RULE_01"], None), missing, missing, missing]
 

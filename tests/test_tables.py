@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import checks, classify, reports, store, views
+from tallyforge.operators import checks, classify, job, reports, store, views
 from tallyforge.plans import models
 from tallyforge.schemas import RAW_COLUMNS, RAW_RECORD
 from tallyforge.sources import order_files
@@ -158,3 +158,38 @@ def test_arguments_are_checked(orders):
     for call in (lambda: reports.daily_sales(orders, limit=0), lambda: reports.daily_sales(orders, "2025-02-01", "2025-01-01"), lambda: reports.daily_sales(orders, start="yesterday")):
         with pytest.raises(ValueError):
             call()
+
+
+def test_batch_job_from_file_to_metrics(spark, tmp_path):
+    good = ["ORD-1", "2025-01-15T10:00:00", "x", "C-1", "n", "771234567", "a@b.com", "c", "d", "home", "5", "cash", "paid", "15", "YER", "15", '[{"sku":"S","qty":1,"unit_price":10,"total":10}]']
+    rows = [good, ["ORD-2", *good[1:]], ["ORD-2", *good[1:2], "y", *good[3:]], ["", *good[1:]]]
+    write = lambda name, rows: spark.createDataFrame([tuple(r) for r in rows], RAW_RECORD).coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').csv(str(tmp_path / name))
+    write("a.csv", rows)
+    root = str(tmp_path / "root")
+    for _ in range(2):  # the second time changes nothing
+        done = job.run(spark, str(tmp_path / "a.csv"), root, "run-1", "2025-02-01T00:00:00")
+        orders, bad = job.tables(spark, root)
+        assert (done.n_raw, done.n_valid, done.n_quarantined, done.errors) == (4, 3, 1, {"MISSING_ORDER_ID": 1})
+        assert sorted((r.id_order, r.status) for r in orders.read().collect()) == [("ORD-1", "x"), ("ORD-2", "y")] and bad.read().count() == 1
+    assert spark.read.parquet(f"{root}/metrics").count() == 2 and spark.read.parquet(f"{root}/raw").count() == 4
+    counters = [r.counters for r in spark.read.parquet(f"{root}/metrics").collect()]
+    assert {"inserted": 2, "updated": 1, "unchanged": 0} in counters and {"inserted": 0, "updated": 3, "unchanged": 2} in counters
+    # a blank status is no error of a rule, but breaks the contract: nothing is stored
+    write("b.csv", [["ORD-3", *good[1:]], ["ORD-4", good[1], "", *good[3:]]])
+    with pytest.raises(ValueError, match="ORD-4.*empty_status"):
+        job.run(spark, str(tmp_path / "b.csv"), root, "run-2", "2025-02-02T00:00:00")
+    assert job.tables(spark, root)[0].read().count() == 2
+    job.run(spark, str(tmp_path / "b.csv"), root, "run-2", "2025-02-02T00:00:00", "quarantine")
+    assert job.tables(spark, root)[0].read().count() == 3
+    assert job.refresh(spark, root, "first", "2025-02-03T00:00:00")["mode"] == "full"
+    assert reports.published(spark, f"{root}/reports", "sales_by_city").first().order_count == 3
+    with pytest.raises(ValueError, match="4 raw rows"):
+        checks.require_balance(spark.range(4), spark.createDataFrame([("valid",)], "classification string"))
+
+
+def test_buckets_follow_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "PER_BUCKET", 30)
+    t = store.Table(spark, str(tmp_path / "t"), ["k"])
+    t.upsert(spark.range(100).selectExpr("id as k", "1 as v"))
+    t.upsert(spark.range(50, 110).selectExpr("id as k", "2 as v"))
+    assert len(t.manifest()) == 5 and t.read().groupBy("v").count().orderBy("v").collect() == [(1, 50), (2, 60)]
