@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sources.scratch import materialize, scratch_dir  # noqa: F401  (operators take them from here)
+
 #: Bytes that part words: space and 0x09 to 0x0D. ``bytes.split()`` parts at exactly these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -23,29 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names in ``spark.checkpoint.dir``.
-
-    Without the setting, a temporary folder takes its place where all runs in one process, as in tests; on a cluster that
-    is an error, as no folder of one machine would do.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/tf-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def doc_fold(doc_id: str | F.Column, n: int) -> F.Column:
     """crc32(doc_id as text) mod n; null ids count as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
