@@ -38,6 +38,8 @@ from tallyforge.llm.shingles import WordHashes, fingerprints, hashed_sets, minha
 PER_COLLECTION, ROWS, ORDERS, BLOCK, PER_HUB = 12, 3, 4, 256, 256
 #: Up to so many rows of a narrow table (at most 24 bytes each) it is joined by broadcast, beyond it by shuffle.
 BROADCAST_IDS = 2_000_000
+#: The same for what is kept of the members of buckets with several components (about 60 bytes a row).
+BROADCAST_MEMBERS = 500_000
 
 
 def signatures(docs: DataFrame, width: int, per_collection: int = PER_COLLECTION, rows: int = ROWS, seed: int = 1) -> DataFrame:
@@ -96,10 +98,14 @@ class Texts:
     unique: bool
 
     def of(self, wanted: DataFrame) -> DataFrame:
-        """rep, text of the classes in ``wanted`` (rep, each once)."""
-        rows = materialize(self.reps.select("rep", "doc_id", "h").join(sized(wanted), "rep"), "wanted_rows")
+        """rep, text of the classes in ``wanted`` (rep, each once; written)."""
+        rows = self.reps.select("rep", "doc_id", "h")
+        if wanted.count() <= BROADCAST_IDS:
+            rows = F.broadcast(rows.join(F.broadcast(wanted), "rep"))
+        else:
+            rows = materialize(rows.join(wanted, "rep"), "wanted_rows")
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
-        texts = texts.join(sized(rows), ["doc_id", "h"]).select("rep", "text")
+        texts = texts.join(rows, ["doc_id", "h"]).select("rep", "text")
         return texts if self.unique else texts.dropDuplicates(["rep"])
 
 
@@ -139,7 +145,9 @@ def confirm(pairs: DataFrame, texts: Texts, width: int, percent: int) -> DataFra
     found = materialize(texts.of(wanted), "texts")
     hubs = materialize(pairs.groupBy("y").agg(F.ceil(F.count("*") / PER_HUB).alias("slots")).where("slots > 1"), "hubs")
     slot = F.coalesce(F.pmod(F.xxhash64("x"), F.col("slots")), F.lit(0)).alias("slot")
-    dealt = materialize(pairs.join(sized(hubs), "y", "left").select("x", "y", slot), "dealt")
+    few = hubs.count() <= BROADCAST_IDS
+    dealt = pairs.join(F.broadcast(hubs) if few else hubs, "y", "left").select("x", "y", slot)
+    dealt = dealt if few else materialize(dealt, "dealt")
     members = dealt.join(found.withColumnRenamed("rep", "x"), "x").select("y", "slot", "x", "text")
     leaders = dealt.select("y", "slot").distinct().join(found.withColumnRenamed("rep", "y"), "y").select("y", "slot", F.lit(None).cast("long").alias("x"), "text")
     rows = leaders.union(members).repartition("y", "slot").sortWithinPartitions("y", "slot", F.asc_nulls_first("x"))
@@ -166,14 +174,16 @@ def confirm(pairs: DataFrame, texts: Texts, width: int, percent: int) -> DataFra
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node of an edge."""
 
-    def stars(e: DataFrame, large: bool) -> DataFrame:
+    def stars(e: DataFrame, large: bool, few: bool) -> DataFrame:
         # e has (u, v) with v < u; the large star sees both directions, the small star only smaller neighbours
         seen = e.union(e.select("v", "u")) if large else e
-        # written, so that the edges of a node with many can be dealt to several tasks of the join
-        low = materialize(seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least_neighbours")
-        near = seen.join(sized(low), "u")
+        low = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # broadcast, or written, so that the edges of a node with many can be dealt to several tasks of the join
+        low = low if few else materialize(low, "least_neighbours")
+        near = seen.join(F.broadcast(low) if few else low, "u")
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        return materialize(out.where("u != v").distinct(), "stars")
+        out = out.where("u != v").distinct()
+        return out if few else materialize(out, "half_stars")
 
     e = materialize(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v").distinct(), "edges")
     state = None
@@ -181,7 +191,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state or not now[0]:
             break
-        state, e = tuple(now), stars(stars(e, True), False)
+        few = 2 * now[0] <= BROADCAST_IDS  # nodes are no more than twice the edges
+        state, e = tuple(now), materialize(stars(stars(e, True, few), False, few), "stars")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
 
@@ -239,7 +250,9 @@ def remaining_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, texts
     state = comps.select(F.col("node").alias("rep"), "comp")
     rows = materialize(buckets.join(state, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "rows")
     active = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
-    members = materialize(rows.join(materialize(active, "active"), "t").select("rep", "n", "comp", "i", "a").distinct(), "members")
+    members = materialize(rows.join(active, "t").select("rep", "n", "comp", "i", "a").distinct(), "members")
+    few = members.count() <= BROADCAST_MEMBERS
+    side = lambda df, name: F.broadcast(df) if few else materialize(df, name)
     wanted = materialize(members.select("rep").distinct(), "member_reps")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,10 +270,11 @@ def remaining_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, texts
     sets = texts.of(wanted).transform(map_batches, shingled, "rep long, shingles binary")
     keys = reps.select("rep", "keys").join(sized(wanted), "rep").transform(map_batches, packed, "rep long, packed binary")
     facts = materialize(sets.join(keys, "rep"), "facts")
-    # small tables of one row a component and bucket; every join below is between written tables, so hot keys can be split
-    shares = materialize(members.groupBy("i", "a", "comp").agg(F.sum(1 / F.lit(block) + F.col("n") / F.lit(block * 1024)).alias("share")), "shares")
-    rest = materialize(shares.where("share < 0.5").groupBy("i", "a").agg(F.sum("share").alias("rest")), "rest")
-    plans = materialize(shares.join(rest, ["i", "a"], "left"), "plans")
+    # at most a row for each component and bucket; joined by broadcast, or written first, so that hot keys can be split
+    shares = members.groupBy("i", "a", "comp").agg(F.sum(1 / F.lit(block) + F.col("n") / F.lit(block * 1024)).alias("share"))
+    shares = shares if few else materialize(shares, "shares")
+    rest = side(shares.where("share < 0.5").groupBy("i", "a").agg(F.sum("share").alias("rest")), "rest")
+    plans = side(shares.join(rest, ["i", "a"], "left"), "plans")
     large = F.xxhash64(F.lit(1), "comp", F.pmod(F.xxhash64("rep"), F.ceil("share")))
     small = F.xxhash64(F.lit(0), F.pmod(F.xxhash64("comp"), F.ceil("rest")))
     placed = members.join(plans, ["i", "a", "comp"]).select("rep", "n", "comp", "i", "a", F.when(F.col("share") >= 0.5, large).otherwise(small).alias("b"))
@@ -268,11 +282,11 @@ def remaining_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, texts
     blocks = materialize(placed.groupBy("i", "a", "b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
     one, two = (blocks.select("i", "a", *[F.col(c).alias(c + k) for c in ("b", "lo", "hi")]) for k in ("i", "j"))
     met = one.join(two, ["i", "a"]).where("bi <= bj and least(loi, loj) < greatest(hii, hij)").select("i", "a", "bi", "bj")
-    met = materialize(met, "met")
+    met = sized(materialize(met, "met"))
     ends = met.select("i", "a", F.col("bi").alias("b"), "bi", "bj", F.lit(0).alias("side"))
     ends = ends.union(met.where("bi != bj").select("i", "a", F.col("bj").alias("b"), "bi", "bj", F.lit(1).alias("side")))
-    cells = materialize(placed.join(ends, ["i", "a", "b"]).drop("b"), "cells_of_blocks")
-    full = cells.join(facts, "rep")
+    cells = placed.join(ends, ["i", "a", "b"]).drop("b")
+    full = (cells if few else materialize(cells, "cells_of_blocks")).join(facts, "rep")
     return full.groupBy("i", "a", "bi", "bj").applyInPandas(_rest_of_bucket(percent, per_collection), "x long, y long").distinct()
 
 
@@ -294,7 +308,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # the smallest doc_id of a component, then of each class, then of each row
     led = materialize(reps.select("rep", "doc_id", "f1", "f2", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "led")
     least = materialize(led.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least_ids")
-    led = led.join(least, "comp").select("f1", "f2", "n", "component_id")
+    led = led.join(sized(least), "comp").select("f1", "f2", "n", "component_id")
     rows = sig.select("doc_id", "n", "f1", "f2")
     out = rows.join(led, ["f1", "f2", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
