@@ -1,17 +1,25 @@
-"""Operator 7, benchmark decontamination: exact search by pieces within an edit distance, exact alignment.
+"""Operator 7, benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact alignment.
 
 The unit of an edit is a word (ASCII case and marks at its ends ignored); in scripts that put no spaces between words (Han,
-kana, Thai, Lao, Tibetan, Burmese, Khmer) it is a character, and their marks part words. An item of n words may differ by k = share * n
-edits. Cut into k + 1 pieces, at least one piece stands unchanged in every run of words within k edits of the item, as an
-edit spoils one piece at most. So each run of a document that equals a piece is a candidate, and no pair within k edits is
-missed. At a share of a quarter, pieces have two to four words.
+kana, Thai, Lao, Tibetan, Burmese, Khmer) it is a character, and their marks part words. An item of n words may differ by
+k = share * n edits.
+
+A CGK walk embeds a window: at step j it emits the word under the cursor, and moves on or stays by a random bit of (j, word),
+so that few edits leave few differing steps. Windows are as wide as the item, rounded down to 4, 5, 6 or 7 times a power of
+two; documents have one at every eighth to sixteenth of a width (every word below 16 words), items have one at each of their
+first words, so that a copy meets a document window wherever it begins. Each table's key is a few sampled steps of a walk,
+within a run of ``SPAN`` steps: where walks are in step at one of them, they mostly are at all. Walks, tables and the windows
+of an item repeat the trial; ``tests/llm`` holds the recall at each share of edits.
 
-Pieces are looked up by hash at every word of a document; longer pieces than ``MOST_PIECE`` words by their first words.
 Candidates of a document and an item that lie near each other are looked at together: those whose surroundings lack more
 distinct words of the item than edits are allowed can't be near enough, the others are aligned exactly: the least edit
 distance of the item to any run of words around the candidates decides.
 
-Items are read in blocks of ``block_items``, which bounds what tasks are sent; each block is met with all documents.
+Items of fewer than four words, and those that allow no edit, are looked up as they stand (in k + 1 pieces, one of which
+stands unchanged).
+
+Items are read in blocks of ``block_items``, or of ``BLOCK_WORDS`` words if that comes first, which bounds what tasks are
+sent; each block is met with all documents.
 
 Edge cases: null and empty documents and items match nothing; an item of one word is met by each document that has the
 word; texts of any length are read whole; repeated documents are reported each, repeated items too; empty tables give an
@@ -21,7 +29,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -34,13 +42,15 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import map_batches, text_parts
 
 MOST_PIECE = 6
+#: Steps of a walk among which a table's sampled ones lie.
+SPAN = 12
+BLOCK_WORDS = 400_000
 HITS = "doc_id long, item_id long, start long, end long, distance long, item_words long"
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: UTF-8 of characters of scripts without spaces, their leading bytes, and the marks among them and in full width.
 _DENSE = re.compile(rb"(?:\xe0[\xb8-\xbf]|\xe1[\x80-\x82\x9e\x9f]|\xe2[\xba-\xbf]|[\xe3-\xe9][\x80-\xbf]|\xef[\xa4-\xab]|\xf0[\xa0-\xb2][\x80-\xbf])[\x80-\xbf]")
 _DENSE_LEAD = re.compile(rb"[\xe0-\xf0]")
 _WIDE_MARKS = re.compile(rb"\xe3\x80[\x80-\x84\x88-\xa0]|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
-_FILTER_BITS = 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,14 +84,112 @@ def run_keys(flat: np.ndarray, longest: int) -> Iterator[np.ndarray]:
         yield key
 
 
+def step_of(width: int) -> int:
+    """Words from one document window to the next."""
+    return max(1, (1 << width.bit_length()) >> 4)
+
+
+def width_of(n: int) -> int:
+    """The widest windows for items of n (4 or more) words of which one begins at a word where a document window may."""
+    return max(w for j in range(n.bit_length()) for w in (4 << j, 5 << j, 6 << j, 7 << j) if w + step_of(w) - 1 <= n)
+
+
+@dataclass(frozen=True)
+class Family:
+    """The random choices: the same for items and documents."""
+
+    walks: int = 3
+    per_walk: int = 3
+    sampled: int = 3
+    seed: int = 3
+
+    def steps(self, width: int, walk: int) -> list[list[int]]:
+        """The sampled steps of each table; a walk passes 2 W steps over a window of W on average. Narrow windows have room
+        for fewer steps between edits, so they get more tables of shorter keys."""
+        rng = np.random.default_rng((self.seed, width, walk))
+        narrow, most = width < 12, 3 * width // 2
+        span, out = min(most, SPAN), []
+        for _ in range(self.per_walk * (4 if narrow else 1)):
+            low = int(rng.integers(0, most - span + 1))
+            out.append(sorted((low + rng.choice(span, min(self.sampled - narrow, span), replace=False)).tolist()))
+        return out
+
+    def keys(self, flat: np.ndarray, starts: np.ndarray, widths: list[int], marked: bool = False, at_once: int = 8192) -> Iterator[tuple[int, list[list[np.ndarray]], list[list[np.ndarray]]]]:
+        """(first window, keys, if ``marked`` whether no sampled step lies beyond the text) by width and table, in parts.
+        ``flat`` has 32-bit word hashes and a 0, at which a walk stays, after each text. The widths share the walks."""
+        plans = []
+        for walk in range(self.walks):
+            due: dict[int, list[tuple[int, int]]] = {}
+            for c, width in enumerate(widths):
+                chosen = self.steps(width, walk)
+                for t, steps in enumerate(chosen):
+                    for j in steps:
+                        due.setdefault(j, []).append((c, walk * len(chosen) + t))
+            plans.append([(xxhash.xxh32_intdigest(b"%d %d" % (walk, j), self.seed) | 1, due.get(j, [])) for j in range(max(due) + 1)])
+        tables = [self.walks * len(self.steps(w, 0)) for w in widths]
+        for low in range(0, len(starts), at_once):
+            n = len(starts[low : low + at_once])
+            out = [[np.zeros(n, np.uint64) for _ in range(t)] for t in tables]
+            inside = [[np.ones(n, bool) for _ in range(t)] for t in tables if marked]
+            bits = np.empty(n, np.uint32)
+            for plan in plans:
+                at = starts[low : low + at_once].copy()
+                for odd, due in plan:
+                    word = flat.take(at)
+                    for c, t in due:
+                        out[c][t] *= _FACTOR
+                        out[c][t] += word
+                        if marked:
+                            inside[c][t] &= word != 0
+                    np.multiply(word, np.uint32(odd), out=bits)
+                    bits >>= np.uint32(31)
+                    at += bits
+            for key in chain.from_iterable(out):
+                key *= _FACTOR
+                key ^= key >> np.uint64(32)
+                key *= _FACTOR
+            yield low, out, inside
+
+
+@dataclass(frozen=True)
+class Table:
+    """Sorted keys, the items they come from and the words of the item before them."""
+
+    keys: np.ndarray
+    owners: np.ndarray
+    before: np.ndarray
+
+    @staticmethod
+    def of(keys: np.ndarray, owners: np.ndarray, before: np.ndarray) -> Table:
+        order = np.argsort(keys, kind="stable")
+        return Table(keys[order], owners[order], before[order])
+
+    def filter(self) -> tuple[np.uint64, np.ndarray]:
+        """A shift, and by the rest of a shifted key whether a key of the table has it."""
+        bits = max(16, len(self.keys).bit_length() + 4)
+        seen = np.zeros(1 << bits, bool)
+        seen[self.keys >> np.uint64(64 - bits)] = True
+        return np.uint64(64 - bits), seen
+
+    def meet(self, keys: np.ndarray, shift: np.uint64, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``keys``, item, words of the item before) of every equal pair."""
+        near = np.flatnonzero(seen.take(keys >> shift))
+        low, high = np.searchsorted(self.keys, keys[near], "left"), np.searchsorted(self.keys, keys[near], "right")
+        counts = high - low
+        entry = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return np.repeat(near, counts), self.owners[entry], self.before[entry]
+
+
 @dataclass
 class Items:
-    """A block of items, indexed: for each length of pieces their sorted keys, the items they come from and their places."""
+    """A block of items, indexed: tables of the items that are looked up as they stand by length, of the others by width."""
 
     ids: list[int | None]
     words: list[list[bytes]]
     share: float
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    family: Family = Family()
+    plain: dict[int, Table] = field(default_factory=dict)
+    tables: dict[int, list[Table]] = field(default_factory=dict)
     distinct: list[frozenset[bytes]] = field(default_factory=list)
 
     def allowed(self, i: int) -> int:
@@ -89,25 +197,59 @@ class Items:
 
     def index(self) -> Items:
         self.distinct = [frozenset(w) for w in self.words]
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        plain: dict[int, list[tuple[int, int, int]]] = {}
+        by_width: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
-            if w:
+            if len(w) >= 4 and self.allowed(i):
+                by_width.setdefault(width_of(len(w)), []).append(i)
+            elif w:
                 hashes = np.array([word_hash(x) for x in w], np.uint64)
                 for a, b in pieces(len(w), self.allowed(i)):
                     length = min(b - a, MOST_PIECE)
                     *_, key = run_keys(hashes[a : a + length], length)
-                    found.setdefault(length, []).append((int(key[0]), i, a))
-        for length, rows in found.items():
-            keys = np.array([r[0] for r in rows], np.uint64)
-            order = np.argsort(keys, kind="stable")
-            seen = np.zeros(1 << _FILTER_BITS, bool)
-            seen[keys >> np.uint64(64 - _FILTER_BITS)] = True
-            self.tables[length] = (seen, keys[order], *(np.array([r[c] for r in rows])[order] for c in (1, 2)))
+                    plain.setdefault(length, []).append((int(key[0]), i, a))
+        for length, rows in plain.items():
+            self.plain[length] = Table.of(np.array([r[0] for r in rows], np.uint64), *(np.array([r[c] for r in rows]) for c in (1, 2)))
+        for width, members in by_width.items():
+            flat, edges = hashed([self.words[i] for i in members], word_hash)
+            sizes = np.array([len(self.words[i]) for i in members])
+            counts = np.maximum(sizes - width + 1, 3 * sizes // 5)
+            owner = np.repeat(np.arange(len(members)), counts)
+            before = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            parts: list[list[Table]] = []
+            for low, (found,), (inside,) in self.family.keys(flat, edges[owner] + before, [width], marked=True):
+                parts.append([Table(k[ok], np.array(members)[owner[low : low + len(k)]][ok], before[low : low + len(k)][ok]) for k, ok in zip(found, inside, strict=True)])
+            self.tables[width] = [Table.of(*(np.concatenate([getattr(p, c) for p in table]) for c in ("keys", "owners", "before"))) for table in zip(*parts, strict=True)]
         return self
 
+    def groups(self) -> list[list[int]]:
+        """Widths whose windows begin at the same words."""
+        out: dict[int, list[int]] = {}
+        for width in sorted(self.tables):
+            out.setdefault(step_of(width), []).append(width)
+        return list(out.values())
+
+
+class Filters:
+    """The filters of a block's tables, made by the task that uses them."""
+
+    def __init__(self, items: Items) -> None:
+        self.plain = {length: table.filter() for length, table in items.plain.items()}
+        self.tables = {width: [t.filter() for t in tables] for width, tables in items.tables.items()}
+
 
 def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) >> 32
+    """32 bits, never 0."""
+    return xxhash.xxh64_intdigest(word) >> 32 | 1
+
+
+def hashed(texts: list[list[bytes]], hash_of: Callable[[bytes], int]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts, a 0 after each, and where each text begins, with the end at last."""
+    edges = np.concatenate([[0], np.cumsum([len(w) + 1 for w in texts])]).astype(np.int64)
+    flat, inside = np.zeros(edges[-1], np.uint32), np.ones(edges[-1], bool)
+    inside[edges[1:] - 1] = False
+    flat[inside] = np.fromiter(map(hash_of, chain.from_iterable(texts)), np.uint32, int(edges[-1]) - len(texts))
+    return flat, edges
 
 
 def align(item: list[bytes], text: list[bytes]) -> tuple[int, int, int]:
@@ -128,34 +270,34 @@ def align(item: list[bytes], text: list[bytes]) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
-def _candidates(flat: np.ndarray, edges: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, word of the text at which the item would begin) of every run that equals a piece, sorted."""
+def _candidates(flat: np.ndarray, edges: np.ndarray, items: Items, filters: Filters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, word of the text at which the item would begin) of every pair of equal keys, sorted."""
     found = []
-    for length, keys in enumerate(run_keys(flat, max(items.tables, default=0)), 1):
-        if length not in items.tables:
-            continue
-        seen, known, owners, before = items.tables[length]
-        near = np.flatnonzero(seen.take(keys >> np.uint64(64 - _FILTER_BITS)))
-        low, high = np.searchsorted(known, keys[near], "left"), np.searchsorted(known, keys[near], "right")
-        text = np.searchsorted(edges, near, "right") - 1
-        hit = (low < high) & (near + length <= edges[text + 1])
-        near, low, text, counts = near[hit], low[hit], text[hit], (high - low)[hit]
-        entry = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        text = np.repeat(text, counts)
-        found.append((text, owners[entry], np.repeat(near, counts) - edges[text] - before[entry]))
+    for length, keys in enumerate(run_keys(flat, max(items.plain, default=0)), 1):
+        if length in items.plain:
+            found.append(items.plain[length].meet(keys, *filters.plain[length]))
+    for widths in items.groups():
+        starts = np.arange(0, len(flat), step_of(widths[0]))
+        for low, block, _ in items.family.keys(flat, starts, widths):
+            for width, by_table in zip(widths, block, strict=True):
+                for table, keys, sieve in zip(items.tables[width], by_table, filters.tables[width], strict=True):
+                    place, item, before = table.meet(keys, *sieve)
+                    if len(place):
+                        found.append((starts[low + place], item, before))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
-    text, item, at = (np.concatenate(c) for c in zip(*found, strict=True))
+    place, item, before = (np.concatenate(c) for c in zip(*found, strict=True))
+    text = np.searchsorted(edges, place, "right") - 1
+    at = place - edges[text] - before
     order = np.lexsort((at, item, text))
     return text[order], item[order], at[order]
 
 
-def _search(texts: list[bytes], items: Items, words_of: dict[bytes, int]) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, distance) of every text and item within the allowed edits."""
+def _search(texts: list[bytes], items: Items, filters: Filters, words_of: dict[bytes, int]) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, distance) of every text and item found within the allowed edits."""
     split = [split_words(t) for t in texts]
-    edges = np.concatenate([[0], np.cumsum([len(w) for w in split])])
-    flat = np.fromiter(map(words_of.__getitem__, chain.from_iterable(split)), np.uint64, int(edges[-1]))
-    text, item, at = _candidates(flat, edges, items)
+    flat, edges = hashed(split, words_of.__getitem__)
+    text, item, at = _candidates(flat, edges, items, filters)
     if not len(text):
         return []
     sizes = np.array([len(w) for w in items.words])
@@ -168,7 +310,7 @@ def _search(texts: list[bytes], items: Items, words_of: dict[bytes, int]) -> lis
         if best.get((d, i), (1,))[0] == 0:
             continue
         allowed = items.allowed(i)
-        low, high = max(0, a - allowed), b + len(items.words[i]) + allowed
+        low, high = max(0, a - 2 * allowed), b + len(items.words[i]) + 2 * allowed
         around = [w.strip(_MARKS) or w for w in split[d][low:high]]
         if len(items.distinct[i].difference(around)) > allowed:  # each edit accounts for one word at most
             continue
@@ -179,8 +321,8 @@ def _search(texts: list[bytes], items: Items, words_of: dict[bytes, int]) -> lis
     return [(d, i, a, b, e) for (d, i), (e, a, b) in best.items()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, block_items: int = 4000) -> DataFrame:
-    """HITS: the best alignment of every document and item that are within ``share`` (0 to under 1) of the item's words."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, block_items: int = 4000, family: Family = Family()) -> DataFrame:  # noqa: B008
+    """HITS: the best alignment of every document and item found within ``share`` (0 to under 1) of the item's words."""
     if not 0 <= share < 1:
         raise ValueError("share must be 0 or more and under 1")
 
@@ -193,20 +335,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, blo
                     self[word] = h = word_hash(word.strip(_MARKS) or word)
                     return h
 
-            words = Words()
+            words, filters = Words(), Filters(items)
             for batch in batches:
                 doc_ids, rows = batch.column(0).to_pylist(), []
                 for part, texts in text_parts(batch):
-                    rows += [(doc_ids[part.start + d], items.ids[i], a, b, e, len(items.words[i])) for d, i, a, b, e in _search(texts, items, words)]
+                    rows += [(doc_ids[part.start + d], items.ids[i], a, b, e, len(items.words[i])) for d, i, a, b, e in _search(texts, items, filters, words)]
                 cols = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "distance", "item_words"])
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_batches, run, HITS)
 
     out, ids, words = docs.sparkSession.createDataFrame([], HITS), [], []
+    n_words = 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():
         ids.append(row["i"])
         words.append(tokens(row["t"].encode()))
-        if len(ids) == block_items:
-            out, ids, words = out.union(hits(Items(ids, words, share).index())), [], []
-    return out.union(hits(Items(ids, words, share).index())) if ids else out
+        n_words += len(words[-1])
+        if len(ids) == block_items or n_words >= BLOCK_WORDS:
+            out, ids, words = out.union(hits(Items(ids, words, share, family).index())), [], []
+            n_words = 0
+    return out.union(hits(Items(ids, words, share, family).index())) if ids else out
