@@ -190,13 +190,13 @@ class Items:
     family: Family = Family()
     plain: dict[int, Table] = field(default_factory=dict)
     tables: dict[int, list[Table]] = field(default_factory=dict)
-    distinct: list[frozenset[bytes]] = field(default_factory=list)
+    distinct: list[frozenset[int]] = field(default_factory=list)
 
     def allowed(self, i: int) -> int:
         return int(self.share * len(self.words[i]))
 
     def index(self) -> Items:
-        self.distinct = [frozenset(w) for w in self.words]
+        self.distinct = [frozenset(map(word_hash, w)) for w in self.words]
         plain: dict[int, list[tuple[int, int, int]]] = {}
         by_width: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
@@ -300,20 +300,21 @@ def _search(texts: list[bytes], items: Items, filters: Filters, words_of: dict[b
     text, item, at = _candidates(flat, edges, items, filters)
     if not len(text):
         return []
-    sizes = np.array([len(w) for w in items.words])
+    sizes, hashes, edges = np.array([len(w) for w in items.words]), flat.tolist(), edges.tolist()
+    limits, lengths, distinct = [items.allowed(i) for i in range(len(sizes))], sizes.tolist(), items.distinct
     # candidates nearer than half an item are looked at together
     new = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(at) > sizes[item[1:]] // 2)
     firsts = np.concatenate([[0], np.flatnonzero(new) + 1])
     lasts = np.append(firsts[1:], len(at)) - 1
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for d, i, a, b in zip(*(c.tolist() for c in (text[firsts], item[firsts], at[firsts], at[lasts])), strict=True):
+        allowed = limits[i]
+        low, high = max(0, a - 2 * allowed), b + lengths[i] + 2 * allowed
+        if len(distinct[i].difference(hashes[edges[d] + low : min(edges[d] + high, edges[d + 1])])) > allowed:  # an edit accounts for one word at most
+            continue
         if best.get((d, i), (1,))[0] == 0:
             continue
-        allowed = items.allowed(i)
-        low, high = max(0, a - 2 * allowed), b + len(items.words[i]) + 2 * allowed
         around = [w.strip(_MARKS) or w for w in split[d][low:high]]
-        if len(items.distinct[i].difference(around)) > allowed:  # each edit accounts for one word at most
-            continue
         distance, start, end = align(items.words[i], around)
         if distance <= allowed:
             one = (distance, low + start, low + end)
