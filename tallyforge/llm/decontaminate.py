@@ -45,6 +45,8 @@ MOST_PIECE = 6
 #: Steps of a walk among which a table's sampled ones lie.
 SPAN = 12
 BLOCK_WORDS = 400_000
+#: Low bits of word hashes by which it is noted what words an item has.
+_NOTED_BITS = 12
 HITS = "doc_id long, item_id long, start long, end long, distance long, item_words long"
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: UTF-8 of characters of scripts without spaces, their leading bytes, and the marks among them and in full width.
@@ -135,10 +137,11 @@ class Family:
             for plan in plans:
                 at = starts[low : low + at_once].copy()
                 for odd, due in plan:
-                    word = flat.take(at)
+                    word = flat.take(at, mode="clip")
+                    wide = word.astype(np.uint64) if due else word
                     for c, t in due:
                         out[c][t] *= _FACTOR
-                        out[c][t] += word
+                        out[c][t] += wide
                         if marked:
                             inside[c][t] &= word != 0
                     np.multiply(word, np.uint32(odd), out=bits)
@@ -166,15 +169,18 @@ class Table:
 
     def filter(self) -> tuple[np.uint64, np.ndarray]:
         """A shift, and by the rest of a shifted key whether a key of the table has it."""
-        bits = max(16, len(self.keys).bit_length() + 4)
+        bits = max(16, len(self.keys).bit_length() + 6)
         seen = np.zeros(1 << bits, bool)
         seen[self.keys >> np.uint64(64 - bits)] = True
         return np.uint64(64 - bits), seen
 
     def meet(self, keys: np.ndarray, shift: np.uint64, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in ``keys``, item, words of the item before) of every equal pair."""
-        near = np.flatnonzero(seen.take(keys >> shift))
-        low, high = np.searchsorted(self.keys, keys[near], "left"), np.searchsorted(self.keys, keys[near], "right")
+        near = np.flatnonzero(seen.take((keys >> shift).view(np.int64), mode="clip"))
+        low = np.searchsorted(self.keys, keys[near], "left")
+        equal = self.keys.take(low, mode="clip") == keys[near]
+        near, low = near[equal], low[equal]
+        high = np.searchsorted(self.keys, keys[near], "right")
         counts = high - low
         entry = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         return np.repeat(near, counts), self.owners[entry], self.before[entry]
@@ -231,11 +237,26 @@ class Items:
 
 
 class Filters:
-    """The filters of a block's tables, made by the task that uses them."""
+    """The filters of a block's tables and items, made by the task that uses them."""
 
     def __init__(self, items: Items) -> None:
         self.plain = {length: table.filter() for length, table in items.plain.items()}
         self.tables = {width: [t.filter() for t in tables] for width, tables in items.tables.items()}
+        self.has = np.zeros((len(items.words), 1 << _NOTED_BITS), bool)
+        for i, words in enumerate(items.distinct):
+            self.has[i, np.fromiter(words, np.int64, len(words)) & ((1 << _NOTED_BITS) - 1)] = True
+
+    def likely(self, flat: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray, at_once: int = 8192) -> np.ndarray:
+        """Which runs ``low`` to ``high`` of ``flat`` may hold ``least`` words of their item; no run that does is missed."""
+        out = np.zeros(len(item), bool)
+        for start in range(0, len(item), at_once):
+            part = slice(start, start + at_once)
+            sizes = high[part] - low[part]
+            firsts = np.cumsum(sizes) - sizes
+            place = np.arange(sizes.sum()) + np.repeat(low[part] - firsts, sizes)
+            noted = self.has[np.repeat(item[part], sizes), flat[place] & np.uint32((1 << _NOTED_BITS) - 1)]
+            out[part] = np.add.reduceat(noted, firsts, dtype=np.int64) >= least[part]
+        return out
 
 
 def word_hash(word: bytes) -> int:
@@ -300,24 +321,28 @@ def _search(texts: list[bytes], items: Items, filters: Filters, words_of: dict[b
     text, item, at = _candidates(flat, edges, items, filters)
     if not len(text):
         return []
-    sizes, hashes, edges = np.array([len(w) for w in items.words]), flat.tolist(), edges.tolist()
-    limits, lengths, distinct = [items.allowed(i) for i in range(len(sizes))], sizes.tolist(), items.distinct
+    sizes, allowed_edits = np.array([len(w) for w in items.words]), np.array([items.allowed(i) for i in range(len(items.words))])
     # candidates nearer than half an item are looked at together
     new = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(at) > sizes[item[1:]] // 2)
     firsts = np.concatenate([[0], np.flatnonzero(new) + 1])
-    lasts = np.append(firsts[1:], len(at)) - 1
+    text, item, low, high = text[firsts], item[firsts], at[firsts], at[np.append(firsts[1:], len(at)) - 1]
+    reach = 2 * allowed_edits[item]
+    low, high = edges[text] + np.maximum(0, low - reach), np.minimum(edges[text] + high + sizes[item] + reach, edges[text + 1])
+    # each edit accounts for one word at most
+    least = np.array([len(w) for w in items.distinct])[item] - allowed_edits[item]
+    near = np.flatnonzero(filters.likely(flat, item, low, high, least))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for d, i, a, b in zip(*(c.tolist() for c in (text[firsts], item[firsts], at[firsts], at[lasts])), strict=True):
-        allowed = limits[i]
-        low, high = max(0, a - 2 * allowed), b + lengths[i] + 2 * allowed
-        if len(distinct[i].difference(hashes[edges[d] + low : min(edges[d] + high, edges[d + 1])])) > allowed:  # an edit accounts for one word at most
-            continue
+    for d, i, a, b in zip(*(c[near].tolist() for c in (text, item, low, high)), strict=True):
         if best.get((d, i), (1,))[0] == 0:
             continue
-        around = [w.strip(_MARKS) or w for w in split[d][low:high]]
+        allowed = items.allowed(i)
+        if len(items.distinct[i].difference(flat[a:b].tolist())) > allowed:
+            continue
+        low_word = a - int(edges[d])
+        around = [w.strip(_MARKS) or w for w in split[d][low_word : b - int(edges[d])]]
         distance, start, end = align(items.words[i], around)
         if distance <= allowed:
-            one = (distance, low + start, low + end)
+            one = (distance, low_word + start, low_word + end)
             best[d, i] = min(best.get((d, i), one), one)
     return [(d, i, a, b, e) for (d, i), (e, a, b) in best.items()]
 
