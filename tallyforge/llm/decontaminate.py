@@ -29,7 +29,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -54,19 +54,22 @@ _DENSE = re.compile(rb"(?:\xe0[\xb8-\xbf]|\xe1[\x80-\x82\x9e\x9f]|\xe2[\xba-\xbf
 _DENSE_LEAD = re.compile(rb"[\xe0-\xf0]")
 _WIDE_MARKS = re.compile(rb"\xe3\x80[\x80-\x84\x88-\xa0]|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: 0 for bytes that part words, 1 for marks, 2 for others.
+_KIND = np.array([0 if bytes([b]).isspace() else 1 if b in _MARKS else 2 for b in range(256)], np.uint8)
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """Lower-case words as they stand; characters where the script has no spaces."""
+def spaced(text: bytes) -> bytes:
+    """The text in lower case, with spaces about characters where the script has none."""
     text = text.lower()
     if not text.isascii() and _DENSE_LEAD.search(text):
         text = _DENSE.sub(rb" \g<0> ", _WIDE_MARKS.sub(b" ", text))
-    return text.split()
+    return text
 
 
 def tokens(text: bytes) -> list[bytes]:
     """Lower-case words without the marks around them; a word of marks only stays."""
-    return [w.strip(_MARKS) or w for w in split_words(text)]
+    return [w.strip(_MARKS) or w for w in spaced(text).split()]
 
 
 def pieces(n: int, allowed: int) -> list[tuple[int, int]]:
@@ -202,22 +205,22 @@ class Items:
         return int(self.share * len(self.words[i]))
 
     def index(self) -> Items:
-        self.distinct = [frozenset(map(word_hash, w)) for w in self.words]
+        hashes = [word_hashes(b" ".join(w)) for w in self.words]
+        self.distinct = [frozenset(h.tolist()) for h in hashes]
         plain: dict[int, list[tuple[int, int, int]]] = {}
         by_width: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
             if len(w) >= 4 and self.allowed(i):
                 by_width.setdefault(width_of(len(w)), []).append(i)
             elif w:
-                hashes = np.array([word_hash(x) for x in w], np.uint64)
                 for a, b in pieces(len(w), self.allowed(i)):
                     length = min(b - a, MOST_PIECE)
-                    *_, key = run_keys(hashes[a : a + length], length)
+                    *_, key = run_keys(hashes[i][a : a + length], length)
                     plain.setdefault(length, []).append((int(key[0]), i, a))
         for length, rows in plain.items():
             self.plain[length] = Table.of(np.array([r[0] for r in rows], np.uint64), *(np.array([r[c] for r in rows]) for c in (1, 2)))
         for width, members in by_width.items():
-            flat, edges = hashed([self.words[i] for i in members], word_hash)
+            flat, edges = hashed([hashes[i] for i in members])
             sizes = np.array([len(self.words[i]) for i in members])
             counts = np.maximum(sizes - width + 1, 3 * sizes // 5)
             owner = np.repeat(np.arange(len(members)), counts)
@@ -259,17 +262,37 @@ class Filters:
         return out
 
 
-def word_hash(word: bytes) -> int:
-    """32 bits, never 0."""
-    return xxhash.xxh64_intdigest(word) >> 32 | 1
-
-
-def hashed(texts: list[list[bytes]], hash_of: Callable[[bytes], int]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(text: bytes) -> np.ndarray:
+    """32 bits, never 0, of each word as ``tokens`` has them: its bytes, as 64 random bits each, times powers of a factor."""
+    raw = np.frombuffer(text, np.uint8)
+    kind = _KIND[raw]
+    edge = np.flatnonzero(np.diff((kind > 0).view(np.int8), prepend=0, append=0))
+    first, end = edge[0::2].copy(), edge[1::2].copy()
+    if not len(first):
+        return np.zeros(0, np.uint32)
+    # words that begin or end with marks, unless they have nothing else
+    odd = np.flatnonzero((kind[first] == 1) | (kind[end - 1] == 1))
+    if len(odd):
+        inner = np.flatnonzero(kind == 2)
+        low, high = np.searchsorted(inner, first[odd]), np.searchsorted(inner, end[odd])
+        odd, low, high = (x[low < high] for x in (odd, low, high))
+        first[odd], end[odd] = inner[low], inner[high - 1] + 1
+    sizes = end - first
+    before = np.cumsum(sizes) - sizes
+    within = np.arange(sizes.sum()) - np.repeat(before, sizes)
+    powers = np.full(int(sizes.max()), _FACTOR)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    terms = _BYTES[raw[within + np.repeat(first, sizes)]] * powers[within]
+    return ((np.add.reduceat(terms, before) * _FACTOR) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def hashed(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, a 0 after each, and where each text begins, with the end at last."""
     edges = np.concatenate([[0], np.cumsum([len(w) + 1 for w in texts])]).astype(np.int64)
-    flat, inside = np.zeros(edges[-1], np.uint32), np.ones(edges[-1], bool)
-    inside[edges[1:] - 1] = False
-    flat[inside] = np.fromiter(map(hash_of, chain.from_iterable(texts)), np.uint32, int(edges[-1]) - len(texts))
+    flat = np.zeros(edges[-1], np.uint32)
+    for hashes, start in zip(texts, edges[:-1].tolist(), strict=True):
+        flat[start : start + len(hashes)] = hashes
     return flat, edges
 
 
@@ -314,10 +337,10 @@ def _candidates(flat: np.ndarray, edges: np.ndarray, items: Items, filters: Filt
     return text[order], item[order], at[order]
 
 
-def _search(texts: list[bytes], items: Items, filters: Filters, words_of: dict[bytes, int]) -> list[tuple[int, int, int, int, int]]:
+def _search(texts: list[bytes], items: Items, filters: Filters) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, distance) of every text and item found within the allowed edits."""
-    split = [split_words(t) for t in texts]
-    flat, edges = hashed(split, words_of.__getitem__)
+    texts = [spaced(t) for t in texts]
+    flat, edges = hashed([word_hashes(t) for t in texts])
     text, item, at = _candidates(flat, edges, items, filters)
     if not len(text):
         return []
@@ -332,12 +355,15 @@ def _search(texts: list[bytes], items: Items, filters: Filters, words_of: dict[b
     least = np.array([len(w) for w in items.distinct])[item] - allowed_edits[item]
     near = np.flatnonzero(filters.likely(flat, item, low, high, least))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    split: dict[int, list[bytes]] = {}
     for d, i, a, b in zip(*(c[near].tolist() for c in (text, item, low, high)), strict=True):
         if best.get((d, i), (1,))[0] == 0:
             continue
         allowed = items.allowed(i)
         if len(items.distinct[i].difference(flat[a:b].tolist())) > allowed:
             continue
+        if d not in split:
+            split = {d: texts[d].split()}  # rows come by document
         low_word = a - int(edges[d])
         around = [w.strip(_MARKS) or w for w in split[d][low_word : b - int(edges[d])]]
         distance, start, end = align(items.words[i], around)
@@ -354,18 +380,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, blo
 
     def hits(items: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            class Words(dict):
-                def __missing__(self, word: bytes) -> int:
-                    if len(self) >= 60_000:
-                        self.clear()
-                    self[word] = h = word_hash(word.strip(_MARKS) or word)
-                    return h
-
-            words, filters = Words(), Filters(items)
+            filters = Filters(items)
             for batch in batches:
                 doc_ids, rows = batch.column(0).to_pylist(), []
                 for part, texts in text_parts(batch):
-                    rows += [(doc_ids[part.start + d], items.ids[i], a, b, e, len(items.words[i])) for d, i, a, b, e in _search(texts, items, filters, words)]
+                    rows += [(doc_ids[part.start + d], items.ids[i], a, b, e, len(items.words[i])) for d, i, a, b, e in _search(texts, items, filters)]
                 cols = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "distance", "item_words"])
 
