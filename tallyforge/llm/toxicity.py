@@ -1,8 +1,9 @@
 """Operator 10, toxicity: maximum-scoring segments over token log-odds, calibrated as extreme values.
 
 * Token scores: log-odds of toxic against clean labelled documents with a Dirichlet prior in proportion to the corpus
-  counts; a token counts as toxic only if its odds stand ``z_least`` standard errors above even. All labelled rows are
-  counted; the ``max_tokens`` with the surest odds form the model, which bounds its size.
+  counts; a token has a score if its odds stand ``z_least`` standard errors off even. All labelled rows are counted. Tasks
+  hold the ``max_tokens`` surest tokens; all others, where there are more, come to the texts by a join, so that the bound
+  changes no result.
 * Passages: a linear-time scan finds all maximal-scoring runs of words (every other word costs ``drift``).
 * Calibration: for scores of clean text, the number of passages of score S in n words is K n exp(-lambda S); lambda solves
   the moment equation over the clean token distribution, K comes from the clean labelled documents. A passage is
@@ -38,9 +39,7 @@ class Model:
     scores: dict[bytes, float]
     drift: float
     decay: float  # lambda
-
-    def score_of(self, word: bytes) -> float:
-        return self.scores.get(word.strip(_MARKS), -self.drift)
+    rest: DataFrame | None = None  # token, score of all that ``scores`` has no room for
 
 
 def token_counts(docs: DataFrame, labels: DataFrame, label: str, flush: int = 100_000) -> DataFrame:
@@ -75,7 +74,7 @@ def token_counts(docs: DataFrame, labels: DataFrame, label: str, flush: int = 10
 
 
 def learn(counts: DataFrame, max_tokens: int = 50_000, prior: float = 0.05, z_least: float = 3.0, drift: float = 0.5) -> Model | None:
-    """Log-odds with a prior of ``prior`` pseudo-counts for each count, for the tokens whose odds are surest."""
+    """Log-odds with a prior of ``prior`` pseudo-counts for each count, for all tokens whose odds are sure."""
     counts = materialize(counts, "token_counts")
     all0, all1 = (int(v or 0) for v in counts.agg(F.sum("n0"), F.sum("n1")).first())
     if not all0 or not all1:
@@ -84,12 +83,20 @@ def learn(counts: DataFrame, max_tokens: int = 50_000, prior: float = 0.05, z_le
     a = prior * (F.col("n0") + F.col("n1"))
     y0, y1 = F.col("n0") + a, F.col("n1") + a
     odds = F.log(y1 / (n1 - y1)) - F.log(y0 / (n0 - y0))
-    rated = counts.select("token", odds.alias("odds"), (odds / F.sqrt(1 / y0 + 1 / y1)).alias("z"), (y0 / n0).alias("p0"))
-    top = rated.where(F.abs("z") >= z_least).orderBy(F.abs("z").desc(), "token").limit(max_tokens).collect()
-    scores = {bytes(r["token"]): r["odds"] - drift for r in top}
-    if not any(s > 0 for s in scores.values()):
+    z = odds / F.sqrt(1 / y0 + 1 / y1)
+    rated = counts.select("token", (odds - drift).alias("score"), F.abs(z).alias("z"), (y0 / n0).alias("p0"))
+    sure = materialize(rated.where(F.col("z") >= z_least), "sure_tokens")
+    top = sure.orderBy(F.col("z").desc(), "token").limit(max_tokens).select("token", "score", "z").collect()
+    # the moment equation sees scores to three decimals, so that what is gathered doesn't grow with the tokens
+    shares = sure.groupBy(F.round("score", 3).alias("s")).agg(F.sum("p0").alias("p"), F.max("score").alias("most")).collect()
+    if not any(r["most"] > 0 for r in shares):
         return None
-    s, p = np.array([*scores.values(), -drift]), np.array([r["p0"] for r in top])
+    rest = None
+    if len(top) == max_tokens:
+        z_last, last = top[-1]["z"], F.lit(bytes(top[-1]["token"]))
+        rest = sure.where((F.col("z") < z_last) | ((F.col("z") == z_last) & (F.col("token") > last))).select("token", "score")
+        rest = None if rest.isEmpty() else rest
+    s, p = np.array([*(r["s"] for r in shares), -drift]), np.array([r["p"] for r in shares])
     p = np.append(p, max(0.0, 1 - p.sum()))
     low, high = 0.0, 1.0
     if p @ s < 0:  # the root of sum p exp(lambda s) = 1 beyond 0
@@ -98,7 +105,7 @@ def learn(counts: DataFrame, max_tokens: int = 50_000, prior: float = 0.05, z_le
         for _ in range(60):
             mid = (low + high) / 2
             low, high = (mid, high) if p @ np.exp(mid * s) < 1 else (low, mid)
-    return Model(scores, drift, high)
+    return Model({bytes(r["token"]): r["score"] for r in top}, drift, high, rest)
 
 
 def maximal_runs(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -124,28 +131,55 @@ def maximal_runs(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r in runs]
 
 
+def with_rest(docs: DataFrame, model: Model, salts: int = 32) -> DataFrame:
+    """doc_id, text and ``more``: token and score of the text's words that only ``model.rest`` has. Frequent tokens are
+    spread over ``salts`` keys; a list is as long as a text has different words."""
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row_key")), "toxicity_texts")
+    held = frozenset([*model.scores, b""])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_parts(batch):
+                own = [{w.strip(_MARKS) for w in text.lower().split()} - held for text in texts]
+                keys = np.repeat(batch.column(0).slice(part.start, len(own)).to_numpy(), [len(o) for o in own])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(chain.from_iterable(own), pa.binary())], ["row_key", "token"])
+
+    words = rows.select("row_key", "text").transform(map_batches, run, "row_key long, token binary").withColumn("salt", F.pmod(F.hash("row_key"), F.lit(salts)))
+    rest = model.rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    more = words.join(rest, ["token", "salt"]).groupBy("row_key").agg(F.collect_list(F.struct("token", "score")).alias("more"))
+    return rows.join(more, "row_key", "left").select("doc_id", "text", "more")
+
+
 def passages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, passages (word range and score of every maximal run)."""
+    known, drift = model.scores, model.drift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Scores(dict):
             def __missing__(self, word: bytes) -> float:
                 if len(self) > 80_000:
                     self.clear()
-                self[word] = s = model.score_of(word)
+                self[word] = s = known.get(word.strip(_MARKS), -drift)
                 return s
 
         table = Scores()
         for batch in batches:
             counts, found = [], []
-            for text in chain.from_iterable(texts for _, texts in text_parts(batch)):
-                words = text.lower().split()
-                counts.append(len(words))
-                found.append([{"start": a, "end": b, "score": s} for a, b, s in maximal_runs(np.fromiter(map(table.__getitem__, words), np.float64, len(words)))])
+            for part, texts in text_parts(batch):
+                lists = batch.column(2).slice(part.start, len(texts)).to_pylist() if batch.num_columns > 2 else [None] * len(texts)
+                for text, more in zip(texts, lists, strict=True):
+                    words = text.lower().split()
+                    counts.append(len(words))
+                    scores = np.fromiter(map(table.__getitem__, words), np.float64, len(words))
+                    if more:
+                        own = {m["token"]: m["score"] for m in more}
+                        scores = np.array([own.get(w.strip(_MARKS), s) for w, s in zip(words, scores.tolist(), strict=True)])
+                    found.append([{"start": a, "end": b, "score": s} for a, b, s in maximal_runs(scores)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], ["doc_id", "n_words", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_batches, run, "doc_id long, n_words long, passages array<struct<start: long, end: long, score: double>>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if model.rest is None else with_rest(docs, model)
+    return texts.transform(map_batches, run, "doc_id long, n_words long, passages array<struct<start: long, end: long, score: double>>")
 
 
 def _logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -163,10 +197,10 @@ def _logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: F.Column, label: str = "toxic", expect: float = 0.05, threshold: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: F.Column, label: str = "toxic", expect: float = 0.05, threshold: float = 0.5, max_tokens: int = 50_000) -> DataFrame:
     """doc_id, score, predicted, passages (the significant ones); ``may_learn`` tells by doc_id which labels may be read."""
     known = labels.where(may_learn)
-    model = learn(token_counts(docs, known, label))
+    model = learn(token_counts(docs, known, label), max_tokens)
     kind = "array<struct<start: long, end: long, score: double>>"
     if model is None:
         share = known.agg(F.avg(label)).first()[0] or 0.0

@@ -60,3 +60,15 @@ def test_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in toxicity.score_toxicity(odd, labels.limit(0), always).collect()} == {0.0}
     assert toxicity.score_toxicity(none, labels, always).count() == 0
+
+
+def test_memory_bound_changes_no_result(spark, odd):
+    docs, labels = planted(spark)
+    docs = docs.unionByName(odd.select("doc_id", "text"))
+    known = doc_fold("doc_id", 5) != 0
+    counts = toxicity.token_counts(docs, labels.where(known), "toxic")
+    model = toxicity.learn(counts, max_tokens=1)
+    assert len(model.scores) == 1 and model.rest.count() >= 2
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score, [tuple(p) for p in r.passages])
+    want, got = (sorted(map(key, toxicity.score_toxicity(docs, labels, known, max_tokens=most).collect())) for most in (50_000, 1))
+    assert got == want and any(passages for *_, passages in want)
