@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, language_id, near_dup, packing, pii, quality_model, quality_rules, sharding, toxicity, warc
-from tallyforge.llm.common import doc_fold, read_table, small_batches
+from tallyforge.llm import decontaminate, hard_negatives, language_id, near_dup, packing, periodic_runs, pii, quality_model, quality_rules, sharding, token_files, toxicity, warc
+from tallyforge.llm.common import doc_fold, read_table, scratch_dir, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "passages")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_repeats(read_table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digest(periodic_runs.periodic_runs(docs))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.whole_vectors(read_table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(read_table(spark, sf_dir, "documents"), word_tokenizer_path(), f"{scratch_dir(spark)}/tokens")
+    return token_files.token_digest(token_files.read_documents(files))
+
+
 def lean(query: Query) -> Query:
     """The query in a session of small batches."""
 
@@ -78,9 +92,9 @@ def lean(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_packing, op2_pii, op3_language_id, op4_quality_rules, op5_quality_model, op6_near_dup, op7_decontaminate, op8_warc, op9_sharding, op10_toxicity)
+    every = (op1_packing, op2_pii, op3_language_id, op4_quality_rules, op5_quality_model, op6_near_dup, op7_decontaminate, op8_warc, op9_sharding, op10_toxicity, op11_periodic_runs, op12_hard_negatives, op13_token_files)
     return {q.__name__: lean(q) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
