@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tallyforge.functions import values as V
+from tallyforge.sources.scratch import materialize
+
+#: The error code of a row that no rule rejects but the contract does.
+BROKEN = "CONTRACT_VIOLATION"
+RULES = (V.RULE_DIGITS, V.RULE_CURRENCY, V.RULE_COMMAS, V.RULE_WORDS, V.RULE_PHONE, V.RULE_EMAIL, V.RULE_DATE, V.RULE_TEXT, V.RULE_TOTAL, V.RULE_SIGN)
+ERRORS = (V.MISSING_ORDER_ID, V.MISSING_CUSTOMER_ID, V.INVALID_DATE, V.CORRUPTED_ITEMS, V.EMPTY_ITEMS, V.UNKNOWN_PRICE, V.NEGATIVE_VALUE, V.SEVERAL_ERRORS, V.UNSAFE_EMAIL, BROKEN)
 
 _REQUIRED = "id_order order_date status customer_id customer_name city district delivery_type payment_method payment_status currency".split()
 _MONEY = ("delivery_cost", "payment_amount", "total_amount")
@@ -39,6 +48,42 @@ def enforce(orders: DataFrame, mode: str = "fail") -> tuple[DataFrame, DataFrame
     return checked.where(F.size("violations") == 0).drop("violations"), broken
 
 
+def quarantine_broken(classified: DataFrame) -> DataFrame:
+    """The classified table with rows that break the contract among the quarantined, with a code and the clauses they break."""
+    checked = contract_violations(classified)
+    broken = (F.size("violations") > 0) & (F.col("classification") != "quarantined")
+    changed = {
+        "classification": F.lit("quarantined"),
+        "quality_status": F.lit("quarantined"),
+        "error_codes": F.array(F.lit(BROKEN)),
+        "quarantine_reason": F.concat(F.lit("Record breaks the contract of stored orders: "), F.array_join("violations", ", ")),
+    }
+    marked = checked.select("*", F.inline(F.array(F.struct(broken.alias("__broken")))))
+    return marked.select(*[F.when(F.col("__broken"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in classified.columns])
+
+
+def tallies(unsound: Column | None = None) -> dict[str, Column]:
+    """Aggregates for the run log, to be observed while the classified table is written: rows by class, corrections by rule
+    (of corrected rows), errors by code (of quarantined ones), and rows that ``unsound`` marks."""
+    kind = lambda c: F.col("classification") == c
+    corrected = lambda r: F.when(kind("corrected"), F.size(F.filter("corrections", lambda c: c["rule_code"] == r)))
+    out = {"n_raw": F.count(F.lit(1))} | {f"n_{c}": F.count_if(kind(c)) for c in ("valid", "corrected", "quarantined")}
+    out |= {f"rule {r}": F.coalesce(F.sum(corrected(r)), F.lit(0)) for r in RULES}
+    out |= {f"error {e}": F.count_if(kind("quarantined") & F.array_contains("error_codes", e)) for e in ERRORS}
+    return out | {"n_unsound": F.count_if(unsound) if unsound is not None else F.lit(0).cast("long")}
+
+
+def require_stored(id_run: str, accepted: int, keys: int, quarantined: int, good: DataFrame | None, bad: DataFrame | None) -> None:
+    """An error unless what a run put into the two tables is there: one row for each of its keys, and each quarantined row.
+    ``good`` and ``bad`` are the rows of the buckets that it wrote."""
+    for name, want, table in (("orders", keys, good), ("quarantine", quarantined, bad)):
+        found = table.where(F.col("id_run") == id_run).count() if want and table is not None else 0
+        if found != want:
+            raise ValueError(f"run {id_run}: {want} rows went into {name}, but {found} are stored")
+    if keys > accepted:
+        raise ValueError(f"run {id_run}: {keys} keys of {accepted} rows")
+
+
 def consistency(classified: DataFrame) -> DataFrame:
     """One row: raw, valid, corrected, quarantined and whether they balance."""
     counts = classified.agg(F.count("*").alias("n_raw"), *[F.count_if(F.col("classification") == c).alias(f"n_{c}") for c in ("valid", "corrected", "quarantined")])
@@ -71,10 +116,30 @@ def run_metrics(classified: DataFrame, id_run: str, seconds: float, counters: di
     return out.select(F.lit(id_run).alias("id_run"), "*", kept.alias("counters"), F.lit(float(seconds)).alias("seconds"), (F.col("n_raw") / F.lit(max(seconds, 1e-9))).alias("rows_per_second"))
 
 
-def lineage_check(raw: DataFrame) -> DataFrame:
-    """Row numbers: least, greatest, count, gaps, repeats."""
+def _intervals(raw: DataFrame) -> DataFrame:
+    """One row a task of the scan: least, greatest and number of its row numbers, and whether it is a run without gaps or
+    repeats that no other interval meets."""
     n = F.col("source_row_number")
-    got = raw.agg(F.min(n).alias("first"), F.max(n).alias("last"), F.count("*").alias("n"), F.count_distinct(n).alias("n_distinct"))
+    parts = raw.groupBy(F.spark_partition_id().alias("part")).agg(F.min(n).alias("first"), F.max(n).alias("last"), F.count(n).alias("n")).where("n > 0")
+    by_first = Window.orderBy("first", "last", "part")  # one row a task
+    before = F.max("last").over(by_first.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.lead("first").over(by_first)
+    alone = (F.coalesce(before, F.col("first") - 1) < F.col("first")) & (F.coalesce(after, F.col("last") + 1) > F.col("last"))
+    return parts.select("first", "last", "n", (alone & (F.col("n") == F.col("last") - F.col("first") + 1)).alias("clean"))
+
+
+def lineage_check(raw: DataFrame) -> DataFrame:
+    """Row numbers: least, greatest, count, gaps, repeats.
+
+    Tasks read runs of consecutive numbers, so their intervals tell all; only where intervals meet or are not full are the
+    numbers themselves counted, in the range that those span. No row number is shuffled otherwise.
+    """
+    parts = materialize(_intervals(raw), "intervals")
+    odd = parts.where("not clean").agg(F.min("first"), F.max("last")).first()
+    numbers = raw.select("source_row_number").where(F.col("source_row_number").between(odd[0], odd[1])) if odd[0] is not None else None
+    counted = 0 if numbers is None else numbers.agg(F.count_distinct("source_row_number")).first()[0]
+    outside = F.lit(True) if numbers is None else (F.col("last") < odd[0]) | (F.col("first") > odd[1])
+    got = parts.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)) + counted).alias("n_distinct"))
     return got.select("first", "last", "n", (F.col("last") - F.col("first") + 1 - F.col("n_distinct")).alias("gaps"), (F.col("n") - F.col("n_distinct")).alias("repeats"))
 
 

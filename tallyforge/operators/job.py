@@ -1,19 +1,30 @@
 """The batch job: an order file to the raw store, classified once, checked, upserted, counted and logged; and the job that
 brings views and reports up to date.
 
-Below ``root``: ``raw``, ``classified`` (a folder a run), ``orders`` and ``quarantine`` (keyed tables), ``views``,
-``reports`` and ``metrics`` (a row a run). A run that is repeated, after a failure or by choice, changes no row count.
+Below ``root``: ``raw``, ``landed`` (what file a run id stands for), ``classified`` (a folder a run), ``orders`` and
+``quarantine`` (keyed tables), ``views``, ``reports`` and ``metrics`` (a row an attempt). A run that is repeated, after a
+failure or by choice, changes no row count.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import checks, classify, reports, store, views
+from tallyforge.operators.observed import counted, observe
 from tallyforge.sources import order_files
+from tallyforge.sources.paths import exists, n_bytes, remove
+
+METRICS = (
+    "id_run string, attempt string, processed_at string, source_file string, source_bytes long, engine string, status string, n_raw long, n_valid long, n_corrected long, "
+    "n_quarantined long, balanced boolean, rules map<string, long>, errors map<string, long>, counters map<string, long>, quarantine_counters map<string, long>, "
+    "seconds double, rows_per_second double"
+)
 
 
 def tables(spark: SparkSession, root: str, buckets: int | None = None) -> tuple[store.Table, store.Table]:
@@ -22,33 +33,80 @@ def tables(spark: SparkSession, root: str, buckets: int | None = None) -> tuple[
 
 
 def land(spark: SparkSession, csv: str, root: str, id_run: str, stamp: str) -> DataFrame:
-    """The file's rows in the raw store; a run that has landed is not landed again."""
-    try:
-        if not (raw := order_files.read_raw(spark, f"{root}/raw", id_run)).isEmpty():
-            return raw
-    except Exception as e:  # no raw store yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    order_files.ingest(spark, csv, f"{root}/raw", id_run, stamp)
+    """The file's rows in the raw store. A run that has landed is not landed again; another file under its id is an error."""
+    name, size, log = csv.rstrip("/").rpartition("/")[2], n_bytes(spark, csv), f"{root}/landed/{id_run}"
+    if exists(spark, log):
+        landed = spark.read.schema("source_file string, source_bytes long").json(log).first()
+        if tuple(landed) != (name, size):
+            raise ValueError(f"run {id_run} stands for {landed[0]} of {landed[1]} bytes, not for {name} of {size}")
+    else:
+        remove(spark, f"{root}/raw/id_run={id_run}")  # of a landing that failed
+        order_files.ingest(spark, csv, f"{root}/raw", id_run, stamp)
+        spark.createDataFrame([(name, size)], "source_file string, source_bytes long").coalesce(1).write.mode("overwrite").json(log)
     return order_files.read_raw(spark, f"{root}/raw", id_run)
 
 
+@dataclass
+class Settled:
+    """A run's classified rows, written, and what was counted meanwhile."""
+
+    table: DataFrame
+    counts: dict[str, int]
+
+    def numbers(self, kind: str) -> dict[str, int]:
+        return {k.removeprefix(f"{kind} "): int(n) for k, n in sorted(self.counts.items()) if k.startswith(f"{kind} ") and n}
+
+
+def settle(raw: DataFrame, path: str, stamp: str, contract: str = "fail") -> Settled:
+    """Classify ``raw`` once, below ``path``; rows by class, rule and error are counted while they are written.
+
+    ``contract``: with ``fail`` a row that breaks the contract is an error, with ``quarantine`` it is a quarantined row.
+    """
+    if contract not in ("fail", "quarantine"):
+        raise ValueError("contract is fail or quarantine")
+    rows, unsound = classify.classify(raw, stamp), None
+    if contract == "quarantine":
+        rows = checks.quarantine_broken(rows)
+    else:
+        rows, unsound = checks.contract_violations(rows), (F.size("violations") > 0) & (F.col("classification") != "quarantined")
+    rows, seen = observe(rows, **checks.tallies(unsound))
+    rows.drop("violations").write.mode("overwrite").parquet(path)
+    table, counts = raw.sparkSession.read.schema(rows.drop("violations").schema).parquet(path), counted(seen)
+    if counts.get("n_unsound"):
+        checks.enforce(classify.validated(table))
+    n = raw.count()
+    if counts.get("n_raw", 0) != n or n != sum(counts.get(f"n_{c}", 0) for c in ("valid", "corrected", "quarantined")):
+        checks.require_balance(raw, table)
+    return Settled(table, counts)
+
+
+def keep(settled: Settled, good: store.Table, bad: store.Table, id_run: str) -> dict[str, int]:
+    """Upsert a run's rows into both tables and check that they are there. Returns the counters of both."""
+    n = store.store_run(classify.validated(settled.table), classify.quarantined(settled.table), good, bad)
+    c = settled.counts
+    checks.require_stored(id_run, c.get("n_valid", 0) + c.get("n_corrected", 0), n.pop("keys"), c.get("n_quarantined", 0), good.written(), bad.written())
+    return n
+
+
+def log(spark: SparkSession, path: str, id_run: str, stamp: str, source: tuple[str, int], settled: Settled, stored: dict[str, int], seconds: float) -> Row:
+    """Append the attempt's row of metrics and return it."""
+    c, part = settled.counts, "quarantine_"
+    n = [int(c.get(k, 0)) for k in ("n_raw", "n_valid", "n_corrected", "n_quarantined")]
+    counters = [{k.removeprefix(part): v for k, v in stored.items() if k.startswith(part) == bad} for bad in (False, True)]
+    row = (id_run, uuid.uuid4().hex, stamp, *source, "spark", "SUCCESS", *n, n[0] == sum(n[1:]), settled.numbers("rule"), settled.numbers("error"), *counters, float(seconds), n[0] / max(seconds, 1e-9))
+    logged = spark.createDataFrame([row], METRICS)
+    logged.coalesce(1).write.mode("append").parquet(path)
+    return logged.first()
+
+
 def run(spark: SparkSession, csv: str, root: str, id_run: str, stamp: str, contract: str = "fail") -> Row:
     """Process one file and return its row of metrics. ``contract``: ``fail`` stops before anything is stored if a row breaks
-    it, ``quarantine`` keeps such rows out of the orders."""
+    it, ``quarantine`` puts such rows among the quarantined."""
     began = time.monotonic()
     raw = land(spark, csv, root, id_run, stamp)
-    path = f"{root}/classified/{id_run}"
-    classify.classify(raw, stamp).write.mode("overwrite").parquet(path)
-    table = spark.read.parquet(path)  # classified once; all below reads this
-    checks.require_balance(raw, table)
-    good, bad = tables(spark, root)
-    sound, _ = checks.enforce(classify.validated(table), contract)
-    counts = store.upsert_counts(good.read(sound), sound, ["id_order"], "source_row_number").first().asDict()
-    store.store_run(sound, classify.quarantined(table), good, bad)
-    logged = checks.run_metrics(table, id_run, time.monotonic() - began, counts)
-    logged.write.mode("append").parquet(f"{root}/metrics")
-    return spark.read.parquet(f"{root}/metrics").where(F.col("id_run") == id_run).orderBy(F.desc("seconds")).first()
+    settled = settle(raw, f"{root}/classified/{id_run}", stamp, contract)
+    stored = keep(settled, *tables(spark, root), id_run)
+    return log(spark, f"{root}/metrics", id_run, stamp, (csv.rstrip("/").rpartition("/")[2], n_bytes(spark, csv)), settled, stored, time.monotonic() - began)
 
 
 def refresh(spark: SparkSession, root: str, name: str, at: str, mode: str = "incremental", top: int = 10) -> dict:

@@ -1,18 +1,38 @@
-"""Idempotent upsert into versioned Parquet tables.
+"""Idempotent upsert into versioned, bucketed Parquet tables.
 
-A table is cut into buckets by the hash of its key. An upsert writes only the buckets that receive rows, under the new
-version's folder, and then one manifest row that names for each bucket the version that holds it; untouched buckets are
-carried on by reference. Readers resolve the newest manifest once, so a half-written version is never seen, a job that
-runs again after a failure starts from the last whole one, and nothing reads and overwrites the same path.
+A table is cut into buckets by Spark's own bucket hash of its key, so that Spark joins it by that key as it lies: rows that
+come in are dealt by the same hash, and the stored side has no exchange. An upsert reads and writes only the buckets that
+receive rows, below the new version's folder, and then one manifest that names for each bucket the version that holds
+it; untouched buckets are carried on by reference. Readers resolve the newest manifest once, so a half-written version is
+never seen, a job that runs again after a failure starts from the last whole one, and nothing reads and overwrites the
+same path. What the last two manifests don't name is removed.
+
+The number of buckets doubles when they hold more than ``2 * PER_BUCKET`` rows each, in one pass without an exchange: a
+bucket's rows go to itself and to the new bucket that takes over half of them.
+
+Each row is stored with a digest of its content. Whether an incoming row is new, changed or as stored is told by the keys
+and digests that the join meets anyway, counted while the new version is written.
+
+Keys are not null.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyforge.operators.observed import counted, observe
+from tallyforge.sources.paths import exists, remove
+
+#: Columns that say when and by which run a row came, not what it holds.
+STAMPS = ("processed_at", "detected_at", "id_run")
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -26,13 +46,13 @@ def merge(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def content_hash(rows: DataFrame, but: tuple[str, ...] = ("processed_at", "detected_at", "id_run")) -> F.Column:
+def content_hash(rows: DataFrame, but: tuple[str, ...] = STAMPS) -> F.Column:
     return F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in rows.columns if c not in but])
 
 
 def upsert_counts(target: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
     """inserted (keys new to the target), updated (all other incoming rows), unchanged (stored rows whose content, stamps
-    aside, is what the key's last incoming row has)."""
+    aside, is what the key's last incoming row has), of any two frames. ``Table.upsert`` counts the same as it writes."""
     last = last_wins(incoming, keys, order)
     old = target.select(*keys, content_hash(target).alias("__old"))
     both = last.select(*keys, content_hash(last).alias("__new")).join(old, keys, "left")
@@ -43,86 +63,204 @@ def upsert_counts(target: DataFrame, incoming: DataFrame, keys: list[str], order
 
 #: Rows a bucket of a table whose number of buckets is not given.
 PER_BUCKET = 500_000
+#: Manifests whose versions stay readable.
+KEPT = 2
+#: An upsert that touches less than one bucket in so many moves their rows rather than start a task for every bucket.
+FEW = 16
+BUCKET, DIGEST, GONE = "__bucket", "__digest", "__gone"
+
+
+@dataclass
+class Manifest:
+    """A version, its number of buckets, for each bucket with rows the version that holds it and how many, and the schema."""
+
+    version: int
+    cut: int
+    held: dict[int, tuple[int, int]]
+    schema: T.StructType
+
+    def rows(self, but: set[int] = frozenset()) -> int:
+        return sum(n for b, (_, n) in self.held.items() if b not in but)
 
 
 class Table:
-    """A keyed table below ``path``. Its number of buckets is fixed when it is first written: ``buckets``, or as many as
-    rows then call for, ``PER_BUCKET`` each."""
+    """A keyed table below ``path``. ``buckets`` fixes their number; otherwise it follows the rows, ``PER_BUCKET`` each."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None):
         self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
 
-    def _newest(self) -> tuple[int, int, dict[str, int]]:
-        """Version, number of buckets, and the version of each bucket; version 0 before the first write."""
-        try:
-            rows = self.spark.read.json(f"{self.path}/manifest", schema="version long, cut int, buckets string").orderBy(F.desc("version")).limit(1).collect()
-        except AnalysisException:
-            rows = []
-        return (rows[0]["version"], rows[0]["cut"], json.loads(rows[0]["buckets"])) if rows else (0, self.buckets or 0, {})
+    def _manifests(self) -> list[Manifest]:
+        """The newest first."""
+        if not exists(self.spark, f"{self.path}/manifest"):
+            return []
+        rows = self.spark.read.json(f"{self.path}/manifest/*", schema="version long, cut int, held string, fields string").orderBy(F.desc("version")).limit(KEPT + 1).collect()
+        return [Manifest(r["version"], r["cut"], {int(b): tuple(x) for b, x in json.loads(r["held"]).items()}, T.StructType.fromJson(json.loads(r["fields"]))) for r in rows]
+
+    def _newest(self) -> Manifest:
+        """Version 0 before the first write."""
+        return next(iter(self._manifests()), Manifest(0, self.buckets or 0, {}, T.StructType()))
 
     def manifest(self) -> dict[str, int] | None:
-        version, _, held = self._newest()
-        return {"version": version, **held} if version else None
+        now = self._newest()
+        return {"version": now.version, **{str(b): v for b, (v, _) in now.held.items()}} if now.version else None
+
+    def _folder(self, version: int, bucket: int) -> str:
+        return f"{self.path}/data/v={version}/{BUCKET}={bucket}"
+
+    def _stored(self, schema: T.StructType, held: dict[int, tuple[int, int]]) -> DataFrame:
+        places = [self._folder(v, b) for b, (v, _) in held.items()]
+        return self.spark.read.schema(schema).parquet(*places) if places else self.spark.createDataFrame([], schema)
 
-    def _stored(self, held: dict[str, int]) -> list[str]:
-        return [f"{self.path}/data/v={v}/bucket={b}" for b, v in held.items()]
+    def _rows(self, now: Manifest, buckets: set[int] | None = None) -> DataFrame:
+        held = now.held if buckets is None else {b: x for b, x in now.held.items() if b in buckets}
+        return self._stored(now.schema, held).drop(DIGEST)
 
     def read(self, empty: DataFrame | None = None) -> DataFrame | None:
         """The table, or no rows of ``empty``'s schema where nothing was written yet."""
-        paths = self._stored(self._newest()[2])
-        if not paths:
-            return None if empty is None else empty.limit(0)
-        return self.spark.read.parquet(*paths)
+        now = self._newest()
+        if now.held or now.version and empty is None:
+            return self._rows(now)
+        return None if empty is None else empty.limit(0)
 
-    def _stage(self, rows: DataFrame, version: int) -> DataFrame:
-        """``rows``, written once, so that what follows does not evaluate them again."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/staged/v={version}")
-        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/staged/v={version}")
+    def read_keys(self, wanted: DataFrame, empty: DataFrame) -> DataFrame:
+        """The stored rows whose keys are among those of ``wanted``; only their buckets are read. No rows of ``empty``'s schema
+        where nothing was written yet."""
+        now = self._newest()
+        if not now.held:
+            return empty.limit(0)
+        return self._rows(now, self._touched(wanted, now.cut)).join(wanted.select(*self.keys).distinct(), self.keys, "left_semi")
+
+    def written(self) -> DataFrame | None:
+        """The rows of the buckets that the newest version wrote."""
+        now = self._newest()
+        return self._rows(now, {b for b, (v, _) in now.held.items() if v == now.version}) if now.version else None
 
     def _bucket(self, cut: int) -> F.Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(cut)).cast("int")
+        return F.pmod(F.hash(*self.keys), F.lit(cut)).cast("int")  # what Spark buckets by
+
+    def _touched(self, rows: DataFrame, cut: int) -> set[int]:
+        return {r["b"] for r in rows.select(self._bucket(cut).alias("b")).distinct().collect()}  # at most ``cut`` rows
+
+    @contextmanager
+    def bucketed(self, schema: T.StructType, cut: int, held: dict[int, tuple[int, int]]) -> Iterator[DataFrame]:
+        """Stored buckets as a table that Spark knows to be bucketed by the key; it is known by name only meanwhile."""
+        name, columns = f"tf_{uuid.uuid4().hex}", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        keys = ", ".join(f"`{k}`" for k in self.keys)
+        self.spark.sql(f"create table {name} ({columns}, `{BUCKET}` int) using parquet partitioned by (`{BUCKET}`) clustered by ({keys}) into {cut} buckets location '{self.path}/none'")
+        try:
+            places = [f"partition (`{BUCKET}` = {b}) location '{self._folder(v, b)}'" for b, (v, _) in held.items()]
+            for at in range(0, len(places), 1000):
+                self.spark.sql(f"alter table {name} add {' '.join(places[at : at + 1000])}")
+            yield self.spark.table(name).drop(BUCKET)
+        finally:
+            self.spark.sql(f"drop table {name}")
+
+    def _stage(self, rows: DataFrame, version: int, order: str | None, delete: DataFrame | None) -> tuple[DataFrame, int]:
+        """The incoming rows, one a key, with their digests, and keys to be deleted; written once, so that what follows does
+        not evaluate them again. And how many rows came."""
+        rows, seen = observe(rows, n=F.count(F.lit(1)))
+        last = last_wins(rows, self.keys, order) if order else rows
+        staged = last.withColumns({DIGEST: content_hash(last), GONE: F.lit(False)})
+        if delete is not None:
+            gone = delete.select(*self.keys).distinct().join(last.select(*self.keys), self.keys, "left_anti").withColumn(GONE, F.lit(True))
+            staged = staged.unionByName(gone, allowMissingColumns=True)
+        path = f"{self.path}/staged/v={version}"
+        staged.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(staged.schema).parquet(path), counted(seen).get("n", 0)
+
+    def merged(self, stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Observation]:
+        """Stored rows but those whose keys come in, and the incoming ones; and what counts the keys that are new and the rows
+        that come with the content they have."""
+        rest = [c for c in stored.columns if c not in self.keys]
+        old = stored.select(*self.keys, F.struct(*rest).alias("__old"))
+        new = incoming.select(*self.keys, F.struct(*rest).alias("__new"), GONE)
+        came = F.col("__new").isNotNull() & ~F.col(GONE)
+        same = F.col(f"__old.{DIGEST}") == F.col(f"__new.{DIGEST}")
+        both, seen = observe(old.join(new, self.keys, "full"), inserted=F.count_if(came & F.col("__old").isNull()), unchanged=F.count_if(came & same))
+        row = F.coalesce(F.col("__new"), F.col("__old")).alias("__row")
+        return both.where(~F.coalesce(F.col(GONE), F.lit(False))).select(*self.keys, row).select(*self.keys, "__row.*").select(*stored.columns), seen
 
-    def _write(self, rows: DataFrame, version: int, cut: int) -> set[str]:
-        path = f"{self.path}/data/v={version}"
-        # rebalanced by size: buckets that share a task or fill several are told apart by their folder
-        rows.withColumn("bucket", self._bucket(cut)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        found = self.spark.read.parquet(path).select("bucket").distinct().collect()  # at most ``cut`` rows
-        return {str(r["bucket"]) for r in found}
+    def _write(self, rows: DataFrame, version: int, cut: int) -> dict[int, tuple[int, int]]:
+        path, name = f"{self.path}/data/v={version}", f"tf_{uuid.uuid4().hex}"
+        remove(self.spark, path)  # of an upsert that failed
+        rows.withColumn(BUCKET, self._bucket(cut)).write.partitionBy(BUCKET).bucketBy(cut, *self.keys).sortBy(*self.keys).option("path", path).saveAsTable(name)
+        self.spark.sql(f"drop table {name}")  # the files stay
+        counts = self.spark.read.schema(f"`{BUCKET}` int").parquet(path).groupBy(BUCKET).count().collect()  # at most ``cut`` rows
+        return {r[BUCKET]: (version, r["count"]) for r in counts}
 
-    def _commit(self, version: int, cut: int, buckets: dict[str, int]) -> None:
-        row = self.spark.createDataFrame([(version, cut, json.dumps(buckets))], "version long, cut int, buckets string")
-        row.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+    def _commit(self, new: Manifest) -> None:
+        before = self._manifests()
+        row = self.spark.createDataFrame([(new.version, new.cut, json.dumps(new.held), new.schema.json())], "version long, cut int, held string, fields string")
+        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/n={new.version}")
+        remove(self.spark, f"{self.path}/staged/v={new.version}")
+        named = {(b, v) for m in (new, *before[: KEPT - 1]) for b, (v, _) in m.held.items()}
+        for old in before[KEPT - 1 :]:
+            for v in {v for v, _ in old.held.values()} - {v for _, v in named}:
+                remove(self.spark, f"{self.path}/data/v={v}")
+            for b, (v, _) in old.held.items():
+                if (b, v) not in named:
+                    remove(self.spark, self._folder(v, b))
+            remove(self.spark, f"{self.path}/manifest/n={old.version}")
+
+    def _cut(self, n: int) -> int:
+        return self.buckets or max(1, -(-n // PER_BUCKET))
+
+    def _replace(self, staged: DataFrame, version: int) -> int:
+        staged = staged.where(~F.col(GONE)).drop(GONE)
+        n = staged.count()
+        cut = self._cut(n)
+        self._commit(Manifest(version, cut, self._write(staged.repartition(cut, *self.keys), version, cut) if n else {}, staged.schema))
+        return n
 
     def replace(self, rows: DataFrame) -> None:
         """A new version with these rows only, and the number of buckets that they call for."""
-        version = self._newest()[0] + 1
-        staged = self._stage(rows, version)
-        n = staged.count()
-        cut = self.buckets or max(1, -(-n // PER_BUCKET))
-        held = self._write(staged, version, cut) if n else set()
-        self._commit(version, cut, dict.fromkeys(held, version))
-
-    def upsert(self, rows: DataFrame, order: str | None = None, delete: DataFrame | None = None) -> None:
-        """Put ``rows`` in place of those with their keys; keys of ``delete`` that ``rows`` lacks go. Buckets that neither
-        touches are not read."""
-        rows = last_wins(rows, self.keys, order) if order else rows
-        version, cut, held = self._newest()
-        if not version:
-            self.replace(rows)
-            return
-        version += 1
-        staged = self._stage(rows, version)
-        gone = staged.select(*self.keys) if delete is None else staged.select(*self.keys).unionByName(delete.select(*self.keys)).distinct()
-        touched = {str(r["b"]) for r in gone.select(self._bucket(cut).alias("b")).distinct().collect()}  # at most ``cut`` rows
+        version = self._newest().version + 1
+        self._replace(self._stage(rows, version, None, None)[0], version)
+
+    def upsert(self, rows: DataFrame, order: str | None = None, delete: DataFrame | None = None) -> dict[str, int]:
+        """Put ``rows`` in place of those with their keys; of rows with one key that with the greatest ``order``. Keys of
+        ``delete`` that ``rows`` lacks go. Buckets that neither touches are not read.
+
+        Returns inserted (keys that were not there), updated (all other incoming rows), unchanged (stored rows that came
+        with the content they have, stamps aside) and keys (that came).
+        """
+        now = self._newest()
+        version = now.version + 1
+        if now.held:  # as the table has them
+            rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in now.schema if f.name != DIGEST])
+        staged, came = self._stage(rows, version, order, delete)
+        if not now.held:
+            n = self._replace(staged, version)
+            return {"inserted": n, "updated": came - n, "unchanged": 0, "keys": n}
+        touched = self._touched(staged, now.cut)
         if not touched:
-            return
-        old = self._stored({b: v for b, v in held.items() if b in touched})
-        kept = self.spark.read.schema(rows.schema).parquet(*old).join(gone, self.keys, "left_anti") if old else staged.limit(0)
-        written = self._write(kept.unionByName(staged), version, cut)
-        self._commit(version, cut, {b: v for b, v in held.items() if b not in touched} | dict.fromkeys(written, version))
+            remove(self.spark, f"{self.path}/staged/v={version}")
+            return {"inserted": 0, "updated": 0, "unchanged": 0, "keys": 0}
+        keys = staged.where(~F.col(GONE)).count()
+        cut, most = now.cut, now.rows() + keys
+        while self.buckets is None and most > 2 * PER_BUCKET * cut:
+            cut *= 2
+        if cut > now.cut:
+            touched = set(now.held) | touched
+        old = {b: x for b, x in now.held.items() if b in touched}
+        kept = {b: x for b, x in now.held.items() if b not in touched}
+        if len(touched) * FEW < now.cut:
+            # a bucketed scan has a task for each bucket of the table; of a few buckets the rows are moved instead
+            stored = self._stored(now.schema, old)
+            merged, seen = self.merged(stored, staged)
+            written = self._write(merged.repartition(len(touched), self._bucket(cut)), version, cut)
+        else:
+            with self.bucketed(now.schema, now.cut, old) as stored:
+                merged, seen = self.merged(stored, staged.repartition(now.cut, *self.keys))
+                written = self._write(merged, version, cut)
+        self._commit(Manifest(version, cut, kept | written, now.schema))
+        found = counted(seen)
+        return {"inserted": found["inserted"], "updated": came - found["inserted"], "unchanged": found["unchanged"], "keys": keys}
 
 
-def store_run(classified_valid: DataFrame, classified_bad: DataFrame, valid: Table, bad: Table) -> None:
-    """Write a run's outputs: by business key, and by (run, row). Running it again changes no row count."""
-    valid.upsert(classified_valid, order="source_row_number")
-    bad.upsert(classified_bad, order="source_row_number")
+def store_run(classified_valid: DataFrame, classified_bad: DataFrame, valid: Table, bad: Table) -> dict[str, int]:
+    """Write a run's outputs: by business key, and by (run, row). Running it again changes no row count. Returns the counters
+    of both tables, those of the second as ``quarantine_...``."""
+    counts = valid.upsert(classified_valid, order="source_row_number")
+    more = bad.upsert(classified_bad, order="source_row_number")
+    return counts | {f"quarantine_{k}": n for k, n in more.items() if k != "keys"}

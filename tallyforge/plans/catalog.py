@@ -92,6 +92,11 @@ def orders_by_city_status(spark, sf_dir):
     return lookups.orders_by_city_and_status(models.orders(spark, sf_dir))
 
 
+@_register("orders_by_city_only", _newest("id_order, order_date, city, district, status, delivery_type, total_amount, quality_status", "city = 'NATION_2' and status = (select status from o where city = 'NATION_2' order by id_order limit 1)"))
+def orders_by_city_only(spark, sf_dir):
+    return lookups.orders_by_city_and_status(models.orders(spark, sf_dir), city="NATION_2")
+
+
 @_register("customer_history", _newest("id_order, customer_id, customer_name, order_date, status, city, payment_status, total_amount, quality_status", f"customer_id = {_FIRST.format(c='customer_id')}"))
 def customer_history(spark, sf_dir):
     return lookups.customer_order_history(models.orders(spark, sf_dir))
@@ -117,6 +122,12 @@ def settlement_audit(spark, sf_dir):
     return lookups.payment_settlement_audit(orders, min_amount=1000).drop("corrections")
 
 
+@_register("settlement_by_method_only", _newest("id_order, order_date, customer_id, city, payment_method, payment_status, payment_amount, total_amount", "payment_method = '2-HIGH' and payment_status = (select payment_status from o where payment_method = '2-HIGH' order by id_order limit 1) and total_amount >= 0", "total_amount desc, id_order"))
+def settlement_by_method_only(spark, sf_dir):
+    orders = models.orders(spark, sf_dir).withColumn("corrections", F.array())
+    return lookups.payment_settlement_audit(orders, method="2-HIGH").drop("corrections")
+
+
 # C1-C19: cleaning ----------------------------------------------------------------------------------------------------
 def _rule(spark: SparkSession, sf_dir: str, *columns: F.Column) -> DataFrame:
     return classify.clean(models.dirty(spark, sf_dir)).select("source_row_number", *columns)

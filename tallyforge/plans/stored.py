@@ -24,10 +24,17 @@ STAMP = "2025-01-01T00:00:00"
 
 
 # IO1-IO5, IO10, P9, V1: files -----------------------------------------------------------------------------------------
-def _file(spark: SparkSession, sf_dir: str) -> str:
+#: Rows whose status is blanked, which no rule minds but the contract does.
+BLANKED = "source_row_number % 97 = 5"
+
+
+def _file(spark: SparkSession, sf_dir: str, blanked: bool = False) -> str:
     """The dirty rows as CSV files, in the order of their row numbers."""
     csv = f"{scratch_dir(spark)}/orders.csv"
-    rows = models.dirty(spark, sf_dir).orderBy("source_row_number").select(*RAW_COLUMNS)
+    rows = models.dirty(spark, sf_dir).orderBy("source_row_number")
+    if blanked:
+        rows = rows.withColumn("status", F.when(~F.expr(BLANKED), F.col("status")))
+    rows = rows.select(*RAW_COLUMNS)
     rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(csv)
     return csv
 
@@ -40,6 +47,13 @@ def row_numbers(spark, sf_dir):
     return _landed(spark, sf_dir).select("source_row_number", "order_id", "items_json")
 
 
+def lineage_envelope(spark, sf_dir):
+    root = scratch_dir(spark)
+    job.land(spark, _file(spark, sf_dir), root, "run-1", STAMP)
+    raw = spark.read.parquet(f"{root}/raw")
+    return raw.select("source_row_number", "id_run", "source_file", "ingested_at", "engine_used", F.col("raw_record.customer_id").alias("customer_id"), F.size(F.array("raw_record.*")).alias("n_fields"))
+
+
 def lineage_check(spark, sf_dir):
     return checks.lineage_check(_landed(spark, sf_dir))
 
@@ -57,13 +71,40 @@ def file_sample(spark, sf_dir):
 
 
 # IO7, IO11, C19, C20, V2, V5: the batch job ---------------------------------------------------------------------------
-def run_metrics(spark, sf_dir):
-    done = job.run(spark, _file(spark, sf_dir), scratch_dir(spark), "run-1", STAMP, "quarantine").asDict()
-    counts = {k: int(done[k]) for k in ("n_raw", "n_valid", "n_corrected", "n_quarantined")} | {k: int(v) for k, v in done["counters"].items()}
-    rows = [("count", k, v) for k, v in counts.items()] + [("rule", k, int(v)) for k, v in done["rules"].items()] + [("error", k, int(v)) for k, v in done["errors"].items()]
+def _metrics(spark: SparkSession, done) -> DataFrame:
+    rows = [("count", k, int(done[k])) for k in ("n_raw", "n_valid", "n_corrected", "n_quarantined")]
+    for kind, field in (("count", "counters"), ("quarantine", "quarantine_counters"), ("rule", "rules"), ("error", "errors")):
+        rows += [(kind, k, int(v)) for k, v in done[field].items()]
     return spark.createDataFrame(rows, "kind string, name string, n long")
 
 
+def run_metrics(spark, sf_dir):
+    return _metrics(spark, job.run(spark, _file(spark, sf_dir), scratch_dir(spark), "run-1", STAMP, "quarantine"))
+
+
+def run_metrics_again(spark, sf_dir):
+    """What a second run of the same file returns, some of whose rows break the contract."""
+    csv, root = _file(spark, sf_dir, blanked=True), scratch_dir(spark)
+    job.run(spark, csv, root, "run-1", STAMP, "quarantine")
+    return _metrics(spark, job.run(spark, csv, root, "run-1", STAMP, "quarantine"))
+
+
+def stored_balance(spark, sf_dir):
+    """Where the rows of a file are, some of which break the contract: counted in the stores."""
+    root = scratch_dir(spark)
+    done = job.run(spark, _file(spark, sf_dir, blanked=True), root, "run-1", STAMP, "quarantine")
+    good, bad = (t.read() for t in job.tables(spark, root))
+    broken = F.array_contains("error_codes", checks.BROKEN)
+    places = [
+        spark.read.parquet(f"{root}/raw").select(F.lit("raw").alias("place")),
+        good.select(F.lit("orders")),
+        bad.select(F.when(broken, F.concat(F.lit("contract: "), F.element_at(F.split("quarantine_reason", ": "), -1))).otherwise("rules")),
+    ]
+    rows = places[0].union(places[1]).union(places[2]).groupBy("place").agg(F.count("*").alias("n"))
+    superseded = done["n_valid"] + done["n_corrected"] - done["counters"]["inserted"]
+    return rows.union(spark.createDataFrame([("superseded", superseded)], "place string, n long"))
+
+
 def _twice(spark: SparkSession, sf_dir: str) -> tuple[store.Table, store.Table]:
     csv, root = _file(spark, sf_dir), scratch_dir(spark)
     for _ in range(2):
@@ -98,8 +139,10 @@ def upsert_last_wins(spark, sf_dir):
 
 def upsert_counters(spark, sf_dir):
     rows = _valid(spark, sf_dir)
-    stored = store.last_wins(rows.where("source_row_number % 3 = 0"), ["id_order"], "source_row_number")
-    return store.upsert_counts(stored, rows.where("source_row_number % 2 = 0"), ["id_order"], "source_row_number")
+    table = store.Table(spark, f"{scratch_dir(spark)}/orders", ["id_order"])
+    table.upsert(rows.where("source_row_number % 3 = 0"), order="source_row_number")
+    counts = table.upsert(rows.where("source_row_number % 2 = 0"), order="source_row_number")
+    return spark.createDataFrame([tuple(counts[k] for k in ("inserted", "updated", "unchanged"))], "inserted long, updated long, unchanged long")
 
 
 _V = "v as (select id_order, source_row_number, status_val as status from c where classification <> 'quarantined')"
@@ -176,13 +219,23 @@ def registered() -> dict[str, tuple[Query, str]]:
     quality = "select '{0}' as kind, split_part(x, '|', 1) as name, cast(count(*) as bigint) as n from (select unnest({1}) as x from c where classification = '{2}') group by 2"
     classes = " union all ".join(f"select 'count', 'n_{k}', cast(count(*) filter ({w}) as bigint) from c" for k, w in {"raw": "true", "valid": "classification = 'valid'", "corrected": "classification = 'corrected'", "quarantined": "classification = 'quarantined'"}.items())
     good = "from c where classification <> 'quarantined'"
+    accepted = f"from c where classification <> 'quarantined' and not ({BLANKED})"
+    broken = f"from c where classification <> 'quarantined' and {BLANKED}"
+    # the cleaned rows of a file of which some are blanked, in place of those of ``c``
+    blanked = f", b as (select * replace (case when {BLANKED} then 'quarantined' else classification end as classification, case when {BLANKED} and classification <> 'quarantined' then ['CONTRACT_VIOLATION'] else error_codes end as error_codes) from c) "
+    again = f"""select 'count', 'inserted', cast(0 as bigint) union all select 'count', 'updated', cast(count(*) as bigint) {good} union all select 'count', 'unchanged', cast(count(distinct id_order) as bigint) {good}
+      union all select 'quarantine', 'inserted', cast(0 as bigint) union all select 'quarantine', 'updated', cast(count(*) as bigint) from c where classification = 'quarantined' union all select 'quarantine', 'unchanged', cast(count(*) as bigint) from c where classification = 'quarantined'"""
+    first = """select 'quarantine', 'inserted', cast(count(*) as bigint) from c where classification = 'quarantined' union all select 'quarantine', 'updated', cast(0 as bigint) union all select 'quarantine', 'unchanged', cast(0 as bigint)"""
     kept = f"select 'count', 'inserted', cast(count(distinct id_order) as bigint) {good} union all select 'count', 'updated', cast(count(*) - count(distinct id_order) as bigint) {good} union all select 'count', 'unchanged', cast(0 as bigint)"
     return {
         "row_numbers": (row_numbers, f"select cast(source_row_number as bigint) as source_row_number, order_id, items_json from ({D})"),
         "lineage_check": (lineage_check, f'select cast(1 as bigint) as "first", cast(count(*) as bigint) as "last", cast(count(*) as bigint) as n, cast(0 as bigint) as gaps, cast(0 as bigint) as repeats from ({D})'),
         "preview": (preview, f"select cast(source_row_number as bigint) as source_row_number, order_id, status from ({D}) where source_row_number <= 15"),
         "file_sample": (file_sample, f"select cast(source_row_number as bigint) as source_row_number, order_id, city from ({D}) where source_row_number <= 25"),
-        "run_metrics": (run_metrics, over_clean(f"{quality.format('rule', 'corrections', 'corrected')} union all {quality.format('error', 'error_codes', 'quarantined')} union all {classes} union all {kept}")),
+        "run_metrics": (run_metrics, over_clean(f"{quality.format('rule', 'corrections', 'corrected')} union all {quality.format('error', 'error_codes', 'quarantined')} union all {classes} union all {kept} union all {first}")),
+        "run_metrics_again": (run_metrics_again, over_clean(blanked + f"{quality.format('rule', 'corrections', 'corrected')} union all {quality.format('error', 'error_codes', 'quarantined')} union all {classes} union all {again}".replace(" from c", " from b"))),
+        "stored_balance": (stored_balance, over_clean(f"select 'raw' as place, cast(count(*) as bigint) as n from c union all select 'orders', cast(count(distinct id_order) as bigint) {accepted} union all select 'superseded', cast(count(*) - count(distinct id_order) as bigint) {accepted} union all select 'contract: empty_status', cast(count(*) as bigint) {broken} union all select 'rules', cast(count(*) as bigint) from c where classification = 'quarantined'")),
+        "lineage_envelope": (lineage_envelope, f"select cast(source_row_number as bigint) as source_row_number, 'run-1' as id_run, 'orders.csv' as source_file, '{STAMP}' as ingested_at, 'spark' as engine_used, customer_id, cast(17 as int) as n_fields from ({D})"),
         "rerun_keeps_orders": (rerun_keeps_orders, over_clean(f"select id_order, source_row_number, status_val as status, classification {good} {_ONE.format('')}")),
         "quarantine_upsert": (quarantine_upsert, over_clean("select 'run-1' as id_run, source_row_number, array_to_string(error_codes, ',') as error_codes from c where classification = 'quarantined'")),
         "store_check": (store_check, over_clean(f"select cast(count(*) - count(*) as bigint) as repeated_keys, cast(count(*) filter (least(coalesce(deliv, 0), coalesce(pay_val, 0), coalesce(total_val, 0)) < 0) as bigint) as negative_money, cast(count(*) filter (id_order is null or iso is null) as bigint) as contract_failures {good}")),

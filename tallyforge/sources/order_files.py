@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.schemas import RAW_COLUMNS, RAW_RECORD
+from tallyforge.sources.scratch import materialize
 
 
 #: Up to so many splits (a path and four numbers each) their offsets are broadcast.
@@ -26,7 +27,8 @@ def numbered(rows: DataFrame, out: str = "source_row_number") -> DataFrame:
     be a plain scan: both passes have to see the same splits.
     """
     placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
-    splits = placed.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__id").alias("__least"))
+    # written, so that the file is read for them once
+    splits = materialize(placed.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__id").alias("__least")), "splits")
     # one row a split: the single task of this window sees split counts, not rows
     before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("__file", "__block", "__least", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
