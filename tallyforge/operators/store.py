@@ -84,10 +84,11 @@ class Manifest:
 
 
 class Table:
-    """A keyed table below ``path``. ``buckets`` fixes their number; otherwise it follows the rows, ``PER_BUCKET`` each."""
+    """A keyed table below ``path``. ``buckets`` fixes their number; otherwise it follows the rows, ``PER_BUCKET`` each.
+    ``by``, the first of the keys, deals rows to buckets where not all of them do."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None):
-        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None, by: list[str] | None = None):
+        self.spark, self.path, self.keys, self.buckets, self.by = spark, path, keys, buckets, by or keys
 
     def _manifests(self) -> list[Manifest]:
         """The newest first."""
@@ -122,13 +123,13 @@ class Table:
             return self._rows(now)
         return None if empty is None else empty.limit(0)
 
-    def read_keys(self, wanted: DataFrame, empty: DataFrame) -> DataFrame:
-        """The stored rows whose keys are among those of ``wanted``; only their buckets are read. No rows of ``empty``'s schema
-        where nothing was written yet."""
+    def read_by(self, wanted: DataFrame, empty: DataFrame) -> DataFrame:
+        """The stored rows whose ``by`` columns are among those of ``wanted``; only their buckets are read. No rows of
+        ``empty``'s schema where nothing was written yet."""
         now = self._newest()
         if not now.held:
             return empty.limit(0)
-        return self._rows(now, self._touched(wanted, now.cut)).join(wanted.select(*self.keys).distinct(), self.keys, "left_semi")
+        return self._rows(now, self._touched(wanted, now.cut)).join(wanted.select(*self.by).distinct(), self.by, "left_semi")
 
     def written(self) -> DataFrame | None:
         """The rows of the buckets that the newest version wrote."""
@@ -136,7 +137,7 @@ class Table:
         return self._rows(now, {b for b, (v, _) in now.held.items() if v == now.version}) if now.version else None
 
     def _bucket(self, cut: int) -> F.Column:
-        return F.pmod(F.hash(*self.keys), F.lit(cut)).cast("int")  # what Spark buckets by
+        return F.pmod(F.hash(*self.by), F.lit(cut)).cast("int")  # what Spark buckets by
 
     def _touched(self, rows: DataFrame, cut: int) -> set[int]:
         return {r["b"] for r in rows.select(self._bucket(cut).alias("b")).distinct().collect()}  # at most ``cut`` rows
@@ -145,7 +146,7 @@ class Table:
     def bucketed(self, schema: T.StructType, cut: int, held: dict[int, tuple[int, int]]) -> Iterator[DataFrame]:
         """Stored buckets as a table that Spark knows to be bucketed by the key; it is known by name only meanwhile."""
         name, columns = f"tf_{uuid.uuid4().hex}", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        keys = ", ".join(f"`{k}`" for k in self.keys)
+        keys = ", ".join(f"`{k}`" for k in self.by)
         self.spark.sql(f"create table {name} ({columns}, `{BUCKET}` int) using parquet partitioned by (`{BUCKET}`) clustered by ({keys}) into {cut} buckets location '{self.path}/none'")
         try:
             places = [f"partition (`{BUCKET}` = {b}) location '{self._folder(v, b)}'" for b, (v, _) in held.items()]
@@ -183,7 +184,7 @@ class Table:
     def _write(self, rows: DataFrame, version: int, cut: int) -> dict[int, tuple[int, int]]:
         path, name = f"{self.path}/data/v={version}", f"tf_{uuid.uuid4().hex}"
         remove(self.spark, path)  # of an upsert that failed
-        rows.withColumn(BUCKET, self._bucket(cut)).write.partitionBy(BUCKET).bucketBy(cut, *self.keys).sortBy(*self.keys).option("path", path).saveAsTable(name)
+        rows.withColumn(BUCKET, self._bucket(cut)).write.partitionBy(BUCKET).bucketBy(cut, *self.by).sortBy(*self.keys).option("path", path).saveAsTable(name)
         self.spark.sql(f"drop table {name}")  # the files stay
         counts = self.spark.read.schema(f"`{BUCKET}` int").parquet(path).groupBy(BUCKET).count().collect()  # at most ``cut`` rows
         return {r[BUCKET]: (version, r["count"]) for r in counts}
@@ -209,7 +210,7 @@ class Table:
         staged = staged.where(~F.col(GONE)).drop(GONE)
         n = staged.count()
         cut = self._cut(n)
-        self._commit(Manifest(version, cut, self._write(staged.repartition(cut, *self.keys), version, cut) if n else {}, staged.schema))
+        self._commit(Manifest(version, cut, self._write(staged.repartition(cut, *self.by), version, cut) if n else {}, staged.schema))
         return n
 
     def replace(self, rows: DataFrame) -> None:
@@ -251,7 +252,9 @@ class Table:
             written = self._write(merged.repartition(len(touched), self._bucket(cut)), version, cut)
         else:
             with self.bucketed(now.schema, now.cut, old) as stored:
-                merged, seen = self.merged(stored, staged.repartition(now.cut, *self.keys))
+                merged, seen = self.merged(stored, staged.repartition(now.cut, *self.by))
+                if self.by != self.keys:  # the join deals rows by all keys
+                    merged = merged.repartition(cut, *self.by)
                 written = self._write(merged, version, cut)
         self._commit(Manifest(version, cut, kept | written, now.schema))
         found = counted(seen)

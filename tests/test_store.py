@@ -66,7 +66,7 @@ def test_untouched_buckets_are_not_read(spark, table):
                 os.truncate(f, 10)
     assert table.upsert(numbers(spark, 7, 8)) == {"inserted": 0, "updated": 1, "unchanged": 1, "keys": 1}
     assert table.written().where("k = 'k7'").count() == 1
-    assert table.read_keys(numbers(spark, 7, 8).select("k"), numbers(spark, 0, 1)).collect()[0].v == 7
+    assert table.read_by(numbers(spark, 7, 8).select("k"), numbers(spark, 0, 1)).collect()[0].v == 7
 
 
 def test_counters_and_stamps(spark, table):
