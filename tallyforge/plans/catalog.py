@@ -278,8 +278,8 @@ def before_after(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return before, after
 
 
-_AFTER_O = "select * replace (case when cast(id_order as bigint) % 100 = 13 then strftime(strptime(order_date, '%Y-%m-%dT%H:%M:%S') + interval 1 day, '%Y-%m-%dT%H:%M:%S') else order_date end as order_date) from o0"
-_AFTER_L = "select * replace (case when cast(id_order as bigint) % 100 = 13 and row_number() over (partition by id_order order by sku, name, qty, total / qty, total) = 1 then 'SKU-NEW' else sku end as sku) from l0"
+AFTER_O = "select * replace (case when cast(id_order as bigint) % 100 = 13 then strftime(strptime(order_date, '%Y-%m-%dT%H:%M:%S') + interval 1 day, '%Y-%m-%dT%H:%M:%S') else order_date end as order_date) from o0"
+AFTER_L = "select * replace (case when cast(id_order as bigint) % 100 = 13 and row_number() over (partition by id_order order by sku, name, qty, total / qty, total) = 1 then 'SKU-NEW' else sku end as sku) from l0"
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -289,8 +289,8 @@ def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return before, after, days, skus
 
 
-DAILY_AFTER = _with(o0=O, o=_AFTER_O) + _DAILY
-PRODUCTS_AFTER = _with(l0=L, l=_AFTER_L, p=_PRODUCTS) + _PRODUCT_ROWS
+DAILY_AFTER = _with(o0=O, o=AFTER_O) + _DAILY
+PRODUCTS_AFTER = _with(l0=L, l=AFTER_L, p=_PRODUCTS) + _PRODUCT_ROWS
 
 
 @_register("mv_daily_incremental", DAILY_AFTER)
@@ -309,7 +309,7 @@ _CHANGED = "cast(id_order as bigint) % 10 = 3"
 _MOVED = "cast(id_order as bigint) % 100 = 13"
 
 
-@_register("affected_groups", _with(o0=O, l0=L, o=_AFTER_O, l=_AFTER_L) + f"select 'day' as kind, substr(order_date, 1, 10) as grp from o where {_CHANGED} union select 'day', substr(order_date, 1, 10) from o0 where {_MOVED} union select 'sku', sku from l where {_CHANGED} union select 'sku', sku from l0 where {_MOVED}")
+@_register("affected_groups", _with(o0=O, l0=L, o=AFTER_O, l=AFTER_L) + f"select 'day' as kind, substr(order_date, 1, 10) as grp from o where {_CHANGED} union select 'day', substr(order_date, 1, 10) from o0 where {_MOVED} union select 'sku', sku from l where {_CHANGED} union select 'sku', sku from l0 where {_MOVED}")
 def affected_groups(spark, sf_dir):
     _, _, days, skus = _groups(spark, sf_dir)
     return days.select(F.lit("day").alias("kind"), F.col("date").alias("grp")).union(skus.select(F.lit("sku"), "sku"))

@@ -189,12 +189,67 @@ def mv_status(spark, sf_dir):
     return spark.createDataFrame([row], "status string, first_mode string, second_mode string, n_daily long, n_products long, n_digest long, n_orders long")
 
 
+def mv_recovered(spark, sf_dir):
+    """Both views after a refresh that failed between them, and the one that completes it."""
+    from tallyforge.plans.catalog import before_after
+
+    class Stopped(views.Views):
+        def _recompute_skus(self, *a):
+            raise InterruptedError("between the views")
+
+    before, after = (materialize(df, "orders") for df in before_after(spark, sf_dir))
+    root = f"{scratch_dir(spark)}/views"
+    views.Views(spark, root).refresh(before, "full", STAMP)
+    try:
+        Stopped(spark, root).refresh(after, "incremental", STAMP)
+    except InterruptedError:
+        pass
+    v = views.Views(spark, root)
+    failed = v.state()["status"]
+    done = v.refresh(after, "incremental", STAMP)
+    facts = (F.lit(failed).alias("failed_status"), F.lit(done["recovered"]).alias("recovered"))
+    days = v.daily.read().select(F.lit("day").alias("kind"), F.col("date").alias("grp"), "order_count", "total_sales", *facts)
+    return days.union(v.products.read().select(F.lit("sku"), "sku", "order_count", "total_sales", *facts))
+
+
+def mv_top_products(spark, sf_dir):
+    """The best sellers of the stored view, products without SKU left out."""
+    rows = views.read_products(_refreshed(spark, sf_dir).products.read(), 25, unassigned=False)
+    return rows.select("sku", "product_name", "total_quantity", "total_sales", "order_count", "distinct_order_count")
+
+
 def view_equals_report(spark, sf_dir):
     orders = models.orders(spark, sf_dir)
     view, report = views.daily_view(orders), reports.daily_sales(orders)
     return view.select("date", F.col("total_sales").alias("in_view")).join(report.select("date", F.col("total_sales").alias("in_report")), "date", "full")
 
 
+def views_equal_reports(spark, sf_dir):
+    """Sales by day and by product in the stored views, refreshed by differences, and in the reports over the orders."""
+    from tallyforge.plans.catalog import before_after
+
+    orders = before_after(spark, sf_dir)[1]
+    v = _refreshed(spark, sf_dir)
+    named = lambda df, key, side: df.select(F.col(key).alias("grp"), F.col("total_sales").alias(f"in_{side}"))
+    days = named(v.daily.read(), "date", "view").join(named(reports.daily_sales(orders), "date", "report"), "grp", "full")
+    live = views.product_view(orders)
+    return days.union(named(v.products.read(), "sku", "view").join(named(live, "sku", "report"), "grp", "full"))
+
+
+def job_units(spark, sf_dir):
+    """What the two scheduled units leave behind: the stored orders of a file, and the views and reports over them."""
+    root = scratch_dir(spark)
+    job.run(spark, _file(spark, sf_dir), root, "run-1", STAMP, "quarantine")
+    job.refresh(spark, root, "set-1", STAMP)
+    v = views.Views(spark, f"{root}/views")
+    tables = {n: reports.published(spark, f"{root}/reports", n) for n in reports.REPORTS if n != "top_products"} | {"daily view": v.daily.read()}
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.sum("order_count").alias("n_orders"), F.sum(F.round(F.col("total_sales") * 100).cast("long")).alias("cents"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 def published_reports(spark, sf_dir):
     orders, root = models.orders_with_items(spark, sf_dir), f"{scratch_dir(spark)}/reports"
     reports.publish(materialize(orders, "orders"), root, "first")
@@ -209,13 +264,17 @@ def _named(**groups: str) -> str:
     return " union all ".join(f"select '{name}' as report, cast(count(distinct {expr}) as bigint) as n_rows, cast(count(*) as bigint) as n_orders from o" for name, expr in groups.items())
 
 
-_CENTS = "cast(sum(cast(round(total_amount * 100) as bigint)) as bigint)"
-
-
 def registered() -> dict[str, tuple[Query, str]]:
-    from tallyforge.plans.catalog import DAILY_AFTER, PRODUCTS_AFTER
+    from tallyforge.plans.catalog import AFTER_L, AFTER_O, DAILY_AFTER, PRODUCTS_AFTER
 
-    days = f"select substr(order_date, 1, 10) as date, cast({_CENTS} / 100.0 as double) as s from o group by 1"
+    # the views' side from their definition, the reports' side from sums of orders and of lines
+    sides = {
+        "view": f"select date as grp, total_sales as in_view from ({DAILY_AFTER}) union all select sku, total_sales from ({PRODUCTS_AFTER})",
+        "report": f"with o0 as ({O}), l0 as ({L}), o as ({AFTER_O}), l as ({AFTER_L}) select substr(order_date, 1, 10) as grp, cast(sum(cast(total_amount as decimal(18, 2))) as double) as in_report from o group by 1 union all select sku, cast(sum(cast(total as decimal(18, 2))) as double) from l group by 1",
+    }
+    cents = "cast(sum(cast(round(total_val * 100) as bigint)) as bigint) as cents"
+    groups = {"daily_sales_summary": "substr(iso, 1, 10)", "sales_by_city": "city_val", "payment_method_analysis": "payment_method_val", "order_status_distribution": "status_val", "daily view": "substr(iso, 1, 10)"}
+    units = " union all ".join(f"select '{n}' as name, cast(count(distinct {e}) as bigint) as n_rows, cast(count(*) as bigint) as n_orders, {cents} from s" for n, e in groups.items())
     quality = "select '{0}' as kind, split_part(x, '|', 1) as name, cast(count(*) as bigint) as n from (select unnest({1}) as x from c where classification = '{2}') group by 2"
     classes = " union all ".join(f"select 'count', 'n_{k}', cast(count(*) filter ({w}) as bigint) from c" for k, w in {"raw": "true", "valid": "classification = 'valid'", "corrected": "classification = 'corrected'", "quarantined": "classification = 'quarantined'"}.items())
     good = "from c where classification <> 'quarantined'"
@@ -229,7 +288,7 @@ def registered() -> dict[str, tuple[Query, str]]:
     kept = f"select 'count', 'inserted', cast(count(distinct id_order) as bigint) {good} union all select 'count', 'updated', cast(count(*) - count(distinct id_order) as bigint) {good} union all select 'count', 'unchanged', cast(0 as bigint)"
     return {
         "row_numbers": (row_numbers, f"select cast(source_row_number as bigint) as source_row_number, order_id, items_json from ({D})"),
-        "lineage_check": (lineage_check, f'select cast(1 as bigint) as "first", cast(count(*) as bigint) as "last", cast(count(*) as bigint) as n, cast(0 as bigint) as gaps, cast(0 as bigint) as repeats from ({D})'),
+        "lineage_check": (lineage_check, f'select cast(min(n) as bigint) as "first", cast(max(n) as bigint) as "last", cast(count(n) as bigint) as n, cast(max(n) - min(n) + 1 - count(distinct n) as bigint) as gaps, cast(count(n) - count(distinct n) as bigint) as repeats from (select source_row_number as n from ({D}))'),
         "preview": (preview, f"select cast(source_row_number as bigint) as source_row_number, order_id, status from ({D}) where source_row_number <= 15"),
         "file_sample": (file_sample, f"select cast(source_row_number as bigint) as source_row_number, order_id, city from ({D}) where source_row_number <= 25"),
         "run_metrics": (run_metrics, over_clean(f"{quality.format('rule', 'corrections', 'corrected')} union all {quality.format('error', 'error_codes', 'quarantined')} union all {classes} union all {kept} union all {first}")),
@@ -238,13 +297,17 @@ def registered() -> dict[str, tuple[Query, str]]:
         "lineage_envelope": (lineage_envelope, f"select cast(source_row_number as bigint) as source_row_number, 'run-1' as id_run, 'orders.csv' as source_file, '{STAMP}' as ingested_at, 'spark' as engine_used, customer_id, cast(17 as int) as n_fields from ({D})"),
         "rerun_keeps_orders": (rerun_keeps_orders, over_clean(f"select id_order, source_row_number, status_val as status, classification {good} {_ONE.format('')}")),
         "quarantine_upsert": (quarantine_upsert, over_clean("select 'run-1' as id_run, source_row_number, array_to_string(error_codes, ',') as error_codes from c where classification = 'quarantined'")),
-        "store_check": (store_check, over_clean(f"select cast(count(*) - count(*) as bigint) as repeated_keys, cast(count(*) filter (least(coalesce(deliv, 0), coalesce(pay_val, 0), coalesce(total_val, 0)) < 0) as bigint) as negative_money, cast(count(*) filter (id_order is null or iso is null) as bigint) as contract_failures {good}")),
+        "store_check": (store_check, over_clean(f", s as (select * {good} {_ONE.format('')}) select cast((select count(*) from (select id_order from s group by 1 having count(*) > 1)) as bigint) as repeated_keys, cast(count(*) filter (least(coalesce(deliv, 0), coalesce(pay_val, 0), coalesce(total_val, 0)) < 0) as bigint) as negative_money, cast(count(*) filter (id_order is null or id_order = '' or iso is null or customer_id_val is null or status_val = '' or total_val is null or items_err is not null or len(items) < 1) as bigint) as contract_failures from s")),
         "upsert_last_wins": (upsert_last_wins, _UPSERT),
         "upsert_counters": (upsert_counters, _COUNTERS),
         "mv_refresh_daily": (mv_refresh_daily, DAILY_AFTER),
         "mv_refresh_products": (mv_refresh_products, PRODUCTS_AFTER),
         "mv_refresh_one": (mv_refresh_one, f"select date, order_count, total_sales from ({DAILY_AFTER}) where date between '1996-01-01' and '1996-12-31' order by date limit 100"),
         "mv_status": (mv_status, f"with o as ({O}), l as ({L}) select 'IDLE' as status, 'full' as first_mode, 'NO_OP' as second_mode, cast(count(distinct substr(order_date, 1, 10)) as bigint) as n_daily, cast((select count(distinct sku) from l) as bigint) as n_products, cast(count(*) as bigint) as n_digest, cast(count(*) as bigint) as n_orders from o"),
-        "view_equals_report": (view_equals_report, f"with o as ({O}), d as ({days}) select date, s as in_view, s as in_report from d"),
+        "mv_recovered": (mv_recovered, f"select 'day' as kind, date as grp, order_count, total_sales, 'IN_PROGRESS' as failed_status, true as recovered from ({DAILY_AFTER}) union all select 'sku', sku, order_count, total_sales, 'IN_PROGRESS', true from ({PRODUCTS_AFTER})"),
+        "mv_top_products": (mv_top_products, f"select * from ({PRODUCTS_AFTER}) where sku is not null and sku <> '' order by total_sales desc, sku limit 25"),
+        "view_equals_report": (view_equals_report, f"with o as ({O}) select substr(order_date, 1, 10) as date, cast(cast(sum(cast(round(total_amount * 100) as bigint)) as bigint) / 100.0 as double) as in_view, cast(sum(cast(total_amount as decimal(18, 2))) as double) as in_report from o group by 1"),
+        "views_equal_reports": (views_equal_reports, f"select v.grp, in_view, in_report from ({sides['view']}) v join ({sides['report']}) r on v.grp = r.grp"),
+        "job_units": (job_units, over_clean(f", s as (select * {good} {_ONE.format('')}) " + units)),
         "published_reports": (published_reports, f"with o as ({O}) " + _named(daily_sales_summary="substr(order_date, 1, 10)", sales_by_city="city", payment_method_analysis="payment_method", order_status_distribution="status")),
     }
