@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyforge.operators.reports import check_day, check_limit
+from tallyforge.operators.store import Table
+from tallyforge.operators.views import PARTS
+from tallyforge.sources.scratch import materialize
 
 
 def _text(value: str | None, name: str) -> str | None:
@@ -78,6 +81,20 @@ def orders_by_product_sku(orders: DataFrame, sku: str | None = None, limit: int
     return _newest(found, limit, "id_order", "order_date", "city", "status", "total_amount", "items")
 
 
+def orders_by_product_sku_indexed(orders: Table, postings: Table, sku: str, limit: int = 20, parts: int = PARTS) -> DataFrame:
+    """The same by the index of products that a refresh of the views keeps: of it, and of the stored orders, only the buckets
+    that can hold the SKU and the orders found are read. As of the last refresh."""
+    if _text(sku, "sku") is None:
+        raise ValueError("sku must be given")
+    wanted = orders.spark.createDataFrame([(sku, part) for part in range(parts)], "sku string, part int")
+    index = postings.read()
+    if index is None:
+        raise ValueError("no index yet; refresh the views")
+    newest = materialize(postings.read_by(wanted, index).select("id_order", "order_date").orderBy(F.desc("order_date"), "id_order").limit(check_limit(limit)), "found")
+    found = orders.read_by(newest.select("id_order"), orders.read())
+    return _newest(found, limit, "id_order", "order_date", "city", "status", "total_amount", "items")
+
+
 def payment_settlement_audit(orders: DataFrame, status: str | None = None, method: str | None = None, min_amount: float = 0, limit: int = 20) -> DataFrame:
     if _text(status, "status") is None or _text(method, "method") is None:
         status, method = sample_order(orders, "payment_status", "payment_method", payment_status=status, payment_method=method)

@@ -110,7 +110,10 @@ def high_value_range(spark, sf_dir):
     return lookups.high_value_orders(models.orders(spark, sf_dir))
 
 
-@_register("orders_by_sku", _with(o=O, l=L) + "select o.id_order, order_date, city, status, total_amount, cast((select count(*) from l where l.id_order = o.id_order) as bigint) as n_items from o where id_order in (select id_order from l where sku = '7') order by order_date desc, id_order limit 20")
+BY_SKU = _with(o=O, l=L) + "select o.id_order, order_date, city, status, total_amount, cast((select count(*) from l where l.id_order = o.id_order) as bigint) as n_items from o where id_order in (select id_order from l where sku = '7') order by order_date desc, id_order limit 20"
+
+
+@_register("orders_by_sku", BY_SKU)
 def orders_by_sku(spark, sf_dir):
     found = lookups.orders_by_product_sku(models.orders_with_items(spark, sf_dir), "7")
     return found.withColumn("n_items", F.size("items").cast("long")).drop("items")
