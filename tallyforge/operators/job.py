@@ -19,6 +19,7 @@ from tallyforge.operators import checks, classify, reports, store, views
 from tallyforge.operators.observed import counted, observe
 from tallyforge.sources import order_files
 from tallyforge.sources.paths import exists, n_bytes, remove
+from tallyforge.sources.scratch import job_scratch
 
 METRICS = (
     "id_run string, attempt string, processed_at string, source_file string, source_bytes long, engine string, status string, n_raw long, n_valid long, n_corrected long, "
@@ -103,9 +104,10 @@ def run(spark: SparkSession, csv: str, root: str, id_run: str, stamp: str, contr
     """Process one file and return its row of metrics. ``contract``: ``fail`` stops before anything is stored if a row breaks
     it, ``quarantine`` puts such rows among the quarantined."""
     began = time.monotonic()
-    raw = land(spark, csv, root, id_run, stamp)
-    settled = settle(raw, f"{root}/classified/{id_run}", stamp, contract)
-    stored = keep(settled, *tables(spark, root), id_run)
+    with job_scratch(spark):
+        raw = land(spark, csv, root, id_run, stamp)
+        settled = settle(raw, f"{root}/classified/{id_run}", stamp, contract)
+        stored = keep(settled, *tables(spark, root), id_run)
     return log(spark, f"{root}/metrics", id_run, stamp, (csv.rstrip("/").rpartition("/")[2], n_bytes(spark, csv)), settled, stored, time.monotonic() - began)
 
 
@@ -114,5 +116,6 @@ def refresh(spark: SparkSession, root: str, name: str, at: str, mode: str = "inc
     orders = tables(spark, root)[0].read()
     if orders is None:
         raise ValueError("no orders are stored yet")
-    done = views.Views(spark, f"{root}/views").refresh(orders, mode, at)
-    return done | {"reports": reports.publish(orders, f"{root}/reports", name, top)}
+    with job_scratch(spark):
+        done = views.Views(spark, f"{root}/views").refresh(orders, mode, at)
+        return done | {"reports": reports.publish(orders, f"{root}/reports", name, top)}

@@ -22,7 +22,7 @@ from tallyforge.operators.money import cents, mean, money
 from tallyforge.operators.reports import check_limit, day, product_sums
 from tallyforge.operators.store import Table
 from tallyforge.sources.paths import exists
-from tallyforge.sources.scratch import materialize
+from tallyforge.sources.scratch import job_scratch, materialize
 
 
 def _stamps(df: DataFrame, refreshed_at: str, mode: str, watermark: str | None) -> DataFrame:
@@ -202,6 +202,10 @@ class Views:
         """Bring both views up to date. Returns the mode run, whether it recovered a failed one, and counts of groups."""
         if mode not in ("full", "incremental"):
             raise ValueError("mode is full or incremental")
+        with job_scratch(self.spark):
+            return self._refresh(orders, mode, at)
+
+    def _refresh(self, orders: DataFrame, mode: str, at: str) -> dict:
         state = self.state()
         since = state.get("watermark")
         recovered = state["status"] in ("IN_PROGRESS", "PENDING_JOINT")
@@ -299,6 +303,10 @@ class Views:
         """Bring one view up to date. The watermark stays, and the changed groups stay pending for the joint refresh."""
         if view not in ("daily", "products") or mode not in ("full", "incremental"):
             raise ValueError("view is daily or products, mode is full or incremental")
+        with job_scratch(self.spark):
+            return self._refresh_one(orders, view, mode, at)
+
+    def _refresh_one(self, orders: DataFrame, view: str, mode: str, at: str) -> dict:
         state = self.state()
         since = state.get("watermark")
         if mode == "full" or since is None:

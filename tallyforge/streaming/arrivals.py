@@ -15,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyforge.operators import job, store
 from tallyforge.schemas import RAW_RECORD
 from tallyforge.sources import order_files
-from tallyforge.sources.paths import n_bytes, remove
-from tallyforge.sources.scratch import scratch_dir
+from tallyforge.sources.paths import n_bytes
+from tallyforge.sources.scratch import job_scratch, scratch_dir
 
 
 def start(
@@ -33,13 +33,13 @@ def start(
         files = [r["file_path"] for r in arrived.distinct().collect()]  # at most ``files_per_batch``
         if not files:
             return
-        began, id_run, path = time.monotonic(), f"{run}-{number}", f"{scratch_dir(spark)}/classified"
-        rows = order_files.numbered(order_files.scan(spark, files)).withColumns({"id_run": F.lit(id_run), "source_file": F.lit(name)})
-        settled = job.settle(rows, path, stamp, contract)
-        stored = job.keep(settled, good, bad, id_run)
+        began, id_run = time.monotonic(), f"{run}-{number}"
+        with job_scratch(spark):
+            rows = order_files.numbered(order_files.scan(spark, files)).withColumns({"id_run": F.lit(id_run), "source_file": F.lit(name)})
+            settled = job.settle(rows, f"{scratch_dir(spark)}/classified", stamp, contract)
+            stored = job.keep(settled, good, bad, id_run)
         if metrics:
             job.log(spark, metrics, id_run, stamp, (name, sum(n_bytes(spark, f) for f in files)), settled, stored, time.monotonic() - began)
-        remove(spark, path)
 
     stream = spark.readStream.schema(RAW_RECORD).option("header", True).option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", files_per_batch).csv(inbox)
     paths = stream.selectExpr("_metadata.file_path as file_path")

@@ -167,3 +167,12 @@ def test_defaults_agree_with_what_is_given(spark):
         with pytest.raises(ValueError, match="give all parameters"):
             call()
     assert lookups.orders_by_city_and_status(orders, "Y", "new").count() == 0
+
+
+def test_a_job_leaves_no_scratch(spark, write, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared)) if os.path.exists(shared) else set()
+    root = str(tmp_path / "root")
+    job.run(spark, write("a.csv", [GOOD]), root, "run-1", "2025-02-01T00:00:00")
+    assert job.refresh(spark, root, "set", "2025-02-01T00:00:00")["mode"] == "full"
+    assert set(os.listdir(shared)) == before
