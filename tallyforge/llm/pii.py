@@ -4,14 +4,16 @@ One regular expression finds candidates; each is validated by its kind and permu
 network, so that equal values get equal pseudonyms in every document, distinct values stay distinct, and a holder of the
 key can invert the map:
 
-* card numbers (13-19 digits with a right Luhn digit, any spacing): the network digit stays, the body is permuted and the
-  Luhn digit recomputed;
+* card numbers (13-19 digits that begin with 3 to 6 and have a right Luhn digit; in one piece, in fours, or 4-6-5, parted by
+  single spaces or dashes): the first digit stays, the body is permuted and the Luhn digit recomputed;
 * phone numbers: the country code stays, all other digits are permuted, punctuation stays where it was;
 * social security numbers: permuted among the valid ones (area 001-899 but 666, group 01-99, serial 0001-9999);
-* dates from 1900-01-01 (73,000 days; ISO, day/month/year and month/day/year with /, . or -): permuted as day numbers;
+* dates from 1900-01-01 (73,000 days; ISO, day/month/year and month/day/year with /, . or -; days and months of two digits):
+  permuted as day numbers;
 * IPv4 addresses: permuted as a pair of 16-bit halves;
 * e-mail addresses (local part and first domain label), access keys and values of password/token/secret assignments:
-  letters move within their case, digits within digits, everything else stays.
+  letters move within their case, digits within digits, everything else stays. A text that has none of the marks of
+  ``GATE`` is passed on as it is, so an access key of letters alone is found only beside one of them.
 
 Values that fail validation (a wrong Luhn digit, an octet over 255, the 31st of February, a 000 area) are left as they are.
 

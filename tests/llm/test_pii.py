@@ -1,3 +1,7 @@
+import hashlib
+import random
+import string
+
 from tallyforge.llm import pii
 
 
@@ -65,3 +69,61 @@ def test_odd_rows(spark, odd, none):
 
 def test_no_python_in_the_plan(spark, odd):
     assert "Python" not in pii.pseudonymize(odd)._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_digest(key, kind, rnd, other):
+    return hashlib.sha256(f"{key}|{kind}|{rnd}|{other}".encode()).hexdigest()
+
+
+def plain_pair(value, left, right, key, kind, back=False):
+    """The network over two residues, step by step; ``back`` undoes it."""
+    a, b = divmod(value, right)
+    for rnd in range(8)[:: -1 if back else 1]:
+        draw = int(plain_digest(key, kind, rnd, b if rnd % 2 == 0 else a)[:13], 16) * (-1 if back else 1)
+        if rnd % 2 == 0:
+            a = (a + draw) % left
+        else:
+            b = (b + draw) % right
+    return a * right + b
+
+
+def plain_chars(value, key, kind, back=False):
+    """The network over two halves of a text: characters move within digits, lower or upper letters."""
+
+    def moved(half, other, rnd):
+        d, out = plain_digest(key, kind, rnd, other), ""
+        for i, c in enumerate(half):
+            by = int(d[2 * (i % 32) : 2 * (i % 32) + 2], 16) * (-1 if back else 1)
+            kinds = [k for k in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if c in k]
+            out += kinds[0][(kinds[0].index(c) + by) % len(kinds[0])] if kinds else c
+        return out
+
+    a, b = value[: len(value) // 2], value[len(value) // 2 :]
+    for rnd in range(8)[:: -1 if back else 1]:
+        if rnd % 2 == 0:
+            a = moved(a, b, rnd)
+        else:
+            b = moved(b, a, rnd)
+    return a + b
+
+
+def test_networks_are_the_plain_ones_and_can_be_undone(spark):
+    rng = random.Random(8)
+    left, right = 365, 200
+    numbers = [*range(50), *(rng.randrange(left * right) for _ in range(200))]
+    df = spark.createDataFrame([(n,) for n in numbers], "v long")
+    got = [r.p for r in df.selectExpr("v", f"{pii._pair('v', left, right, 'secret', 'date')} as p").collect()]
+    assert got == [plain_pair(n, left, right, "secret", "date") for n in numbers]
+    assert [plain_pair(p, left, right, "secret", "date", back=True) for p in got] == numbers
+    letters = string.ascii_letters + string.digits + "._-é"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 90))) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [r.p for r in df.selectExpr("v", f"{pii._chars('v', 'secret', 'mail')} as p").collect()]
+    assert got == [plain_chars(t, "secret", "mail") for t in texts]
+    assert [plain_chars(p, "secret", "mail", back=True) for p in got] == texts
+
+
+def test_the_pair_network_is_a_permutation(spark):
+    n = 30 * 7
+    got = [r.p for r in spark.range(n).selectExpr(f"{pii._pair('id', 30, 7, 'k', 'x')} as p").collect()]
+    assert sorted(got) == list(range(n)) and got != list(range(n))

@@ -64,3 +64,28 @@ def test_model_on_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in quality_model.score_quality(odd, labels.limit(0), doc_fold("doc_id", 4) >= 0).collect()} == {0.5}
     assert quality_model.score_quality(none, labels, doc_fold("doc_id", 4) >= 0).count() == 0
+
+
+def plain_gap(x, y, at, pooled, ridge):
+    """Log-density of class 1 less that of class 0 at each row of ``at``, by explicit covariances, determinants and solves."""
+    within = sum(np.cov(x[y == c].T, bias=True) * (y == c).sum() for c in (0, 1)) / len(y)
+    scale, out = np.sqrt(np.diag(within)), []
+    for c in (0, 1):
+        own = (1 - pooled) * np.cov(x[y == c].T, bias=True) + pooled * within
+        own = own / np.outer(scale, scale)
+        own = ((1 - ridge) * own + ridge * np.trace(own) / len(own) * np.eye(len(own))) * np.outer(scale, scale)
+        far = at - x[y == c].mean(axis=0)
+        out.append(np.log((y == c).mean()) - np.linalg.slogdet(own)[1] / 2 - np.einsum("ij,ij->i", far, np.linalg.solve(own, far.T).T) / 2)
+    return out[1] - out[0]
+
+
+def test_the_discriminant_is_the_plain_one(spark):
+    rng = np.random.default_rng(3)
+    y = np.repeat([0, 1], [120, 60])
+    x = rng.normal(size=(180, 4)) @ rng.normal(size=(4, 4)) * [1, 50, 0.01, 3] + np.outer(y, [0.5, 20, 0.02, -1])
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(int(k), *map(float, r)) for k, r in zip(y, x, strict=True)], "y int, a double, b double, c double, d double")
+    for pooled, ridge in ((0.1, 0.01), (0.5, 0.3)):
+        model = quality_model.fit(df, "y", names, pooled, ridge)
+        got = np.array([r.g for r in df.select((model[1].log_density(names) - model[0].log_density(names)).alias("g")).collect()])
+        assert np.allclose(got, plain_gap(x, y, x, pooled, ridge), rtol=1e-6, atol=1e-6)
