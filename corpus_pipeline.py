@@ -109,7 +109,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", lean(pack_sequences)),
 ]
 
-#: Trained models and hash families have no SQL form; tests hold the stages against brute force.
+#: Trained models and hash families have no SQL form. Tests hold the operators against brute force, plain networks and held-out
+#: labels, and the pipeline's stages against the operators.
 ORACLE_SQL: str | None = None
 
 
