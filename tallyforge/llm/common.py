@@ -36,17 +36,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def give_back() -> None:
+    """Return the memory that Python and Arrow hold but do not use."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # only the GNU C library has it
+            trim(0)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow(run, schema)`` whose workers, which outlive their tasks, give back what a task no longer needs."""
 
     def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:  # only the GNU C library has it
-                trim(0)
+        give_back()
 
     return df.mapInArrow(thrifty, schema)
 

@@ -11,6 +11,7 @@ are packed as often as they occur; an empty table gives no row; other input colu
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from itertools import chain, pairwise
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_batches, spread, text_parts
+from tallyforge.llm.common import give_back, map_batches, spread, text_parts
 
 CAPACITY = 2048
 END_ID = 1
@@ -52,6 +53,7 @@ def word_encoder(path: str, limit: int) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to little-endian 32-bit ids. The vocabulary drops white space and case and never merges over white space or
     from letters into marks, so a word's ids are those of its letters and of the marks at its end. Words are looked up;
     the tokenizer sees each new one once, many at a time. The table starts anew at ``limit`` words."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each keep memory of their own
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -149,6 +151,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_t
                         out, n = _pack_group(group, part + made, capacity)
                         made, group, held = made + n, [], 0
                         yield out
+                        del out
+                        give_back()
         if group:
             yield _pack_group(group, part + made, capacity)[0]
 
