@@ -87,7 +87,10 @@ def _newest(columns: str, where: str, order: str = "order_date desc, id_order")
     return _with(o=O) + f"select {columns} from o where {where} order by {order} limit 20"
 
 
-@_register("orders_by_city_status", _newest("id_order, order_date, city, district, status, delivery_type, total_amount, quality_status", f"city = {_FIRST.format(c='city')} and status = {_FIRST.format(c='status')}"))
+BY_CITY_STATUS = _newest("id_order, order_date, city, district, status, delivery_type, total_amount, quality_status", f"city = {_FIRST.format(c='city')} and status = {_FIRST.format(c='status')}")
+
+
+@_register("orders_by_city_status", BY_CITY_STATUS)
 def orders_by_city_status(spark, sf_dir):
     return lookups.orders_by_city_and_status(models.orders(spark, sf_dir))
 
@@ -97,7 +100,10 @@ def orders_by_city_only(spark, sf_dir):
     return lookups.orders_by_city_and_status(models.orders(spark, sf_dir), city="NATION_2")
 
 
-@_register("customer_history", _newest("id_order, customer_id, customer_name, order_date, status, city, payment_status, total_amount, quality_status", f"customer_id = {_FIRST.format(c='customer_id')}"))
+BY_CUSTOMER = _newest("id_order, customer_id, customer_name, order_date, status, city, payment_status, total_amount, quality_status", f"customer_id = {_FIRST.format(c='customer_id')}")
+
+
+@_register("customer_history", BY_CUSTOMER)
 def customer_history(spark, sf_dir):
     return lookups.customer_order_history(models.orders(spark, sf_dir))
 
@@ -105,7 +111,10 @@ def customer_history(spark, sf_dir):
 _MONTH = _FIRST.format(c="substr(order_date, 1, 7)")
 
 
-@_register("high_value_range", _newest("id_order, order_date, customer_id, city, status, payment_method, total_amount", f"order_date >= {_MONTH} || '-01T00:00:00' and order_date <= strftime(last_day(cast({_MONTH} || '-01' as date)), '%Y-%m-%dT23:59:59') and total_amount >= round({_FIRST.format(c='total_amount')} * 0.5, 2)"))
+BY_VALUE = _newest("id_order, order_date, customer_id, city, status, payment_method, total_amount", f"order_date >= {_MONTH} || '-01T00:00:00' and order_date <= strftime(last_day(cast({_MONTH} || '-01' as date)), '%Y-%m-%dT23:59:59') and total_amount >= round({_FIRST.format(c='total_amount')} * 0.5, 2)")
+
+
+@_register("high_value_range", BY_VALUE)
 def high_value_range(spark, sf_dir):
     return lookups.high_value_orders(models.orders(spark, sf_dir))
 

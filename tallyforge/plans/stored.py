@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import checks, classify, job, lookups, reports, store, views
+from tallyforge.operators import checks, classify, clusters, job, lookups, reports, store, views
 from tallyforge.plans import models
 from tallyforge.plans.models import DIRTY_SQL, LINES_SQL, ORDERS_SQL, twin
 from tallyforge.plans.twins import over_clean
@@ -200,6 +200,24 @@ def orders_by_sku_indexed(spark, sf_dir):
     return lookups.orders_by_product_sku_indexed(orders, v.postings, "7").withColumn("n_items", F.size("items").cast("long")).drop("items")
 
 
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders along the curve, in small pages so that small tables have some to pass over."""
+    orders = materialize(models.orders(spark, sf_dir), "orders")
+    return clusters.write(orders, f"{scratch_dir(spark)}/clustered", per_page=500)
+
+
+def orders_by_city_status_clustered(spark, sf_dir):
+    return lookups.orders_by_city_and_status(_clustered(spark, sf_dir))
+
+
+def customer_history_clustered(spark, sf_dir):
+    return lookups.customer_order_history(_clustered(spark, sf_dir))
+
+
+def high_value_range_clustered(spark, sf_dir):
+    return lookups.high_value_orders(_clustered(spark, sf_dir))
+
+
 def mv_recovered(spark, sf_dir):
     """Both views after a refresh that failed between them, and the one that completes it."""
     from tallyforge.plans.catalog import before_after
@@ -276,7 +294,7 @@ def _named(**groups: str) -> str:
 
 
 def registered() -> dict[str, tuple[Query, str]]:
-    from tallyforge.plans.catalog import AFTER_L, AFTER_O, BY_SKU, DAILY_AFTER, PRODUCTS_AFTER
+    from tallyforge.plans.catalog import AFTER_L, AFTER_O, BY_CITY_STATUS, BY_CUSTOMER, BY_SKU, BY_VALUE, DAILY_AFTER, PRODUCTS_AFTER
 
     # the views' side from their definition, the reports' side from sums of orders and of lines
     sides = {
@@ -316,6 +334,9 @@ def registered() -> dict[str, tuple[Query, str]]:
         "mv_refresh_one": (mv_refresh_one, f"select date, order_count, total_sales from ({DAILY_AFTER}) where date between '1996-01-01' and '1996-12-31' order by date limit 100"),
         "mv_status": (mv_status, f"with o as ({O}), l as ({L}) select 'IDLE' as status, 'full' as first_mode, 'NO_OP' as second_mode, cast(count(distinct substr(order_date, 1, 10)) as bigint) as n_daily, cast((select count(distinct sku) from l) as bigint) as n_products, cast(count(*) as bigint) as n_digest, cast(count(*) as bigint) as n_orders from o"),
         "orders_by_sku_indexed": (orders_by_sku_indexed, BY_SKU),
+        "orders_by_city_status_clustered": (orders_by_city_status_clustered, BY_CITY_STATUS),
+        "customer_history_clustered": (customer_history_clustered, BY_CUSTOMER),
+        "high_value_range_clustered": (high_value_range_clustered, BY_VALUE),
         "mv_recovered": (mv_recovered, f"select 'day' as kind, date as grp, order_count, total_sales, 'IN_PROGRESS' as failed_status, true as recovered from ({DAILY_AFTER}) union all select 'sku', sku, order_count, total_sales, 'IN_PROGRESS', true from ({PRODUCTS_AFTER})"),
         "mv_top_products": (mv_top_products, f"select * from ({PRODUCTS_AFTER}) where sku is not null and sku <> '' order by total_sales desc, sku limit 25"),
         "view_equals_report": (view_equals_report, f"with o as ({O}) select substr(order_date, 1, 10) as date, cast(cast(sum(cast(round(total_amount * 100) as bigint)) as bigint) / 100.0 as double) as in_view, cast(sum(cast(total_amount as decimal(18, 2))) as double) as in_report from o group by 1"),
