@@ -48,10 +48,14 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 _TAIL = b".,;:!?*$%&#()\"[]{}/-_+=~@^"
 
 
+#: New words that the tokenizer sees at once; it needs about a kilobyte for each.
+AT_ONCE = 500
+
+
 def word_encoder(path: str, limit: int) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to little-endian 32-bit ids. The vocabulary drops white space and case and never merges over white space or
     from letters into marks, so a word's ids are those of its letters and of the marks at its end. Words are looked up;
-    the tokenizer sees each new one once, many at a time. The table starts anew at ``limit`` words."""
+    the tokenizer sees each new one once, ``AT_ONCE`` at a time. The table starts anew at ``limit`` words."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -85,11 +89,13 @@ def word_encoder(path: str, limit: int) -> Callable[[list[bytes]], list[bytes]]:
         split = [parts(w) for w in fresh]
         unknown = {p for s in split for p in s if p and p not in cores}
         alone = [(w, t) for w in unknown if (t := w.decode("utf-8", "replace")).lower().isalpha()]
-        got = ids_of(" ".join(t for _, t in alone)) if alone else np.zeros(0, "<u4")
-        ends = (np.flatnonzero(last[got]) + 1).tolist()
-        if len(ends) == len(alone):  # each is one run of letters, so one token run
-            raw, starts = got.tobytes(), [0, *ends][:-1]
-            cores.update((w, raw[4 * a : 4 * b]) for (w, _), a, b in zip(alone, starts, ends, strict=True))
+        for at in range(0, len(alone), AT_ONCE):
+            some = alone[at : at + AT_ONCE]
+            got = ids_of(" ".join(t for _, t in some))
+            ends = (np.flatnonzero(last[got]) + 1).tolist()
+            if len(ends) == len(some):  # each is one run of letters, so one token run
+                raw, starts = got.tobytes(), [0, *ends][:-1]
+                cores.update((w, raw[4 * a : 4 * b]) for (w, _), a, b in zip(some, starts, ends, strict=True))
         cores.update((w, ids_of(w.decode("utf-8", "replace")).tobytes()) for w in unknown if w not in cores)
         found = [cores[a] + cores[b] if b else cores[a] for a, b in split]
         flat = np.concatenate([flat, np.frombuffer(b"".join(found), "<u4")])
@@ -127,10 +133,11 @@ def _pack_group(group: list[tuple[int | None, bytes]], first: int, capacity: int
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]), int(bins.max()) + 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_tokens: int = 2_000_000, seed: int = 17, part_bytes: int = 32 << 20, table_words: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_tokens: int = 2_000_000, seed: int = 17, part_bytes: int = 32 << 20, table_words: int = 500_000, run_bytes: int = 1 << 20) -> DataFrame:
     """One row a piece with its token ids as little-endian 32-bit integers (``ids``); sequences are (partition, number).
 
-    ``table_words`` trades a worker's memory (about 0.3 kB a word) for time: words beyond it are tokenized anew.
+    ``table_words`` trades a worker's memory (about 0.3 kB a word) for time: words beyond it are tokenized anew. So does
+    ``run_bytes``, the bytes of texts that are encoded at once (about 60 bytes a byte).
     """
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -141,7 +148,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_t
         part, made, group, held = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for part_of, texts in text_parts(batch):
+            for part_of, texts in text_parts(batch, run_bytes):
                 for doc_id, ids in zip(doc_ids[part_of], encode(texts), strict=True):
                     group.append((doc_id, ids + end))
                     held += len(ids) // 4 + 1
