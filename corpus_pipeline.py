@@ -87,8 +87,8 @@ def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: training sequences of at most 2048 tokens, a row a piece. The executors still hold what earlier stages
-    needed, so the word table is small."""
-    return packing.pack(docs, word_tokenizer_path(), group_tokens=500_000, part_bytes=16 << 20, table_words=20_000)
+    needed, so the word table and the runs of texts are small."""
+    return packing.pack(docs, word_tokenizer_path(), group_tokens=500_000, part_bytes=16 << 20, table_words=20_000, run_bytes=256 << 10)
 
 
 def lean(stage: Stage) -> Stage:
