@@ -3,6 +3,8 @@
 import os
 
 from conftest import DATA
+from pyspark.sql import functions as F
+from tallyforge.operators import store
 from tallyforge.plans import models, stored
 
 SF = f"{DATA}/sf0.001"
@@ -25,3 +27,33 @@ def test_order_files_of_queries_are_compressed(spark):
     text = sum(len(",".join(str(x) for x in r).encode()) for r in models.dirty_in_order(spark, SF).collect())
     held = sum(os.path.getsize(f"{folder}/{n}") for n in os.listdir(folder) if n.startswith("part-"))
     assert 0 < held < text / 2
+
+
+def _table(spark, tmp_path, **more):
+    return store.Table(spark, f"file://{tmp_path}/t", ["k"], **more)
+
+
+def _rows(spark, low, high, stamp="a"):
+    return spark.range(low, high).select(F.concat(F.lit("k"), "id").alias("k"), "id", F.lit(stamp).alias("processed_at"))
+
+
+def test_upserts_without_deletions_are_not_staged(spark, tmp_path, monkeypatch):
+    def none(*a):
+        raise AssertionError("staged")
+
+    monkeypatch.setattr(store.Table, "_stage", none)
+    table = _table(spark, tmp_path, buckets=3)
+    assert table.upsert(_rows(spark, 0, 60).union(_rows(spark, 0, 5)), order="id") == {"inserted": 60, "updated": 5, "unchanged": 0, "keys": 60}
+    assert table.upsert(_rows(spark, 50, 70, "b"), order="id") == {"inserted": 10, "updated": 10, "unchanged": 10, "keys": 20}
+    assert table.read().count() == 70 and table.read().where("processed_at = 'b'").count() == 20
+
+
+def test_an_upsert_of_rows_as_they_are_writes_nothing(spark, tmp_path):
+    table = _table(spark, tmp_path, buckets=3)
+    table.upsert(_rows(spark, 0, 60), order="id")
+    before = table.manifest()
+    assert table.upsert(_rows(spark, 0, 60), order="id") == {"inserted": 0, "updated": 60, "unchanged": 60, "keys": 60}
+    assert table.manifest() == before and table.written().count() == 60
+    # another stamp is a change that is to be stored, though the content is the same
+    assert table.upsert(_rows(spark, 0, 60, "b"), order="id")["unchanged"] == 60
+    assert table.manifest() != before and table.read().where("processed_at = 'b'").count() == 60
