@@ -159,6 +159,15 @@ def _stored_products(orders: DataFrame, skus: DataFrame | None = None) -> DataFr
     return product_view(orders, skus).join(lines.groupBy("i.sku").agg(F.min("id_order").alias(_NAMED_BY)), "sku")
 
 
+def products_of(digest: DataFrame) -> DataFrame:
+    """The same from the digests of all orders, where an order's lines of one product are summed already: an order counts once
+    in each of its lines, so nothing but sums by product is moved."""
+    sums = digest.select("id_order", F.explode("lines").alias("l")).groupBy("l.sku").agg(
+        F.min("id_order").alias(_NAMED_BY), F.min_by("l.name", "id_order").alias("product_name"), F.sum("l.qty").alias("total_quantity"), F.sum("l.cents").alias("s"), F.sum("l.n_lines").alias("order_count"), F.count("*").alias("distinct_order_count"),
+    )
+    return sums.select("sku", "product_name", "total_quantity", money(F.col("s")).alias("total_sales"), "order_count", "distinct_order_count", _NAMED_BY)
+
+
 class Views:
     """The stored views below ``root`` and their refresh."""
 
@@ -213,7 +222,7 @@ class Views:
             mark = watermark(orders).first()
             stamp = dict(watermark=mark["last_processed_at"], last_id_run=mark["last_id_run"], n_orders=mark["n_orders"], refreshed_at=at)
             self._save(status="IN_PROGRESS", watermark=since, mode="full", pending=None, pending_full=True)
-            self._build(orders, at, stamp["watermark"])
+            self._build(orders, at, stamp["watermark"], mark["n_orders"])
             self._save(status="IDLE", mode="full", pending=None, **stamp)
             return {"mode": "full", "recovered": recovered}
         new, old = self._changed(orders, since)
@@ -233,14 +242,14 @@ class Views:
         self._save(status="IDLE", mode="incremental", pending=None, **stamp)
         return {"mode": "incremental", "recovered": recovered, "days": days.count(), "skus": skus.count(), "deleted": gone}
 
-    def _build(self, orders: DataFrame, at: str, mark: str | None) -> None:
-        """Everything anew."""
+    def _build(self, orders: DataFrame, at: str, mark: str | None, n: int) -> None:
+        """Everything anew; the products and the indexes from the digests."""
         self.daily.replace(_stamps(daily_view(orders), at, "full", mark))
-        self.products.replace(_stamps(_stored_products(orders), at, "full", mark))
-        self.digest.replace(order_digest(orders))
+        self.digest.replace(order_digest(orders), about=n)
         digest = self.digest.read(order_digest(orders))
-        self.times.replace(day_times(digest))
-        self.postings.replace(product_orders(digest))
+        self.products.replace(_stamps(products_of(digest), at, "full", mark))
+        self.times.replace(day_times(digest), about=n)
+        self.postings.replace(product_orders(digest), about=digest.agg(F.coalesce(F.sum(F.size("skus")), F.lit(0))).first()[0])
 
     def _index(self, new: DataFrame, old: DataFrame) -> None:
         """What changed orders hold now in both indexes, in place of what they held. Run again, it changes nothing."""

@@ -13,6 +13,7 @@ from tallyforge.plans import models, stored
 from tallyforge.plans.models import DIRTY_SQL, LINES_SQL, ORDERS_SQL, twin
 from tallyforge.plans.twins import over_clean
 from tallyforge.schemas import RAW_COLUMNS
+from tallyforge.sources.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -277,13 +278,12 @@ def order_digest(spark, sf_dir):
 def before_after(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders with items before and after a change set: keys k % 10 = 3 are new; of those k % 100 = 13 moved by a day and
     swapped their first SKU, having been there before."""
-    after = models.orders_with_items(spark, sf_dir)
+    # written once, as both sides are read more than once
+    after = materialize(models.orders_with_items(spark, sf_dir).withColumn("items", F.expr("array_sort(items)")), "orders")
     k = F.col("id_order").cast("long")
     moved = (k % 100) == 13
     new_date = F.date_format(F.to_timestamp("order_date") + F.expr("interval 1 day"), "yyyy-MM-dd'T'HH:mm:ss")
     swapped = F.expr("transform(items, (x, i) -> if(i = 0, named_struct('sku', 'SKU-NEW', 'name', x.name, 'qty', x.qty, 'unit_price', x.unit_price, 'total', x.total), x))")
-    items = F.expr("array_sort(items)")
-    after = after.withColumn("items", items)
     before = after.where((k % 10 != 3) | moved).withColumn("processed_at", F.lit("2024-01-01T00:00:00"))
     changed = F.when(k % 10 == 3, "2024-02-01T00:00:00").otherwise("2024-01-01T00:00:00")
     after = after.withColumns({"order_date": F.when(moved, new_date).otherwise(F.col("order_date")), "items": F.when(moved, swapped).otherwise(F.col("items")), "processed_at": changed})

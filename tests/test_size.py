@@ -4,7 +4,7 @@ import os
 
 from conftest import DATA
 from pyspark.sql import functions as F
-from tallyforge.operators import store
+from tallyforge.operators import store, views
 from tallyforge.plans import models, stored
 
 SF = f"{DATA}/sf0.001"
@@ -57,3 +57,23 @@ def test_an_upsert_of_rows_as_they_are_writes_nothing(spark, tmp_path):
     # another stamp is a change that is to be stored, though the content is the same
     assert table.upsert(_rows(spark, 0, 60, "b"), order="id")["unchanged"] == 60
     assert table.manifest() != before and table.read().where("processed_at = 'b'").count() == 60
+
+
+def test_tables_dealt_by_some_keys_are_moved_once(spark, tmp_path):
+    table = store.Table(spark, f"file://{tmp_path}/p", ["k", "id"], 3, by=["k"])
+    rows = lambda low, high, name: spark.range(low, high).select((F.col("id") % 4).cast("string").alias("k"), "id", F.lit(name).alias("name"))
+    table.replace(rows(0, 60, "a"), about=60)
+    new = rows(50, 55, "a").union(rows(55, 70, "b"))
+    staged, _ = table._stage(new, 2, None, rows(0, 10, ""))
+    now = table._newest()
+    plan = table.merged_by(table._stored(now.schema, now.held), staged, 3)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = table.upsert(new, delete=rows(0, 10, ""))
+    assert got == {"inserted": 10, "updated": 10, "unchanged": 5, "keys": 20}
+    assert sorted((r["id"], r["name"]) for r in table.read().collect()) == [(i, "a" if i < 55 else "b") for i in range(10, 70)]
+
+
+def test_products_of_digests_are_those_of_orders(spark):
+    orders = models.orders_with_items(spark, SF)
+    want, got = views._stored_products(orders), views.products_of(views.order_digest(orders))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
