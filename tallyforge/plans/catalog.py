@@ -364,17 +364,17 @@ def profile_quartiles(spark, sf_dir):
 
 @_register("profile_delivery_costs", over_clean("select deliv as value, cast(count(*) as bigint) as n, round(count(*) * 100 / sum(count(*)) over (), 4) as percent from c group by 1"))
 def profile_delivery_costs(spark, sf_dir):
-    return profile.value_counts(_classified(spark, sf_dir), "delivery_cost")
+    return profile.value_counts(classify.clean(models.dirty(spark, sf_dir)).select(F.col("__delivery").alias("delivery_cost")), "delivery_cost")
 
 
 @_register("profile_dates", over_clean("select case when list_contains(error_codes, 'INVALID_IMPOSSIBLE_DATE') then 'impossible' when len(date_cor) > 0 then 'repaired' else 'clean' end as date_class, cast(count(*) as bigint) as n from c group by 1"))
 def profile_dates(spark, sf_dir):
-    return profile.date_quality(_classified(spark, sf_dir))
+    return profile.date_quality(classify.verdict(models.dirty(spark, sf_dir), "order_date__rule.error", "order_date__rule.corrections"))
 
 
 @_register("profile_items", over_clean("select case when items_err = 'CORRUPTED_ITEMS_JSON' then 'corrupt' when items_err = 'EMPTY_ITEMS' then 'empty' else 'valid' end as items_class, cast(count(*) as bigint) as n from c group by 1"))
 def profile_items(spark, sf_dir):
-    return profile.items_quality(_classified(spark, sf_dir))
+    return profile.items_quality(classify.verdict(models.dirty(spark, sf_dir), "__items_error"))
 
 
 def queries() -> dict[str, Query]:
