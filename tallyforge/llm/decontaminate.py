@@ -59,6 +59,17 @@ _KIND = np.array([0 if bytes([b]).isspace() else 1 if b in _MARKS else 2 for b i
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 
 
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+#: Powers of the factor and of its inverse modulo 2^64, for texts up to this length.
+_POWERS, _INVERSES = _powers(int(_FACTOR), 1 << 15), _powers(pow(int(_FACTOR), -1, 1 << 64), 1 << 15)
+
+
 def spaced(text: bytes) -> bytes:
     """The text in lower case, with spaces about characters where the script has none."""
     text = text.lower()
@@ -119,7 +130,7 @@ class Family:
             out.append(sorted((low + rng.choice(span, min(self.sampled - narrow, span), replace=False)).tolist()))
         return out
 
-    def keys(self, flat: np.ndarray, starts: np.ndarray, widths: list[int], marked: bool = False, at_once: int = 8192) -> Iterator[tuple[int, list[list[np.ndarray]], list[list[np.ndarray]]]]:
+    def keys(self, flat: np.ndarray, starts: np.ndarray, widths: list[int], marked: bool = False, at_once: int = 16384) -> Iterator[tuple[int, list[list[np.ndarray]], list[list[np.ndarray]]]]:
         """(first window, keys, if ``marked`` whether no sampled step lies beyond the text) by width and table, in parts.
         ``flat`` has 32-bit word hashes and a 0, at which a walk stays, after each text. The widths share the walks."""
         plans = []
@@ -183,6 +194,8 @@ class Table:
         low = np.searchsorted(self.keys, keys[near], "left")
         equal = self.keys.take(low, mode="clip") == keys[near]
         near, low = near[equal], low[equal]
+        if not len(near):
+            return near, low, low  # no pair: all three are empty
         high = np.searchsorted(self.keys, keys[near], "right")
         counts = high - low
         entry = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
@@ -277,6 +290,12 @@ def word_hashes(text: bytes) -> np.ndarray:
         low, high = np.searchsorted(inner, first[odd]), np.searchsorted(inner, end[odd])
         odd, low, high = (x[low < high] for x in (odd, low, high))
         first[odd], end[odd] = inner[low], inner[high - 1] + 1
+    if len(raw) < len(_POWERS):
+        # powers of a byte's place in the text, which the inverse power of the word's place takes back
+        terms = np.zeros(len(raw) + 1, np.uint64)
+        np.multiply(_BYTES[raw], _POWERS[: len(raw)], out=terms[:-1])
+        sums = np.add.reduceat(terms, np.stack([first, end], axis=1).ravel())[::2] * _INVERSES[first]
+        return ((sums * _FACTOR) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     sizes = end - first
     before = np.cumsum(sizes) - sizes
     within = np.arange(sizes.sum()) - np.repeat(before, sizes)

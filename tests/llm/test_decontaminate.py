@@ -120,3 +120,12 @@ def test_odd_rows(spark, odd, none):
     key = lambda x: tuple(-1 if v is None else v for v in x)
     assert sorted(got, key=key) == sorted([(d, 1, 0) for d in (None, 1, 6, 6) for _ in range(2)] + [(5, None, 0)], key=key)
     assert dc.contaminated(none, bench).count() == 0 and dc.contaminated(odd, bench.limit(0)).count() == 0
+
+
+def test_word_hashes_of_short_and_long_texts_agree():
+    text = b'a "bc" def... ?! x' + "é ünï-code".encode() + b" tail,"
+    known = {w: h for w, h in zip(dc.tokens(text), dc.word_hashes(text).tolist(), strict=True)}
+    long = b" ".join([text] * 2000)  # beyond the table of powers
+    assert len(text) < len(dc._POWERS) <= len(long)
+    assert dc.word_hashes(long).tolist() == [known[w] for w in dc.tokens(long)]
+    assert len(dc.word_hashes(b"  ")) == 0 and dc.word_hashes(b"def").tolist() == [known[b"def"]]
