@@ -195,7 +195,8 @@ class Views:
         """The digests of the changed orders, now and as they were last counted; written. Of the digest only the buckets of
         those orders are read."""
         new = materialize(order_digest(changed_orders(orders, since)), "changed")
-        return new, materialize(self.digest.read_by(new, new), "before")
+        with self.digest.found_by(new, new) as old:
+            return new, materialize(old, "before")
 
     def _affected(self, new: DataFrame, old: DataFrame, pending: int | None, n: int) -> tuple[DataFrame, DataFrame]:
         """The days and SKUs that changed orders belong to or belonged to, and those still pending; written as pending ``n``."""
@@ -272,7 +273,8 @@ class Views:
         lost = (F.col("went_least") <= F.col("min_order_date")) | (F.col("went_greatest") >= F.col("max_order_date"))
         both = materialize(both.withColumn("lost", F.coalesce(lost, F.lit(False))), "days_changed")
         again = both.where("lost").select("date", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-        found = self.times.read_by(again, self.times.read()).groupBy("date").agg(F.min("order_date").alias("found_least"), F.max("order_date").alias("found_greatest"))
+        with self.times.found_by(again, self.times.read()) as rows:
+            found = materialize(rows.groupBy("date").agg(F.min("order_date").alias("found_least"), F.max("order_date").alias("found_greatest")), "found")
         count, total = F.coalesce("order_count", F.lit(0)) + F.col("n"), F.coalesce("s", F.lit(0)) + F.col("c")
         least = F.when(F.col("lost"), F.col("found_least")).otherwise(F.least("min_order_date", "came_least"))
         greatest = F.when(F.col("lost"), F.col("found_greatest")).otherwise(F.greatest("max_order_date", "came_greatest"))
@@ -288,7 +290,8 @@ class Views:
         had = self.products.read_by(skus, self.products.read()).select("sku", "product_name", "total_quantity", cents("total_sales").alias("s"), "order_count", "distinct_order_count", _NAMED_BY)
         both = materialize(change.join(had, "sku", "left").withColumn("lost", F.coalesce(F.col("went") <= F.col(_NAMED_BY), F.lit(False))), "products_changed")
         again = both.where("lost").select("sku", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-        found = self.postings.read_by(again, self.postings.read()).groupBy("sku").agg(F.min(F.struct("id_order", "name")).alias("found"))
+        with self.postings.found_by(again, self.postings.read()) as rows:
+            found = materialize(rows.groupBy("sku").agg(F.min(F.struct("id_order", "name")).alias("found")), "found")
         stands = F.col(_NAMED_BY).isNotNull() & (F.col("came").isNull() | (F.col(_NAMED_BY) < F.col("came.id_order")))
         named = F.when(F.col("lost"), F.col("found")).when(stands, F.struct(F.col(_NAMED_BY).alias("id_order"), F.col("product_name").alias("name"))).otherwise(F.col("came"))
         plus = lambda c, d: F.coalesce(c, F.lit(0)) + F.col(d)

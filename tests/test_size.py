@@ -77,3 +77,39 @@ def test_products_of_digests_are_those_of_orders(spark):
     orders = models.orders_with_items(spark, SF)
     want, got = views._stored_products(orders), views.products_of(views.order_digest(orders))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_stored_rows_dealt_by_some_keys_are_merged_and_found_as_they_lie(spark, tmp_path):
+    table = store.Table(spark, f"file://{tmp_path}/p", ["k", "id"], 3, by=["k"])
+    rows = lambda low, high: spark.range(low, high).select((F.col("id") % 40).cast("string").alias("k"), "id")
+    table.replace(rows(0, 600), about=600)
+    staged, _ = table._stage(rows(500, 700), 2, None, rows(0, 10))
+    now = table._newest()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with table.bucketed(now.schema, now.cut, now.held) as stored, table._joined_as_dealt():
+        text = plan(table.merged(stored, staged.repartition(now.cut, "k"))[0])
+    assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text and "Bucketed: true" in text  # of what comes in
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    wanted = rows(0, 13).select("k")
+    with table.found_by(wanted, wanted) as found:
+        text = plan(found)
+        # keys that are broadcast leave the stored side where it is, too
+        assert text.count("Exchange") - text.count("BroadcastExchange") <= 1
+        assert sorted(r["id"] for r in found.collect()) == [i for i in range(600) if i % 40 < 13]
+    with table.found_by(wanted.limit(0), rows(0, 1)) as found:
+        assert found.count() == 0
+
+
+def test_digests_of_content_make_no_text_and_tell_nulls_apart(spark):
+    kind = "a string, b string, l array<struct<x: string, y: string>>, s struct<p: string, q: string>, n array<string>, m map<string, int>, d array<array<int>>"
+    one = lambda a, b, x, y, p, q, n, m=None, d=None: (a, b, [(x, y)], (p, q), n, m, d)
+    rows = [
+        one("1", None, "x", "y", "p", "q", []), one(None, "1", "x", "y", "p", "q", []), one("1", None, "x", None, "p", "q", []), one("1", None, None, "x", "p", "q", []), one("1", None, "x", "y", "p", None, []),
+        one("1", None, "x", "y", None, "p", []), one("1", None, "x", "y", "p", "q", None), one("1", None, "x", "y", "p", "q", [None]), one("1", None, "x", "y", "p", "q", ["a", None]), one("1", None, "x", "y", "p", "q", [None, "a"]),
+        ("1", None, None, ("p", "q"), [], None, None), ("1", None, [("x", "y")], None, [], None, None), ("1", None, [("x", "y"), None], ("p", "q"), [], None, None), ("1", None, [None, ("x", "y")], ("p", "q"), [], None, None),
+        one("1", None, "x", "y", "p", "q", [], {"a": 1}), one("1", None, "x", "y", "p", "q", [], None, [[1], [2]]), one("1", None, "x", "y", "p", "q", [], None, [[1, 2], []]),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    assert df.select(store.content_hash(df)).distinct().count() == len(rows)
+    flat = df.select("a", "b", "s")
+    assert "to_json" not in flat.select(store.content_hash(flat))._jdf.queryExecution().analyzed().toString()
