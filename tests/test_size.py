@@ -113,3 +113,18 @@ def test_digests_of_content_make_no_text_and_tell_nulls_apart(spark):
     assert df.select(store.content_hash(df)).distinct().count() == len(rows)
     flat = df.select("a", "b", "s")
     assert "to_json" not in flat.select(store.content_hash(flat))._jdf.queryExecution().analyzed().toString()
+
+
+def test_rows_of_order_files_are_dealt_once_and_item_lists_stay(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = models.dirty_in_order(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("rangepartitioning") == 1
+    assert text.index("ObjectHashAggregate") < text.index("rangepartitioning")  # lists are made where their rows were dealt to
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    want = rows(models.dirty(spark, SF).orderBy("source_row_number").drop("id_run", "source_file"))
+    assert rows(models.dirty_in_order(spark, SF, numbered=True)) == want
+    assert rows(models.dirty_in_order(spark, SF)) == [r[:-1] for r in want]
