@@ -62,6 +62,11 @@ def order_digest(orders: DataFrame) -> DataFrame:
     return held
 
 
+def whole_digest(rows: DataFrame) -> DataFrame:
+    """Digests that were moved without the columns that the others tell."""
+    return rows.select("id_order", day().alias("order_date_day"), F.transform("lines", lambda x: x["sku"]).alias("skus"), "processed_at", "id_run", "order_date", "cents", "lines")
+
+
 #: A group of an index is dealt to so many places, as one day or product may hold a third of all orders.
 PARTS = 16
 
@@ -159,12 +164,15 @@ def _stored_products(orders: DataFrame, skus: DataFrame | None = None) -> DataFr
     return product_view(orders, skus).join(lines.groupBy("i.sku").agg(F.min("id_order").alias(_NAMED_BY)), "sku")
 
 
-def products_of(digest: DataFrame) -> DataFrame:
+def products_of(digest: DataFrame, skus: DataFrame | None = None) -> DataFrame:
     """The same from the digests of all orders, where an order's lines of one product are summed already: an order counts once
-    in each of its lines, so nothing but sums by product is moved."""
+    in each of its lines, so nothing but sums by product is moved. Only ``skus`` (sku) if given; few of them pick the lines,
+    many of them the sums."""
     sums = digest.select("id_order", F.explode("lines").alias("l")).groupBy("l.sku").agg(
         F.min("id_order").alias(_NAMED_BY), F.min_by("l.name", "id_order").alias("product_name"), F.sum("l.qty").alias("total_quantity"), F.sum("l.cents").alias("s"), F.sum("l.n_lines").alias("order_count"), F.count("*").alias("distinct_order_count"),
     )
+    if skus is not None:
+        sums = sums.join(skus, "sku", "left_semi")
     return sums.select("sku", "product_name", "total_quantity", money(F.col("s")).alias("total_sales"), "order_count", "distinct_order_count", _NAMED_BY)
 
 
@@ -246,7 +254,7 @@ class Views:
     def _build(self, orders: DataFrame, at: str, mark: str | None, n: int) -> None:
         """Everything anew; the products and the indexes from the digests."""
         self.daily.replace(_stamps(daily_view(orders), at, "full", mark))
-        self.digest.replace(order_digest(orders), about=n)
+        self.digest.replace(order_digest(orders).drop("order_date_day", "skus"), about=n, whole=whole_digest)
         digest = self.digest.read(order_digest(orders))
         self.products.replace(_stamps(products_of(digest), at, "full", mark))
         self.times.replace(day_times(digest), about=n)
@@ -309,7 +317,7 @@ class Views:
         """The same for products."""
         if changed:
             return self._add_to_skus(*changed, skus, at, mark)
-        return self._put(self.products, "sku", _stamps(_stored_products(orders, skus), at, "incremental", mark), skus)
+        return self._put(self.products, "sku", _stamps(products_of(order_digest(orders), skus), at, "incremental", mark), skus)
 
     def refresh_one(self, orders: DataFrame, view: str, mode: str = "incremental", at: str = "1970-01-01T00:00:00") -> dict:
         """Bring one view up to date. The watermark stays, and the changed groups stay pending for the joint refresh."""

@@ -1,10 +1,12 @@
 """What the batch job moves and writes of classified rows, and how cleaning runs."""
 
+import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from tallyforge.operators import checks, classify, job, store
+from tallyforge.operators import checks, classify, job, store, views
 from tallyforge.plans import models, stored
+from tallyforge.plans.catalog import before_after
 from tallyforge.schemas import RAW_COLUMNS
 
 SF = f"{DATA}/sf0.001"
@@ -44,3 +46,41 @@ def test_rows_are_moved_slim_and_stored_whole(spark, tmp_path, monkeypatch):
     assert (again.counters["inserted"], again.counters["unchanged"]) == (0, good.count()) and again.rules == first.rules
     later = job.run(spark, csv, root, "r2", "t2", "quarantine")
     assert later.counters["unchanged"] == good.count() and checks.same_rows(job.tables(spark, root)[0].read().drop("id_run", "processed_at"), good.drop("id_run", "processed_at"))
+
+
+def test_pending_products_are_summed_before_they_are_moved(spark):
+    orders = models.orders_with_items(spark, SF)
+    skus = orders.select(F.explode("items.sku").alias("sku")).distinct().where("cast(sku as int) % 3 = 0")
+    got = views.products_of(views.order_digest(orders), skus)
+    assert checks.same_rows(views._stored_products(orders, skus), got)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        plan = views.products_of(views.order_digest(models.orders_with_items(spark, SF)), skus.persist())._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join LeftSemi") < plan.index("Generate explode(lines")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_recovered_refresh_takes_products_from_digests(spark, tmp_path, monkeypatch):
+    before, after = before_after(spark, SF)
+    root = f"file://{tmp_path}/views"
+    views.Views(spark, root).refresh(before, "full", "t")
+    with monkeypatch.context() as m, pytest.raises(InterruptedError):
+        m.setattr(views.Views, "_recompute_skus", lambda *a: (_ for _ in ()).throw(InterruptedError()))
+        views.Views(spark, root).refresh(after, "incremental", "t")
+    monkeypatch.setattr(views, "_stored_products", lambda *a: (_ for _ in ()).throw(AssertionError("lines were moved")))
+    v = views.Views(spark, root)
+    assert v.refresh(after, "incremental", "t")["recovered"]
+    assert checks.same_rows(v.products.read().select(views.product_view(after).columns), views.product_view(after))
+
+
+def test_digests_are_moved_without_what_their_lines_tell(spark, tmp_path, monkeypatch):
+    moved = []
+    deal = store.Table._deal
+    monkeypatch.setattr(store.Table, "_deal", lambda self, rows, *a: moved.append((self.path, rows.columns)) or deal(self, rows, *a))
+    orders = models.orders_with_items(spark, SF)
+    v = views.Views(spark, f"file://{tmp_path}/views")
+    v.refresh(orders, "full", "t")
+    assert ["skus" in columns for path, columns in moved if path == v.digest.path] == [False]
+    assert v.digest.read().columns == views.order_digest(orders).columns and checks.same_rows(v.digest.read(), views.order_digest(orders))
