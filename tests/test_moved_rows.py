@@ -84,3 +84,12 @@ def test_digests_are_moved_without_what_their_lines_tell(spark, tmp_path, monkey
     v.refresh(orders, "full", "t")
     assert ["skus" in columns for path, columns in moved if path == v.digest.path] == [False]
     assert v.digest.read().columns == views.order_digest(orders).columns and checks.same_rows(v.digest.read(), views.order_digest(orders))
+
+
+def test_sound_rows_make_no_list_of_clauses(spark):
+    rows = classify.classify(models.dirty(spark, SF))
+    checked = checks.contract_violations(rows)
+    assert "array_sort" not in checked.select("violations")._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    got = checked.where("size(violations) > 0").select("violations").distinct().collect()
+    assert got and all(r[0] == sorted(r[0]) for r in got)
+    assert checked.where("violations is null").isEmpty()
